@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pathloom.llm import exact, mixing, orc_tokens, packing, simhash, toxicity
+from pathloom.llm import exact, licenses, mixing, orc_tokens, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
     "op3_exact": exact.op3_exact,
+    "op5_secrets": secrets.op5_secrets,
     "op6_orc_tokens": orc_tokens.op6_orc_tokens,
     "op7_packing": packing.op7_packing,
+    "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {"op3_exact": exact.OP3_SQL, "op10_mixing": mixing.mixing_sql()}

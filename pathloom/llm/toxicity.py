@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -30,7 +30,9 @@ ORDER, SPAN, DECAY = 3, 6, 0.6
 UNIT, STEP = 32, 16
 SYMBOLS = 64
 #: Labelled documents that a model is fitted on, at most, of each class; landmarks; clean units kept for training.
-PER_CLASS, LANDMARKS, CLEAN_UNITS = 1200, 192, 20_000
+PER_CLASS, LANDMARKS, CLEAN_UNITS = 1200, 192, 10_000
+#: Units of a toxic document that may stand for its label.
+WITNESSES = 3
 FOLDS = 5
 EDGES = ".,;:!?\"'()[]{}|<>*_-~`"
 SENTENCE = re.compile(r"[.!?\n]+\s*")
@@ -55,11 +57,11 @@ def units_of(text: str) -> list[str]:
 
 
 def codes(unit: str) -> np.ndarray:
-    """Symbols of a unit: a-z, digits and marks as one each, other characters by hash; 0 is no symbol."""
+    """Symbols of a unit: a-z, other letters by hash; 0, for digits and marks, is a gap and no symbol."""
     out = []
     for c in unit:
         n = ord(c)
-        out.append(n - 96 if 97 <= n <= 122 else 27 if c.isdigit() else 28 if not c.isalnum() else 29 + n * 2654435761 % (SYMBOLS - 29))
+        out.append(n - 96 if 97 <= n <= 122 else 27 + n * 2654435761 % (SYMBOLS - 27) if c.isalpha() else 0)
     return np.array(out, dtype=np.int64)
 
 
@@ -79,7 +81,7 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = table[:, :width, None]
     second, third = (np.stack([table[:, o : o + width] for o in OFFSETS[:, j]], axis=2) for j in (1, 2))
     code = (first * SYMBOLS + second) * SYMBOLS + third
-    real = third > 0
+    real = (first > 0) & (second > 0) & (third > 0)
     at = np.broadcast_to(np.arange(len(units))[:, None, None], code.shape)[real]
     weight = np.broadcast_to(FACTORS[None, None, :], code.shape)[real]
     key = at * SYMBOLS**3 + code[real]
@@ -89,7 +91,7 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weight = np.add.reduceat(weight, head) if len(key) else weight
     at, code = key[head] // SYMBOLS**3, key[head] % SYMBOLS**3
     norm = np.sqrt(np.bincount(at, weight**2, minlength=len(units)))
-    return at, code, weight / norm[at] if len(at) else weight
+    return at, code, weight / norm[at]
 
 
 def windows(unit: str) -> list[str]:
@@ -153,6 +155,22 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, roun
     return w[:-1], float(w[-1])
 
 
+def _best(bags: list[list[str]], value: Callable[[str], float], least: float) -> list[str]:
+    """Of each bag the WITNESSES units of most value that are above least, the best one in any case."""
+    out = []
+    for bag in bags:
+        first = sorted(bag, key=lambda u: (-value(u), u))[:WITNESSES]
+        out += [u for i, u in enumerate(first) if i == 0 or value(u) > least]
+    return out
+
+
+def _altered(unit: str, rng: np.random.Generator) -> list[str]:
+    """The unit with a mark between all letters and with one character put in: what the kernel is to see through."""
+    at = int(rng.integers(1, max(2, len(unit))))
+    mark = str(rng.choice(list("-.*_1x")))
+    return [mark.join(unit)[:UNIT], (unit[:at] + mark + unit[at:])[:UNIT]]
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """A model from labelled documents; without both classes, one that calls everything clean."""
     bags = [[sorted({w for u in units_of(s) for w in windows(u) if len(w) >= ORDER}) for s in SENTENCE.split(t)] for t in texts]
@@ -183,21 +201,25 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     negative_w = np.array([1 + np.log1p(count[u][0]) for u in negatives])
     candidates = [sorted({u for s in sentences for u in s}) for sentences, label in zip(bags, labels) if label]
     candidates = [c for c in candidates if c]
-    witness = [max(c, key=lambda u: (odds[u] * np.log1p(count[u][1]), u)) for c in candidates]
+    strong = {u: o * np.log1p(count[u][1]) for u, o in odds.items() if o > 1}
+    witness = _best(candidates, lambda u: strong.get(u, -1.0), 0.0)
+    everything = sorted({u for c in candidates for u in c})
     model = None
-    for _ in range(3):
-        chosen = sorted(set(witness))
-        many = {u: witness.count(u) for u in chosen}
-        x = np.vstack([gram(chosen, marks) @ root, negative_x])
-        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(negatives))])
-        weight = np.concatenate([[1 + np.log1p(many[u]) * 3 for u in chosen], negative_w])
+    for _ in range(2):
+        many: dict[str, int] = {}
+        for u in witness:
+            many[u] = many.get(u, 0) + 1
+        chosen = sorted(many)
+        altered = [v for u in chosen for v in _altered(u, rng)]
+        x = np.vstack([gram(chosen + altered, marks) @ root, negative_x])
+        y = np.concatenate([np.ones(len(chosen) + len(altered)), -np.ones(len(negatives))])
+        weight = np.concatenate([[1 + np.log1p(many[u]) * 3 for u in chosen], np.ones(len(altered)), negative_w])
         w, bias = _svm(x, y, weight)
         at, code, value = features(marks)
         table = np.bincount(code, value * (root @ w)[at], minlength=SYMBOLS**3)
         model = Model(table, bias, 6.0, 0.0)
-        everything = sorted({u for c in candidates for u in c})
         score = dict(zip(everything, model.decisions(everything)))
-        witness = [max(c, key=lambda u: (score[u], u)) for c in candidates]
+        witness = _best(candidates, score.__getitem__, 0.0)
     # The link: halfway between what clean and toxic documents reach at the threshold with the fewest errors.
     top = np.array([max(model.decisions([u for s in b for u in s]), default=model.bias) if any(b) else model.bias for b in bags])
     at = np.unique(top)
