@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pathloom.llm import exact, licenses, mixing, orc_tokens, packing, secrets, simhash, toxicity
+from pathloom.llm import exact, iblt, licenses, mixing, orc_tokens, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
     "op3_exact": exact.op3_exact,
+    "op4_iblt": iblt.op4_iblt,
     "op5_secrets": secrets.op5_secrets,
     "op6_orc_tokens": orc_tokens.op6_orc_tokens,
     "op7_packing": packing.op7_packing,
