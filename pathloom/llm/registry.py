@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import exact, iblt, licenses, mixing, orc_tokens, packing, secrets, simhash, toxicity
+from pathloom.llm import exact, iblt, licenses, mixing, orc_tokens, packing, secrets, simhash, suffix, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secrets": secrets.op5_secrets,
     "op6_orc_tokens": orc_tokens.op6_orc_tokens,
     "op7_packing": packing.op7_packing,
+    "op8_suffix": suffix.op8_suffix,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
 }
