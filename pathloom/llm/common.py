@@ -47,6 +47,6 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in dropped (unique per document, so no key is hot)."""
+    """The columns of documents of docs, less the rows whose doc_id is in dropped (unique per document, so no key is hot)."""
     gone = dropped.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.select(DOCUMENT_COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import DOCUMENT_COLUMNS, documents, lower_ascii, staged, text_or_empty, without
+from pathloom.llm.common import documents, lower_ascii, staged, text_or_empty, without
 
 SHARD = 4096
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -178,4 +178,4 @@ FROM d
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts, the one with the largest doc_id."""
     found = exact_duplicates(*two_snapshots(docs))
-    return without(docs, found.where(~F.col("kept")).select("doc_id").distinct()).select(DOCUMENT_COLUMNS)
+    return without(docs, found.where(~F.col("kept")).select("doc_id").distinct())

@@ -75,7 +75,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_permille: in
     """Rows (doc_id, domain, lang, source, tokens, epoch) of the mixture; a document may come once per epoch.
 
     The budget is budget_permille thousandths of all tokens of docs. A leaf's last, partial epoch takes documents in
-    digest order while their running sum of tokens is within what is left. Null texts have no tokens; a null lang or
+    digest order while their running sum of tokens is within what is left
+    and something is left before them. Null texts have no tokens; a null lang or
     source is the leaf ""; rows without doc_id can't be picked and don't count. Rows that repeat are rows of their own.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), token_estimate(text_or_empty()).alias("tokens"))
@@ -93,10 +94,10 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_permille: in
     sums = part.groupBy(*key).agg(F.sum("tokens").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n"))
     part = part.join(sums, key)
-    inside = part.where("before + n <= rest")
-    edge = part.where("before + n > rest and before < rest")
+    inside = part.where("before + n < rest")
+    edge = part.where("before + n >= rest and before < rest")
     running = F.sum("tokens").over(W.partitionBy(*key).orderBy("h", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("upto", F.col("before") + running).where("upto <= rest")
+    edge = edge.withColumn("upto", F.col("before") + running).where("upto <= rest and upto - tokens < rest")
     columns = ["doc_id", *LEVELS, "tokens", F.col("epochs").alias("epoch")]
     return whole.union(inside.select(*columns)).union(edge.select(*columns))
 
@@ -133,7 +134,7 @@ total AS (SELECT coalesce(sum(size), 0)::HUGEINT * {BUDGET_PERMILLE} // 1000 AS
 e AS (SELECT domain, lang, source, budget // size AS epochs, budget % size AS rest FROM leaf JOIN source_d USING (domain, lang, source) WHERE size > 0),
 o AS (SELECT d.*, epochs, rest, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || epochs || ':' || doc_id), doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN e USING (domain, lang, source))
-SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, epochs::BIGINT AS epoch FROM o WHERE upto <= rest
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, epochs::BIGINT AS epoch FROM o WHERE upto <= rest AND upto - tokens < rest
 UNION ALL SELECT doc_id, domain, lang, source, tokens::BIGINT, unnest(range(epochs::BIGINT)) FROM o WHERE epochs > 0
 """
 

@@ -100,7 +100,7 @@ def scanned(paths: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, shape)], names=["blob", "rules", "spans"])
 
     small_batches(paths.sparkSession)
-    return unseen.mapInArrow(run, FINDINGS)
+    return unseen.mapInArrow(run, FINDINGS).dropDuplicates(["blob"])
 
 
 def secrets(paths: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

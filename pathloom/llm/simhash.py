@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import DOCUMENT_COLUMNS, documents, small_batches, staged, without
+from pathloom.llm.common import documents, small_batches, staged, without
 from pathloom.llm.graph import connected_components
 
 BITS = 64
@@ -111,4 +111,4 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of every component; rows without doc_id stay."""
     found = near_duplicates(docs)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id").distinct()).select(DOCUMENT_COLUMNS)
+    return without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
