@@ -48,10 +48,10 @@ def merged(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.max("length_max").alias("length_max"),
     )
     keyed = nodes.where("name is not null").select("doc_id", F.col("parent_path").alias("path")).distinct()
-    objects = nodes.join(keyed, ["doc_id", "path"], "left_semi").select("doc_id", F.col("path").alias("parent_path"), "n_objects")
-    every = objects.groupBy("parent_path").agg(F.sum("n_objects").alias("_every"))
+    objects = nodes.join(keyed, ["doc_id", "path"], "left_semi").select("doc_id", F.col("path").alias("parent_path"), F.col("n_objects").alias("_objects"))
+    every = objects.groupBy("parent_path").agg(F.sum("_objects").alias("_every"))
     # objects of documents that have both parent and key are in the key's own count already
-    mine = nodes.where("name is not null").join(objects, ["doc_id", "parent_path"]).groupBy("path").agg(F.sum("n_objects").alias("_with"))
+    mine = nodes.where("name is not null").join(objects, ["doc_id", "parent_path"]).groupBy("path").agg(F.sum("_objects").alias("_with"))
     counts = nodes.select("path", F.explode("shapes").alias("x")).groupBy("path", F.col("x.shape").alias("shape")).agg(F.sum("x.n").alias("n"))
     shape = dominant(counts, ["path"], threshold)
     listed = counts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("shape", "n"))).alias("shapes"))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pathloom.plans import paths_and_shapes, schemas, uploads_over_time
+
+QUERIES = {**paths_and_shapes.QUERIES, **schemas.QUERIES, **uploads_over_time.QUERIES}
+ORACLES = {**paths_and_shapes.ORACLES, **schemas.ORACLES, **uploads_over_time.ORACLES}
