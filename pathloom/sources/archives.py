@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,19 +223,19 @@ def read_export(name: str, data: bytes, limits: Limits = Limits()) -> list[dict]
 
 def entries(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """Filesystem nodes of every export under path, one task an export; a broken zip is an unmatched root."""
-    names = [c.split()[0] for c in ENTRIES.split(", ")]
+    shape = pa.schema([(n, {"long": pa.int64(), "array<string>": pa.list_(pa.string())}.get(t, pa.string())) for n, t in (c.split() for c in ENTRIES.split(", "))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for source, data in frame.itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 name = source.rsplit("/", 1)[-1]
                 try:
                     rows = read_export(name, data, limits)
                 except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
                     rows = [{"path": "", "kind": "unmatched", "name": name, "size_bytes": len(data), "reason": "parse_error", "error": str(e)}]
-                yield pd.DataFrame([{"doc_id": source, **r} for r in rows]).reindex(columns=names).astype({"size_bytes": "Int64", "files": "Int64"})
+                yield pa.RecordBatch.from_pylist([{"doc_id": source, **r} for r in rows], schema=shape)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ENTRIES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ENTRIES)
 
 
 def occurrences(nodes: DataFrame) -> DataFrame:
