@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.plans import paths_and_shapes, schemas, uploads_over_time
+from pathloom.plans import paths_and_shapes, schemas, uploads_over_time, vocabularies
 
-QUERIES = {**paths_and_shapes.QUERIES, **schemas.QUERIES, **uploads_over_time.QUERIES}
-ORACLES = {**paths_and_shapes.ORACLES, **schemas.ORACLES, **uploads_over_time.ORACLES}
+QUERIES = {**paths_and_shapes.QUERIES, **schemas.QUERIES, **uploads_over_time.QUERIES, **vocabularies.QUERIES}
+ORACLES = {**paths_and_shapes.ORACLES, **schemas.ORACLES, **uploads_over_time.ORACLES, **vocabularies.ORACLES}

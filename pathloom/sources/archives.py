@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.functions.paths import glob
 from pathloom.sources import shred
 
 ENTRIES = "doc_id string, path string, kind string, name string, size_bytes long, ext string, mime string, files long, reason string, error string, text_name string, texts array<string>, warning array<string>"
@@ -34,6 +35,9 @@ class Limits:
     max_entry_size: int = 256 << 20
     max_total_size: int = 4 << 30
     keep_ignored: bool = False
+    #: Paths whose folders are always or never collapsed into one; else those that look alike inside are.
+    collapse_folders: tuple[str, ...] = ()
+    keep_folders: tuple[str, ...] = ()
 
 
 @dataclass
@@ -122,19 +126,62 @@ def _escape(name: str) -> str:
     return name.replace("~", "~0").replace("/", "~1")
 
 
+def _pattern(name: str) -> str:
+    return re.sub(r"\d+", "{n}", name)
+
+
+def _mask(name: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", "".join("x" if c.isalpha() else "0" if c.isdigit() else "s" for c in name))
+
+
+def collapsed(files: list[list[str]], path: str, limits: Limits) -> tuple[list[list[str]], dict[tuple[str, ...], tuple[int, str]]]:
+    """(new parts of each file, {folder: (folders in it, mask of their names)}): folders that look alike become {*}.
+
+    Decided from the top: rules first, else folders without files of their own whose folders share half of their names.
+    """
+    out: list[list[str]] = [[] for _ in files]
+    merged: dict[tuple[str, ...], tuple[int, str]] = {}
+    ruled = lambda p, rules: any(re.match(glob(r), p) for r in rules)
+    todo = [((), [(i, parts) for i, parts in enumerate(files)])]
+    while todo:
+        at, members = todo.pop()
+        folders: dict[str, list[tuple[int, list[str]]]] = {}
+        for i, rest in members:
+            if len(rest) == 1:
+                out[i] = [*at, rest[0]]
+            else:
+                folders.setdefault(rest[0], []).append((i, rest[1:]))
+        here = path + "".join(f"/{_escape(s)}" for s in at)
+        inside = [{_pattern(rest[0]) + "/" * (len(rest) > 1) for _, rest in ms} for ms in folders.values()]
+        common = {n for names in inside for n in names if 2 * sum(n in other for other in inside) > len(inside)}
+        alike = len(folders) > 1 and sum(len(names & common) / len(names) for names in inside) / len(inside) >= 0.5
+        loose = any(len(rest) == 1 for _, rest in members)
+        if folders and not ruled(here, limits.keep_folders) and (ruled(here, limits.collapse_folders) or (alike and not loose)):
+            masks = [_mask(name) for name in folders]
+            merged[(*at, "{*}")] = (len(folders), min(masks, key=lambda m: (-masks.count(m), m)))
+            todo.append(((*at, "{*}"), [m for ms in folders.values() for m in ms]))
+        else:
+            todo += [((*at, name), ms) for name, ms in folders.items()]
+    return out, merged
+
+
 def _container(data: bytes, name: str | None, path: str, depth: int, run: _Run) -> None:
     archive = zipfile.ZipFile(io.BytesIO(data))
     run.rows.append({"path": path, "kind": "container", "name": name})
     found = _entries(archive, run, name)
+    new, merged = collapsed([p for p, _, _ in found], path, run.limits)
+    found = [(parts, info, junk) for parts, (_, info, junk) in zip(new, found)]
     folders = {tuple(p[:i]) for p, _, _ in found for i in range(1, len(p))}
-    run.rows += [{"path": path + "".join(f"/{_escape(s)}" for s in f), "kind": "folder", "name": f[-1]} for f in sorted(folders)]
+    for f in sorted(folders):
+        many, mask = merged.get(f, (None, f[-1]))
+        run.rows.append({"path": path + "".join(f"/{_escape(s)}" for s in f), "kind": "folder", "name": mask, "files": many})
     patterns: dict[tuple[tuple[str, ...], str], set[str]] = {}
     for parts, _, _ in found:
         if re.search(r"\d", parts[-1]) and not parts[-1].lower().endswith(".zip"):
-            patterns.setdefault((tuple(parts[:-1]), re.sub(r"\d+", "{n}", parts[-1])), set()).add(parts[-1])
+            patterns.setdefault((tuple(parts[:-1]), _pattern(parts[-1])), set()).add(parts[-1])
     groups: dict[tuple[tuple[str, ...], str], list[tuple[zipfile.ZipInfo, bool]]] = {}
     for parts, info, junk in found:
-        folder, pattern = tuple(parts[:-1]), re.sub(r"\d+", "{n}", parts[-1])
+        folder, pattern = tuple(parts[:-1]), _pattern(parts[-1])
         last = pattern if len(patterns.get((folder, pattern), ())) > 1 else parts[-1]
         groups.setdefault((folder, last), []).append((info, junk))
     for (folder, last), members in groups.items():

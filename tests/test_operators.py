@@ -7,8 +7,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.functions import names
 from pathloom.operators import compare, curation, merge, normalize, profile, timeline, views
-from pathloom.sources import archives, shred
+from pathloom.sources import archives, documents, shred
 from pathloom.streaming import ingest
 
 
@@ -196,3 +197,28 @@ def test_ingest_reads_each_file_once(spark, tmp_path):
     ingest.ingest(spark, landing, target, state)
     got = spark.read.parquet(target)
     assert sorted((r.doc_id, r.path) for r in got.collect()) == [("1", ""), ("1", "/x"), ("2", ""), ("2", "/x")]
+
+
+def test_look_alike_folders_collapse():
+    files = [["inbox", "anna_12", "message_1.json"], ["inbox", "anna_12", "photo.jpg"], ["inbox", "bob_7", "message_3.json"], ["inbox", "bob_7", "photo.jpg"], ["other", "x.json"], ["readme.txt"]]
+    new, merged = archives.collapsed(files, "", archives.Limits())
+    assert new[0] == ["inbox", "{*}", "message_1.json"] and new[3] == ["inbox", "{*}", "photo.jpg"] and new[4:] == files[4:]
+    assert merged == {("inbox", "{*}"): (2, "xs0")}
+    assert archives.collapsed(files, "", archives.Limits(keep_folders=("/inbox",)))[0] == files
+    assert archives.collapsed(files, "", archives.Limits(collapse_folders=("",)))[0][4] == ["{*}", "x.json"]
+
+
+def test_documents_round_trip(spark):
+    nodes = nodes_of(spark, [("d", "a.json", json.dumps([{"b": 1, "a": {"c": None}}]))]).withColumn("kind", F.lit("data"))
+    text = documents.to_documents(nodes).first().document
+    root = json.loads(text)["root"]
+    assert [c["path"] for c in root["children"][0]["children"]] == ["/[]/b", "/[]/a"] and "format" not in root
+    back = documents.from_documents(documents.to_documents(nodes))
+    assert {(r.path, r.parent_path, r.position) for r in back.collect()} == {(r.path, r.parent_path, r.position) for r in nodes.collect()}
+
+
+def test_names(spark):
+    row = spark.createDataFrame([(r"C:\\x\\Anna_data-2024.json", "mail anna@example.com now", "Chat with {*}", "Chat with bob_1")], "f string, t string, s string, k string")
+    assert tuple(row.select(names.anonymous_file_name(F.col("f")), names.masked_addresses(F.col("t")), names.masked_key(F.col("s"), F.col("k")), names.slug(F.lit("My Ärt 2"))).first()) == ("xxxx_data-0000.json", "mail axxx@xxxxxxx.xxx now", "Chat with xs0", "my-rt-2")
+    head = spark.createDataFrame([("zip", b"PK\x03\x04.."), ("json", b"  [1"), ("json", b"a"), ("csv", b"a;b\n1"), ("csv", b"plain")], "d string, h binary")
+    assert [r.x for r in head.select(names.looks_like(F.col("d"), F.col("h")).alias("x")).collect()] == [True, True, False, True, False]
