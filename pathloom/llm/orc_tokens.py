@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pieces: str = "text
             )
             before += int(ends[-1])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
     writer = ordered.mapInArrow(run, SCHEMA).write.format("orc").option("compression", "zstd")
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(stripe_bytes)).save(path)

@@ -43,7 +43,7 @@ def encoded(docs: DataFrame, tokenizer: str, pieces: str, end_id: int) -> DataFr
                 names=["part", "queue", "doc_id", "part_start", "n", "ids"],
             )
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "part int, queue string, doc_id long, part_start long, n long, ids array<int>")
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -16,24 +18,38 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A full stop or comma after anything but a letter or digit: such texts keep their marks with what is before.
+MARK_AFTER_MARK = re.compile(r"[.,](?<=[\W_].)")
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     pieces says where a text may be cut without changing its ids: "space" for byte-level files whose pattern takes
-    one leading space with a word, "word" for files that drop white space, "text" for any file (no cut). Pieces are
-    encoded by the library, each once while it stays in the cache; texts that the cutting rule doesn't cover (runs of
-    white space, other separators) are encoded whole.
+    one leading space with a word, "word" for files that lower-case and drop white space, "text" for any file (no
+    cut). Words of letters are encoded by the library many at a time, by the file's own merges and without its
+    patterns, which cannot cut a run of letters; all else goes through the file as it is. Each piece is encoded once
+    while it stays in the cache; texts that the cutting rule doesn't cover (runs of white space, other separators) are
+    encoded whole.
     """
 
-    PIECES, IDS = 400_000, 8_000_000
+    PIECES, IDS = 400_000, 4_000_000
 
     def __init__(self, path: str, pieces: str = "text") -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = {"space": self._by_space, "word": self._by_word, "text": lambda text: None}[pieces]
+        self.spaced = pieces == "space"
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():  # where words begin (byte level: a space) or end
+            self.edge[i] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
+        first = pre_tokenizers.Split(" ", "merged_with_next") if self.spaced else pre_tokenizers.WhitespaceSplit()
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([first, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._clear()
 
     def _clear(self) -> None:
@@ -44,20 +60,32 @@ class Encoder:
     def _by_space(text: str) -> list[str] | None:
         if text.split() != text.replace("\n", " ").split(" "):
             return None
-        units = text.replace("\n", " \n").split(" ")
-        units[0] = "\r" + units[0]  # no other piece holds \r: this one has no space before it
-        return units
+        if text[:1] not in ".," and not MARK_AFTER_MARK.search(text):  # no other piece holds \r: it says that there is no space before
+            text = text.replace(", ", " \r, ").replace(". ", " \r. ").replace(".\n", " \r.\n")
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\r" + pieces[0]
+        return pieces
 
     @staticmethod
     def _by_word(text: str) -> list[str] | None:
-        return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-
-    def _piece(self, unit: str) -> str:
-        if self.cut is Encoder._by_word or unit[0] == "\n":
-            return unit
-        return unit[1:] if unit[0] == "\r" else " " + unit
-
-    def _add(self, texts: list[str]) -> int:
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None
+        if "\u03a3" not in text and is_normalized("NFC", text):  # a capital sigma's small form depends on its place
+            text = text.lower()
+        if text[:1] not in ".," and not MARK_AFTER_MARK.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+            text = text[:-1] + " ." if text.endswith(".") else text
+        return text.split()
+
+    def _text_of(self, piece: str) -> str:
+        if not self.spaced or piece[0] == "\n":
+            return piece
+        return piece[1:] if piece[0] == "\r" else " " + piece
+
+    def _is_word(self, piece: str) -> bool:
+        return piece.isalpha() and (self.spaced or piece.isascii() or (is_normalized("NFC", piece) and piece == piece.lower()))
+
+    def _add(self, texts: list[str]) -> range:
         first = len(self.start)
         for at in range(0, len(texts), 2000):
             for found in self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False):
@@ -65,36 +93,52 @@ class Encoder:
                 self.start.append(len(self.flat))
                 self.size.append(len(ids))
                 self.flat.extend(ids)
-        return first
+        return range(first, len(self.start))
+
+    def _add_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            joined = " " + " ".join(some) if self.spaced else " ".join(some).lower()
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
+            edges = np.flatnonzero(self.edge[ids])
+            ends = np.append(edges[1:], len(ids)) if self.spaced else edges + 1
+            if len(ends) != len(some):  # never seen: words whose ids don't show where they begin
+                self.known.update(zip(some, self._add([self._text_of(w) for w in some])))
+                continue
+            sizes = np.diff(ends, prepend=0)
+            first = len(self.start)
+            self.start.extend((len(self.flat) + ends - sizes).tolist())
+            self.size.extend(sizes.tolist())
+            self.flat.extend(ids.tolist())
+            self.known.update(zip(some, range(first, first + len(some))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as int32, number of ids of each)."""
         if len(self.known) > self.PIECES or len(self.flat) > self.IDS:
             self._clear()
-        units: list[str] = []
+        found: list[str] = []
         ends, whole = [], []
         for n, text in enumerate(texts):
             own = self.cut(text) if text else []
             if own is None:
                 whole.append(n)
             else:
-                units += own
-            ends.append(len(units))
-        new = list(set(units).difference(self.known))
-        first = self._add([self._piece(u) for u in new])
-        self.known.update(zip(new, range(first, first + len(new))))
-        pieces = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
+                found += own
+            ends.append(len(found))
+        new = set(found).difference(self.known)
+        words = [p for p in new if self._is_word(p)]
+        others = list(new.difference(words))
+        self._add_words(words)
+        self.known.update(zip(others, self._add([self._text_of(p) for p in others])))
+        pieces = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
+        ends = np.array(ends, dtype=np.int64)
         if whole:
-            at = np.array(ends)[whole]
-            first = self._add([texts[n] for n in whole])
-            pieces = np.insert(pieces, at, np.arange(first, first + len(whole)))
-            ends = np.array(ends) + np.cumsum(np.isin(np.arange(len(texts)), whole))
-        size = np.frombuffer(self.size, dtype=np.int32)[pieces].astype(np.int64) if len(pieces) else np.zeros(0, np.int64)
-        start = np.frombuffer(self.start, dtype=np.int64)[pieces] if len(pieces) else size
+            pieces = np.insert(pieces, ends[whole], self._add([texts[n] for n in whole]))
+            ends = ends + np.cumsum(np.isin(np.arange(len(texts)), whole))
+        size, start = (np.array(x, dtype=np.int64)[pieces] if len(pieces) else pieces for x in (self.size, self.start))
         done = np.concatenate(([0], np.cumsum(size)))
-        ids = np.frombuffer(self.flat, dtype=np.int32)[np.repeat(start - done[:-1], size) + np.arange(done[-1])] if done[-1] else np.zeros(0, np.int32)
-        marks = done[np.concatenate(([0], np.asarray(ends, dtype=np.int64)))]
-        return ids, np.diff(marks)
+        ids = np.array(self.flat, dtype=np.int32)[np.repeat(start - done[:-1], size) + np.arange(done[-1])] if done[-1] else np.zeros(0, np.int32)
+        return ids, np.diff(done[np.concatenate(([0], ends))])
 
     def encode_with_end(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode, with end_id after each text."""
