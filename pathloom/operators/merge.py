@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
 from pathloom.functions import shapes as S
-from pathloom.operators.profile import THRESHOLD, dominant
+from pathloom.operators.profile import THRESHOLD, dominant_of
 
 #: Of kinds at one path the first wins: what one export could read beats what another couldn't (fixed order).
 KINDS = ("file", "container", "folder", "media", "unmatched")
@@ -52,16 +52,24 @@ def merged(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     every = objects.groupBy("parent_path").agg(F.sum("_objects").alias("_every"))
     # objects of documents that have both parent and key are in the key's own count already
     mine = nodes.where("name is not null").join(objects, ["doc_id", "parent_path"]).groupBy("path").agg(F.sum("_objects").alias("_with"))
-    counts = nodes.select("path", F.explode("shapes").alias("x")).groupBy("path", F.col("x.shape").alias("shape")).agg(F.sum("x.n").alias("n"))
-    shape = dominant(counts, ["path"], threshold)
-    listed = counts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("shape", "n"))).alias("shapes"))
-    same = nodes.join(shape, ["path", "shape"], "left_semi")
-    one = F.filter("shapes", lambda x: x["shape"] == F.col("shape"))
-    known = F.coalesce("formats", F.when(F.col("format").isNotNull(), F.array(F.struct(F.col("format").alias("f"), one[0]["n"].alias("n")))))
-    formats = same.select("path", F.explode(known).alias("x")).groupBy("path", F.col("x.f").alias("f")).agg(F.sum("x.n").alias("n"))
-    formats = formats.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("f", "n"))).alias("formats"))
-    formats = formats.select("path", F.when(F.size("formats") == 1, F.col("formats")[0]["f"]).alias("format"), F.when(F.size("formats") > 1, F.col("formats")).alias("formats"))
-    out = base.join(every, "parent_path", "left").join(mine, "path", "left").join(shape, "path", "left").join(listed, "path", "left").join(formats, "path", "left")
+    # shapes, and formats with the shape of their node: a few different ones per path, so they meet in one row
+    own = F.filter("shapes", lambda x: x["shape"] == F.col("shape"))
+    known = F.coalesce("formats", F.when(F.col("format").isNotNull(), F.array(F.struct(F.col("format").alias("f"), own[0]["n"].alias("n")))))
+    none = F.lit(None).cast("string")
+    long = F.concat(
+        F.transform(F.coalesce("shapes", F.array().cast("array<struct<shape: string, n: long>>")), lambda x: F.struct(x["shape"].alias("shape"), none.alias("f"), x["n"].alias("n"))),
+        F.transform(F.coalesce(known, F.array().cast("array<struct<f: string, n: long>>")), lambda x: F.struct(F.col("shape").alias("shape"), x["f"].alias("f"), x["n"].alias("n"))),
+    )
+    found = nodes.select("path", F.explode(long).alias("x")).groupBy("path", F.col("x.shape").alias("shape"), F.col("x.f").alias("f")).agg(F.sum("x.n").alias("n"))
+    found = found.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.when(F.col("f").isNull(), F.struct("shape", "n")))).alias("shapes"),
+        F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "n", "shape")))).alias("_formats"),
+    )
+    found = found.withColumn("shape", dominant_of(F.col("shapes"), threshold))
+    found = found.withColumn("_formats", F.transform(F.filter("_formats", lambda x: x["shape"] == F.col("shape")), lambda x: F.struct(x["f"].alias("f"), x["n"].alias("n"))))
+    many = F.size("_formats")
+    found = found.select("path", "shape", "shapes", F.when(many == 1, F.col("_formats")[0]["f"]).alias("format"), F.when(many > 1, F.col("_formats")).alias("formats"))
+    out = base.join(every, "parent_path", "left").join(mine, "path", "left").join(found, "path", "left")
     extra = F.when(F.col("name").isNotNull(), F.coalesce(F.col("_every"), F.lit(0)) - F.coalesce(F.col("_with"), F.lit(0))).otherwise(0)
     return out.withColumn("n_count", F.col("_own") + extra).drop("_own", "_every", "_with")
 

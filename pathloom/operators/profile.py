@@ -70,36 +70,80 @@ def resolved_formats(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _total(cells: Column) -> Column:
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda total, c: total + c["n"])
+
+
+def shape_counts(cells: Column) -> Column:
+    """Sorted (shape, n) of cells, an array of (type, shape, fits, n) of one path."""
+    names = F.array_sort(F.array_distinct(F.transform(F.filter(cells, lambda c: c["shape"].isNotNull()), lambda c: c["shape"])))
+    return F.transform(names, lambda name: F.struct(name.alias("shape"), _total(F.filter(cells, lambda c: c["shape"] == name)).alias("n")))
+
+
+def dominant_of(shapes: Column, threshold: float = THRESHOLD) -> Column:
+    """The dominant shape of sorted (shape, n) counts, by the rule of dominant()."""
+    real = F.filter(shapes, lambda s: s["shape"] != "empty")
+    top = F.element_at(F.array_sort(F.transform(real, lambda s: F.struct((-s["n"]).alias("m"), s["shape"].alias("shape")))), 1)
+    share = -top["m"] / F.greatest(_total(real), F.lit(1))
+    return F.when(F.size(shapes) == 0, None).when(F.size(real) == 0, "empty").when(share >= threshold, top["shape"]).otherwise("mixed")
+
+
+def format_counts(cells: Column, shape: Column) -> tuple[Column, Column, Column]:
+    """(total, formats that all values of the shape fit, formats that each value would count for), by the rule of resolved_formats()."""
+    rows = F.filter(cells, lambda c: (c["shape"] == shape) & (F.size(c["fits"]) > 0))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform(rows, lambda c: c["fits"]))))
+    common = F.filter(names, lambda f: F.forall(rows, lambda c: F.array_contains(c["fits"], f)))
+    first = F.transform(names, lambda f: F.struct(f.alias("f"), _total(F.filter(rows, lambda c: c["fits"][0] == f)).alias("n")))
+    return _total(rows), common, F.filter(first, lambda x: x["n"] > 0)
+
+
 def nodes(occurrences: DataFrame, threshold: float = THRESHOLD, samples: int = 0, with_dates: bool = True) -> DataFrame:
     """One node per (doc_id, path): position among siblings, types, shape, format, length, range and counts.
 
     n_count is the number of objects at the parent (of values for items and roots), so n_present < n_count marks an
     optional key. Ranges are given with samples only. Up to samples distinct values are kept, in order of appearance,
-    those of identifying shapes masked.
+    those of identifying shapes masked. Occurrences are read once: they are counted per path, type, shape and fits,
+    and all that follows works on these counts, of which a path has a few.
     """
     key = ["doc_id", "path"]
-    rows = classified(occurrences.where("json_type <> 'unreadable'"), with_dates)
+    rows = classified(occurrences.where("json_type <> 'unreadable'"), with_dates).withColumn("number", F.col("n"))
     long = F.col("json_type").isin("string", "array")
-    base = rows.groupBy(*key).agg(
+    counted = rows.groupBy(*key, "json_type", "shape", "fits").agg(
         F.first("parent_path").alias("parent_path"),
         F.first("name").alias("name"),
-        F.min("ord").alias("_ord"),
-        S.type_union(F.collect_set("json_type")).alias("type"),
-        F.count("*").alias("n_present"),
-        F.count_if(F.col("json_type") == "null").alias("n_null"),
-        F.count_if(F.col("json_type") == "object").alias("n_objects"),
+        F.min("ord").alias("ord"),
+        F.count("*").alias("count"),
         F.min(F.when(long, F.col("size"))).alias("length_min"),
         F.max(F.when(long, F.col("size"))).alias("length_max"),
-        F.min("n").alias("range_min"),
-        F.max("n").alias("range_max"),
+        F.min("number").alias("range_min"),
+        F.max("number").alias("range_max"),
+    ).withColumnRenamed("count", "n")
+    of_type = lambda t: F.coalesce(F.sum(F.when(F.col("json_type") == t, F.col("n"))), F.lit(0))
+    base = counted.groupBy(*key).agg(
+        F.first("parent_path").alias("parent_path"),
+        F.first("name").alias("name"),
+        F.min("ord").alias("_ord"),
+        S.type_union(F.collect_set("json_type")).alias("type"),
+        F.sum("n").alias("n_present"),
+        of_type("null").alias("n_null"),
+        of_type("object").alias("n_objects"),
+        F.min("length_min").alias("length_min"),
+        F.max("length_max").alias("length_max"),
+        F.min("range_min").alias("range_min"),
+        F.max("range_max").alias("range_max"),
+        F.collect_list(F.struct("shape", "fits", "n")).alias("_cells"),
     )
-    counts = rows.where("shape is not null").groupBy(*key, "shape").agg(F.count("*").alias("n"))
-    shape = dominant(counts, key, threshold)
-    listed = counts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("shape", "n"))).alias("shapes"))
-    fits = rows.where(F.size("fits") > 0).groupBy(*key, "shape", "fits").agg(F.count("*").alias("n"))
-    formats = resolved_formats(fits.join(shape, [*key, "shape"], "left_semi"), key)
+    base = base.withColumn("shapes", shape_counts(F.col("_cells")))
+    base = base.withColumn("shape", dominant_of(F.col("shapes"), threshold)).withColumn("shapes", F.when(F.size("shapes") > 0, F.col("shapes")))
+    total, common, each = format_counts(F.col("_cells"), F.col("shape"))
+    base = base.withColumns({"_total": total, "_common": common, "_each": each})
+    everywhere = F.transform("_common", lambda f: F.struct(f.alias("f"), F.col("_total").alias("n")))
+    has = F.col("_total") > 0
+    base = base.withColumn("format", F.when(F.size("_common") == 1, F.col("_common")[0]))
+    base = base.withColumn("formats", F.when(has & (F.size("_common") > 1), everywhere).when(has & (F.size("_common") == 0), F.col("_each")))
+    base = base.withColumn("ambiguous", F.when(has, F.size("_common") > 1)).drop("_cells", "_total", "_common", "_each")
     up = base.select("doc_id", F.col("path").alias("parent_path"), F.col("n_objects").alias("_objects"))
-    out = base.join(up, ["doc_id", "parent_path"], "left").join(shape, key, "left").join(listed, key, "left").join(formats, key, "left")
+    out = base.join(up, ["doc_id", "parent_path"], "left")
     own = F.col("parent_path").isNull() | F.col("path").endswith("/[]")
     position = F.row_number().over(W.partitionBy("doc_id", "parent_path").orderBy("_ord")) - 1
     out = out.withColumn("n_count", F.when(own, F.col("n_present")).otherwise(F.col("_objects"))).withColumn("position", position)
