@@ -102,16 +102,18 @@ def windows(unit: str) -> list[str]:
 
 def gram(left: list[str], right: list[str]) -> np.ndarray:
     """Normalised subsequence kernels of all pairs of left and right (a landmark set, so bounded)."""
-    dense = np.zeros((len(right), SYMBOLS**3), dtype=np.float32)
     at, code, weight = features(right)
-    dense[at, code] = weight
+    known = np.unique(code)
+    dense = np.zeros((len(known) + 1, len(right)), dtype=np.float32)  # the last row is for what no landmark has
+    dense[np.searchsorted(known, code), at] = weight
     out = np.zeros((len(left), len(right)))
-    for i in range(0, len(left), 2000):
-        at, code, weight = features(left[i : i + 2000])
-        products = dense[:, code] * weight[None, :].astype(np.float32)
+    for i in range(0, len(left), 250):
+        at, code, weight = features(left[i : i + 250])
         if len(at):
+            place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            place[known[place] != code] = len(known)
             head = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            out[i + at[head]] = np.add.reduceat(products, head, axis=1).T
+            out[i + at[head]] = np.add.reduceat(dense[place] * weight[:, None].astype(np.float32), head, axis=0)
     return out
 
 
@@ -173,10 +175,11 @@ def _altered(unit: str, rng: np.random.Generator) -> list[str]:
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """A model from labelled documents; without both classes, one that calls everything clean."""
-    bags = [[sorted({w for u in units_of(s) for w in windows(u) if len(w) >= ORDER}) for s in SENTENCE.split(t)] for t in texts]
+    same: dict[str, str] = {}  # one string object for a unit wherever it stands
+    bags = [sorted({same.setdefault(w, w) for s in SENTENCE.split(t) for u in units_of(s) for w in windows(u) if len(w) >= ORDER}) for t in texts]
     count: dict[str, list[int]] = {}
-    for sentences, label in zip(bags, labels):
-        for u in {u for s in sentences for u in s}:
+    for bag, label in zip(bags, labels):
+        for u in bag:
             count.setdefault(u, [0, 0])[label] += 1
     n = [labels.count(0), labels.count(1)]
     if not min(n) or not count:
@@ -199,8 +202,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
     negative_x = gram(negatives, marks) @ root
     negative_w = np.array([1 + np.log1p(count[u][0]) for u in negatives])
-    candidates = [sorted({u for s in sentences for u in s}) for sentences, label in zip(bags, labels) if label]
-    candidates = [c for c in candidates if c]
+    candidates = [bag for bag, label in zip(bags, labels) if label and bag]
     strong = {u: o * np.log1p(count[u][1]) for u, o in odds.items() if o > 1}
     witness = _best(candidates, lambda u: strong.get(u, -1.0), 0.0)
     everything = sorted({u for c in candidates for u in c})
@@ -221,7 +223,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         score = dict(zip(everything, model.decisions(everything)))
         witness = _best(candidates, score.__getitem__, 0.0)
     # The link: halfway between what clean and toxic documents reach at the threshold with the fewest errors.
-    top = np.array([max(model.decisions([u for s in b for u in s]), default=model.bias) if any(b) else model.bias for b in bags])
+    every = sorted(count)
+    value = dict(zip(every, model.decisions(every).tolist()))
+    top = np.array([max(map(value.__getitem__, bag), default=model.bias) for bag in bags])
     at = np.unique(top)
     cuts = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]))
     is_toxic = np.array(labels) == 1
