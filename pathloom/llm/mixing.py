@@ -16,7 +16,7 @@ from pathloom.llm.common import DOCUMENT_COLUMNS, documents, staged, text_or_emp
 
 LEVELS = ["domain", "lang", "source"]
 SEED = 17
-BUCKET_DIGITS = 3
+BUCKET_DIGITS, BUCKET_LEVELS = 2, 2
 #: Target weights of the query and the stage; a child that isn't named weighs 1.
 WEIGHTS = {"domain": {"web": 3, "forum": 2, "reference": 4}, "lang": {"en": 6, "fr": 2, "de": 2, "es": 1}, "source": {"src0": 2}}
 BUDGET_PERMILLE = 800
@@ -89,17 +89,21 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_permille: in
     whole = picked.where("epochs > 0").select("doc_id", *LEVELS, "tokens", F.explode(F.expr("sequence(0L, epochs - 1)")).alias("epoch"))
 
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.col("doc_id")))
-    part = picked.where("rest > 0").select("doc_id", *LEVELS, "tokens", "epochs", "rest", order.alias("h")).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
-    key = [*LEVELS, "bucket"]
-    sums = part.groupBy(*key).agg(F.sum("tokens").alias("n"))
-    sums = sums.withColumn("before", F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n"))
-    part = part.join(sums, key)
-    inside = part.where("before + n < rest")
-    edge = part.where("before + n >= rest and before < rest")
-    running = F.sum("tokens").over(W.partitionBy(*key).orderBy("h", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("upto", F.col("before") + running).where("upto <= rest and upto - tokens < rest")
+    part = picked.where("rest > 0").select("doc_id", *LEVELS, "tokens", "epochs", "rest", order.alias("h"), F.lit(0).cast("long").alias("base"))
+    key, inside = [*LEVELS, "bucket"], []
+    for level in range(BUCKET_LEVELS):  # the prefix ends in one bucket of a leaf; only that one is looked into further
+        part = part.withColumn("bucket", F.substring("h", 1 + level * BUCKET_DIGITS, BUCKET_DIGITS))
+        sums = part.groupBy(*key).agg(F.sum("tokens").alias("n"))
+        sums = sums.withColumn("upto", F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket")))
+        part = part.join(sums, key).withColumn("base", F.col("base") + F.col("upto") - F.col("n"))
+        inside.append(part.where("base + n < rest"))
+        part = part.where("base + n >= rest and base < rest").drop("bucket", "n", "upto")
+    running = F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("h", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0))
+    edge = part.withColumn("upto", F.col("base") + running).where("upto <= rest and upto - tokens < rest")
     columns = ["doc_id", *LEVELS, "tokens", F.col("epochs").alias("epoch")]
-    return whole.union(inside.select(*columns)).union(edge.select(*columns))
+    for some in (*inside, edge):
+        whole = whole.union(some.select(*columns))
+    return whole
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
