@@ -114,7 +114,8 @@ def secrets(paths: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFram
     found = book.select("blob", F.explode("spans").alias("span")).groupBy("blob").agg(F.collect_set("span").alias("spans"))
     kinds = F.array(*(F.lit(k) for k in ORDER))
     order = lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
-    found = found.select("blob", F.array_sort(F.transform("spans", order)).alias("spans"))
+    # staged, so that the join has shuffles of its own, whose hot blobs Spark can split
+    found = staged(found.select("blob", F.array_sort(F.transform("spans", order)).alias("spans")), "spans")
     return paths.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast("array<struct<start: long, rank: long, end: long, kind: string>>")).alias("spans")), book
 
 
