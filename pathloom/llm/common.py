@@ -46,7 +46,14 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The columns of documents of docs, less the rows whose doc_id is in dropped (unique per document, so no key is hot)."""
-    gone = dropped.select(F.col("doc_id").alias("_gone"))
-    return docs.select(DOCUMENT_COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, mark: Column | None = None) -> DataFrame:
+    """The columns of documents of docs, less the rows that are in dropped (unique per document, so no key is hot).
+
+    dropped: (doc_id), or (doc_id, mark) if mark is given, an expression over docs; then a row goes only if both agree,
+    so rows without doc_id and rows that share one are told apart by their texts.
+    """
+    gone = dropped.select(F.col("doc_id").alias("_gone"), *([] if mark is None else [F.col("mark").alias("_gone_mark")]))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone"))
+    if mark is None:
+        return docs.select(DOCUMENT_COLUMNS).join(gone, same, "left_anti")
+    return docs.select(*DOCUMENT_COLUMNS, mark.alias("_mark")).join(gone, same & (F.col("_mark") == F.col("_gone_mark")), "left_anti").drop("_mark")

@@ -12,7 +12,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import documents, lower_ascii, staged, text_or_empty, without
@@ -136,8 +136,12 @@ def classes(history: DataFrame, batch: DataFrame) -> DataFrame:
     return new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_look_up, "digest binary, keep_id long, n long")
 
 
+def text_digest() -> Column:
+    return F.unhex(F.sha2(lower_ascii(text_or_empty()), 256))
+
+
 def with_digest(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(lower_ascii(text_or_empty()), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
 
 
 def exact_duplicates(history: DataFrame, batch: DataFrame) -> DataFrame:
@@ -176,6 +180,10 @@ FROM d
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts, the one with the largest doc_id."""
+    """Keeps one document of each group of equal texts, the one with the largest doc_id.
+
+    A row goes by its doc_id and its text. Of rows without doc_id, those go whose text a row with doc_id has too; those
+    whose text no such row has all stay. A doc_id on rows with different texts is judged for each text by itself.
+    """
     found = exact_duplicates(*two_snapshots(docs))
-    return without(docs, found.where(~F.col("kept")).select("doc_id").distinct())
+    return without(docs, found.where(~F.col("kept")).select("doc_id", F.unhex("text_sha256").alias("mark")).distinct(), text_digest())

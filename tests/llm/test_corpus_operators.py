@@ -370,3 +370,13 @@ def test_pipeline(spark):
             root = components([(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 2], fps)
             assert after.keys() == set(root.values())
         before = after
+
+
+def odd_ids(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_exact_stage_goes_by_row(spark):
+    rows = odd_ids(spark, [(1, "a b"), (None, "A b"), (None, "alone"), (2, "x y"), (2, "own"), (3, "X y"), (4, "p"), (4, "p")])
+    got = sorted(((r.doc_id, r.text) for r in exact.stage(spark, rows, "").collect()), key=str)
+    assert got == sorted([(1, "a b"), (None, "alone"), (2, "own"), (3, "X y"), (4, "p"), (4, "p")], key=str)
