@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import documents, small_batches, staged, without
 from pathloom.llm.graph import connected_components
+from pathloom.llm.near import near_copies, text_mark
 
 BITS = 64
 BLOCK = 1 << 15
@@ -109,6 +110,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every component; rows without doc_id stay."""
-    found = near_duplicates(docs)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
+    """Keeps one text of every component of near copies (five-word shingles, Jaccard 0.8 or more), that of the smallest doc_id.
+
+    A row goes by its doc_id and its text. Rows without doc_id stay and take nobody away. Of one doc_id on rows with
+    different texts, each text is judged by itself; if such texts are near copies of each other, one of them stays. Rows
+    that repeat the doc_id and the text that stay all stay.
+    """
+    return without(docs, near_copies(docs), text_mark())

@@ -380,3 +380,45 @@ def test_exact_stage_goes_by_row(spark):
     rows = odd_ids(spark, [(1, "a b"), (None, "A b"), (None, "alone"), (2, "x y"), (2, "own"), (3, "X y"), (4, "p"), (4, "p")])
     got = sorted(((r.doc_id, r.text) for r in exact.stage(spark, rows, "").collect()), key=str)
     assert got == sorted([(1, "a b"), (None, "alone"), (2, "own"), (3, "X y"), (4, "p"), (4, "p")], key=str)
+
+
+def one_word_edits():
+    """Texts of 40 to 110 words, each with up to three edited copies, and short, blank and repeated ones."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    out = []
+    for n in range(40, 110, 2):
+        base = words(n)
+        out.append(base)
+        for at in rng.choice(n, int(rng.integers(1, 4)), replace=False):
+            out.append([*base[:at], "edited", *base[at + 1 :]])
+    joined = [" ".join(w) for w in out]
+    return [*joined, joined[0].upper(), joined[3].replace(" ", "  "), "", "  ", "one two", "One  two", "one two three"]
+
+
+def brute_near(texts: dict) -> tuple[list, dict]:
+    def parts(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    own = {i: parts(t) for i, t in texts.items()}
+    pairs = [(a, b) for a in own for b in own if a < b and (own[a] == own[b] or len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]))]
+    return pairs, components(pairs, own)
+
+
+def test_near_stage_against_brute_force(spark):
+    texts = dict(enumerate(one_word_edits()))
+    pairs, root = brute_near(texts)
+    fps = {i: fingerprint(t) for i, t in texts.items()}
+    assert sum(bin(fps[a] ^ fps[b]).count("1") > 2 for a, b in pairs) > 50  # which two bits of 64 miss
+    rows = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in simhash.stage(spark, rows, "").collect()) == sorted(set(root.values()))
+    assert simhash.stage(spark, rows.limit(0), "").count() == 0
+
+
+def test_near_stage_goes_by_row(spark):
+    rows = odd_ids(spark, [(1, "a b"), (None, "A b"), (None, "alone"), (2, "a  b"), (2, "own"), (3, "c d"), (3, "C d"), (4, "p"), (4, "p")])
+    got = [(r.doc_id, r.text) for r in simhash.stage(spark, rows, "").collect()]
+    kept_c = [x for x in got if x[0] == 3]
+    assert len(kept_c) == 1
+    assert sorted((x for x in got if x[0] != 3), key=str) == sorted([(1, "a b"), (None, "A b"), (None, "alone"), (2, "own"), (4, "p"), (4, "p")], key=str)
