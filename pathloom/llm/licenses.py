@@ -1,7 +1,7 @@
 """License scans with a positional index of rare words.
 
 Templates are indexed by word and position. A file's licence words of highest inverse document frequency (counted over
-all files) are looked up; each occurrence votes for the place at which a template would start, votes of one template
+all files) of each template are looked up; each occurrence votes for the place at which a template would start, votes of one template
 within a few words of each other are one candidate, and a candidate counts only if the template's mandatory key phrase
 stands there. Exact phrases of the base set are verified the same way, word by word from their rarest word.
 """
@@ -72,14 +72,17 @@ def inverse_frequencies(counts: dict[bytes, int], n: int) -> dict[bytes, float]:
 
 
 class Index:
-    """Postings (label, position) of every template word, and the rarest words of base phrases."""
+    """Postings (label, position) of each template's rarest words and its key phrase's, and the rarest words of base phrases."""
 
     def __init__(self, idf: dict[bytes, float]) -> None:
         self.idf = idf
         self.postings: dict[bytes, list[tuple[str, int]]] = {}
-        for label, (text, _) in TEMPLATE_WORDS.items():
+        for label, (text, key) in TEMPLATE_WORDS.items():
+            rarest = lambda words: sorted(set(words), key=lambda w: (-idf[w], w))[:RARE]
+            rare = {*rarest(text), *rarest(key)}
             for at, w in enumerate(text):
-                self.postings.setdefault(w, []).append((label, at))
+                if w in rare:
+                    self.postings.setdefault(w, []).append((label, at))
         self.anchors: dict[bytes, list[tuple[tuple[bytes, ...], int]]] = {}
         for phrase in PHRASE_WORDS:
             rarest = max(range(len(phrase)), key=lambda i: (idf[phrase[i]], -i))
@@ -91,8 +94,7 @@ class Index:
         present = VOCABULARY.intersection(words)
         if not present:
             return [], set(), 0.0
-        rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[:RARE])
-        wanted = rare | self.anchors.keys()
+        wanted = self.postings.keys() | self.anchors.keys()
         base, votes = [], {}
         for at, w in enumerate(words):
             if w not in wanted:
@@ -100,9 +102,8 @@ class Index:
             for phrase, off in self.anchors.get(w, ()):
                 if at >= off and tuple(words[at - off : at - off + len(phrase)]) == phrase:
                     base.append((at - off, PHRASE_WORDS[phrase]))
-            if w in rare:
-                for label, off in self.postings.get(w, ()):
-                    votes.setdefault((label, (at - off) // DRIFT), set()).add(w)
+            for label, off in self.postings.get(w, ()):
+                votes.setdefault((label, (at - off) // DRIFT), set()).add(w)
         labels, best = set(), 0.0
         for (label, cell), voters in votes.items():
             if len(voters | votes.get((label, cell + 1), set())) < 2:

@@ -422,3 +422,16 @@ def test_near_stage_goes_by_row(spark):
     kept_c = [x for x in got if x[0] == 3]
     assert len(kept_c) == 1
     assert sorted((x for x in got if x[0] != 3), key=str) == sorted([(1, "a b"), (None, "A b"), (None, "alone"), (2, "own"), (4, "p"), (4, "p")], key=str)
+
+
+def test_licences_of_a_long_document_do_not_share_a_budget(spark):
+    passages = {label: text for label, (text, _) in licenses.TEMPLATES.items()}
+    stray = "mozilla gnu unencumbered redistribution noncommercial attribution publication lesser binary domain"
+    several = f"{stray} " + " filler words here ".join([passages["bsd"], passages["gpl"], passages["unlicense"], passages["mpl-2"]]) + f" {stray}" * 20
+    every = " and so on ".join(passages.values())
+    filler = [(i, f"{stray} plain text {i}") for i in range(3, 9)]
+    rows = spark.createDataFrame([(1, several), (2, every), *filler], "doc_id long, text string")
+    got = {r.doc_id: (r.templates, r.score) for r in licenses.license_scan(rows).collect()}
+    assert {"bsd", "gpl", "unlicense", "mpl-2"} <= set(got[1][0]) and got[1][1] == pytest.approx(1)
+    assert set(got[2][0]) == set(passages)
+    assert all(got[i][0] == [] for i, _ in filler)
