@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
+from pathloom.llm.common import staged
 
 THRESHOLD = 0.3
-COUNTED, WAITING = ("passed", "approved"), ("passed", "approved", "awaiting")
 
 
 def duplicates(uploads: DataFrame) -> DataFrame:
@@ -26,28 +25,41 @@ def decided(uploads: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A file that counts or waits already is a duplicate; the first of its platform and format waits; one that shares too
     little with those that count is unconfirmed; others pass. The first waits until somebody approves it, so the fold
     is over each platform's arrivals; approved (boolean) tells which waiting ones were.
-    """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, counted, out = set(), set(), []
-        for r in frame.sort_values(["arrived", "upload_id"]).itertuples():
-            reason = None
-            if r.sha256 and r.sha256 in taken:
-                state = "duplicate"
-            elif r.root_format not in counted:
-                state, reason = ("approved", "first") if r.approved else ("awaiting", "first")
-            elif pd.isna(r.similarity) or r.similarity < threshold:
-                state, reason = "unconfirmed", "dissimilar"
-            else:
-                state = "passed"
-            if state in WAITING and r.sha256:
-                taken.add(r.sha256)
-            if state in COUNTED:
-                counted.add(r.root_format)
-            out.append((r.platform, r.upload_id, state, reason))
-        return pd.DataFrame(out, columns=["platform", "upload_id", "plausibility", "reason"])
-
-    return uploads.groupBy("platform").applyInPandas(fold, "platform string, upload_id string, plausibility string, reason string")
+    Two tables say all: when a format starts to count, and when a file starts to count or wait. Each is a minimum over
+    rows that the other decides; they are computed in turn until neither changes, which makes at least one more arrival
+    right each time. Repeated rows follow each other; missing times and ids come last.
+    """
+    at = F.struct(F.col("arrived").isNull().alias("a"), F.col("arrived").alias("b"), F.col("upload_id").isNull().alias("c"), F.col("upload_id").alias("d"), F.monotonically_increasing_id().alias("e"))
+    fits = F.coalesce((F.col("similarity") >= threshold) & ~F.isnan("similarity"), F.lit(False))
+    rows = uploads.select("platform", "root_format", "upload_id", at.alias("at"), F.nullif(F.col("sha256"), F.lit("")).alias("sha256"), fits.alias("fits"), F.coalesce("approved", F.lit(False)).alias("approved"))
+    rows = staged(rows, "uploads")
+
+    def with_first(df: DataFrame, firsts: DataFrame, key: str, name: str) -> DataFrame:
+        firsts = firsts.select(F.col("platform").alias("_platform"), F.col(key).alias("_key"), F.col("first").alias(name))
+        return df.join(firsts, F.col("platform").eqNullSafe(F.col("_platform")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_platform", "_key")
+
+    def first(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy("platform", key).agg(F.min("at").alias("first"))
+
+    counted, was = None, None
+    while True:
+        stand = rows.where("sha256 is not null")
+        if counted is not None:
+            stand = with_first(stand, counted, "root_format", "counts_at").where("counts_at is null or at <= counts_at or fits")
+        taken = staged(first(stand, "sha256"), "taken")
+        free = with_first(rows.where("approved"), taken, "sha256", "taken_at").where("taken_at is null or at <= taken_at")
+        counted = staged(first(free, "root_format"), "counted")
+        mark = tuple(counted.select(F.count("*"), F.sum(F.xxhash64("platform", "root_format", "first").cast("decimal(38,0)"))).first())
+        if mark == was:
+            break
+        was = mark
+    found = with_first(with_first(rows, taken, "sha256", "taken_at"), counted, "root_format", "counts_at")
+    early = F.col("counts_at").isNull() | (F.col("at") <= F.col("counts_at"))
+    duplicate = F.coalesce(F.col("taken_at") < F.col("at"), F.lit(False))
+    state = F.when(duplicate, "duplicate").when(early & F.col("approved"), "approved").when(early, "awaiting").when(~F.col("fits"), "unconfirmed").otherwise("passed")
+    reason = F.when(F.col("plausibility").isin("approved", "awaiting"), "first").when(F.col("plausibility") == "unconfirmed", "dissimilar")
+    return found.select("platform", F.col("upload_id").cast("string").alias("upload_id"), state.alias("plausibility")).withColumn("reason", reason)
 
 
 def current_state(proposals: DataFrame) -> DataFrame:

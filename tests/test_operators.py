@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -222,3 +223,27 @@ def test_names(spark):
     assert tuple(row.select(names.anonymous_file_name(F.col("f")), names.masked_addresses(F.col("t")), names.masked_key(F.col("s"), F.col("k")), names.slug(F.lit("My Ärt 2"))).first()) == ("xxxx_data-0000.json", "mail axxx@xxxxxxx.xxx now", "Chat with xs0", "my-rt-2")
     head = spark.createDataFrame([("zip", b"PK\x03\x04.."), ("json", b"  [1"), ("json", b"a"), ("csv", b"a;b\n1"), ("csv", b"plain")], "d string, h binary")
     assert [r.x for r in head.select(names.looks_like(F.col("d"), F.col("h")).alias("x")).collect()] == [True, True, False, True, False]
+
+
+def test_decisions_are_those_of_one_arrival_after_another(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["p", "q", None]), rng.choice(["zip", "json", None]), f"u{i:03}", rng.randrange(60), rng.choice(["a", "b", "c", "d", "", None]) if rng.random() < 0.6 else f"s{i}", rng.choice([0.1, 0.5, None, float("nan")]), rng.random() < 0.2) for i in range(150)]
+    want, taken, counted = {}, set(), set()
+    for platform, kind, upload, _, sha, alike, approved in sorted(rows, key=lambda r: (r[3], r[2])):
+        reason = None
+        if sha and (platform, sha) in taken:
+            state = "duplicate"
+        elif (platform, kind) not in counted:
+            state, reason = ("approved" if approved else "awaiting"), "first"
+        elif alike is None or not alike >= 0.3:
+            state, reason = "unconfirmed", "dissimilar"
+        else:
+            state = "passed"
+        if sha and state in ("approved", "awaiting", "passed"):
+            taken.add((platform, sha))
+        if state in ("approved", "passed"):
+            counted.add((platform, kind))
+        want[upload] = (state, reason)
+    found = curation.decided(spark.createDataFrame(rows, "platform string, root_format string, upload_id string, arrived long, sha256 string, similarity double, approved boolean"))
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    assert {r.upload_id: (r.plausibility, r.reason) for r in found.collect()} == want
