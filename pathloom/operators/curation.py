@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
-from pathloom.llm.common import staged
+from pathloom.sources.staging import staged
 
 THRESHOLD = 0.3
 
