@@ -1,13 +1,12 @@
-"""Helpers that the corpus operators share: reading, normalising and staging in the cluster's shared folder."""
+"""Helpers that the corpus operators share: reading and normalising; staging is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.sources.staging import shared_folder, small_batches, staged  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,27 +24,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; only a session without one (as in tests) gets its own."""
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the rows of an Arrow batch so that batches of whole texts fit in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def without(docs: DataFrame, dropped: DataFrame, mark: Column | None = None) -> DataFrame:
     """The columns of documents of docs, less the rows that are in dropped (unique per document, so no key is hot).
 
