@@ -251,13 +251,34 @@ def brute_repeats(texts: dict[int, str], length: int = 100):
     return out
 
 
-@pytest.mark.parametrize("group", [2, suffix.GROUP])
-def test_suffix(docs, texts, no_docs, group):
-    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.removed], bytes(r.kept)) for r in suffix.without_repeats(docs, group).collect()}
+@pytest.mark.parametrize(("group", "local"), [(1, 1), (2, 1), (2, 10**6), (suffix.GROUP, suffix.LOCAL)])
+def test_suffix(docs, texts, no_docs, group, local):
+    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.removed], bytes(r.kept)) for r in suffix.without_repeats(docs, group, local).collect()}
     assert got == brute_repeats(texts)
     assert suffix.without_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("group", [3, suffix.GROUP])
+def test_suffix_of_a_common_passage(spark, group):
+    rng = np.random.default_rng(8)
+    odd = lambda n: "".join(rng.choice(list("abcdefgh ")) for _ in range(n))
+    passage = odd(130)
+    rows = [(i, odd(int(rng.integers(0, 90))) + passage[int(rng.integers(0, 8)) :] + odd(int(rng.integers(0, 90)))) for i in range(60)]
+    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.removed], bytes(r.kept)) for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group, 2).collect()}
+    assert got == brute_repeats(dict(rows))
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 30, 120):
+        text = bytes(rng.choice(list(b"ab"), n).tolist())
+        order = sorted(range(n), key=lambda i: text[i:])
+        common = lambda i, j: next((k for k in range(n) if max(i, j) + k >= n or text[i + k] != text[j + k]), n)  # noqa: B023, E731
+        shared = np.array([0, *(common(a, b) for a, b in zip(order, order[1:]))])
+        got = suffix.longest_previous(np.array(order), shared)
+        assert dict(zip(order, got.tolist())) == {i: max((common(i, j) for j in range(i)), default=0) for i in range(n)}
+
+
 def test_anchors_in_segments_are_those_of_the_whole(monkeypatch):
     text = bytes(np.random.default_rng(1).integers(97, 100, 9000, dtype=np.uint8))
     whole = suffix.document_anchors([text])
