@@ -2,9 +2,10 @@
 
 A paragraph is a piece of a line, cut where a hash of the few bytes before says so (more often after spaces), so that an edit
 changes the pieces around it and no others. A text's fingerprint is a small table of cells: each paragraph key is added
-to three cells (count, xor of keys, xor of check hashes). Two versions' tables subtract cell by cell; what they share
-cancels, and peeling cells that hold one key recovers the keys that differ. If peeling gets stuck, both tables are
-built again, larger. Tables of all pairs of a block are built and peeled together.
+to three cells (count, xor of keys, xor of check hashes). Two versions' fingerprints subtract cell by cell; what they
+share cancels, and peeling cells that hold one key recovers the keys that differ. Likenesses come from that. Only where
+peeling the fingerprints gets stuck, both tables are built again, larger. Fingerprints of all pairs of a block are
+subtracted and peeled together; difference() does it for two fingerprints as they are returned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 SEEDS = np.arange(1, HASHES + 1, dtype=np.uint64) * BASE
 STEPS = np.arange(1, 4, dtype=np.uint64) * GOLD | np.uint64(1)
 LEAST = -(2**63)
+#: A cell of a fingerprint as it is written: count, xor of keys, xor of checks.
+CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,6 +73,10 @@ def paragraph_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(digests + time.astype(np.uint64) * GOLD), owner
 
 
+def _check(keys: np.ndarray) -> np.ndarray:
+    return (_mix(keys ^ GOLD) >> np.uint64(32)).astype(np.uint32)
+
+
 class Tables:
     """One table of the same number of cells for each owner."""
 
@@ -77,10 +84,10 @@ class Tables:
         self.owners, self.cells, self.part = owners, cells, cells // HASHES
         self.count = np.zeros(owners * cells, dtype=np.int32)
         self.keys = np.zeros(owners * cells, dtype=np.uint64)
-        self.checks = np.zeros(owners * cells, dtype=np.uint64)
+        self.checks = np.zeros(owners * cells, dtype=np.uint32)
 
     def add(self, keys: np.ndarray, owner: np.ndarray, sign: np.ndarray | int) -> None:
-        check = _mix(keys ^ GOLD)
+        check = _check(keys)
         sign = np.broadcast_to(np.asarray(sign, dtype=np.int32), keys.shape)
         for j in range(HASHES):
             at = owner * self.cells + j * self.part + (_mix(keys + SEEDS[j]) % np.uint64(self.part)).astype(np.int64)
@@ -93,7 +100,7 @@ class Tables:
         found = []
         look = np.arange(len(self.count))
         while True:
-            pure = look[(np.abs(self.count[look]) == 1) & (self.checks[look] == _mix(self.keys[look] ^ GOLD))]
+            pure = look[(np.abs(self.count[look]) == 1) & (self.checks[look] == _check(self.keys[look]))]
             if not len(pure):
                 break
             owner, keys, sign = pure // self.cells, self.keys[pure], self.count[pure]
@@ -108,36 +115,67 @@ class Tables:
         keys, owner, sign = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         return keys, owner, sign, clean
 
+    def part_of(self, first: int, last: int) -> Tables:
+        """The tables of owners from first to last."""
+        out = Tables(0, self.cells)
+        out.owners, cut = last - first, slice(first * self.cells, last * self.cells)
+        out.count, out.keys, out.checks = self.count[cut].copy(), self.keys[cut].copy(), self.checks[cut].copy()
+        return out
+
+    def minus(self, other: Tables) -> Tables:
+        """Cell by cell, what remains of these tables without others of the same owners."""
+        out = self.part_of(0, self.owners)
+        out.count -= other.count
+        out.keys ^= other.keys
+        out.checks ^= other.checks
+        return out
+
     def encoded(self, sizes: np.ndarray) -> list[str]:
-        """Each table as text: number of paragraphs, then count, key and check of every cell."""
-        rows = np.zeros((self.owners, 4 + 12 * self.cells), dtype=np.uint8)
-        rows[:, :4] = sizes.astype("<u4")[:, None].view(np.uint8)
-        for at, values, kind in ((0, self.count.astype("<i2"), "<i2"), (2, self.keys, "<u8"), (10, (self.checks & np.uint64(0xFFFF)).astype("<u2"), "<u2")):
-            wide = np.dtype(kind).itemsize
-            own = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(self.owners, self.cells, wide)
-            for c in range(self.cells):
-                rows[:, 4 + 12 * c + at : 4 + 12 * c + at + wide] = own[:, c]
-        return [base64.b64encode(r.tobytes()).decode() for r in rows]
-
-
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, pair, sign) on one side only (sign 1: a, -1: b) and the cells that each pair took; a and b: (keys, pair)."""
+        """Each table as text: number of paragraphs, then every cell."""
+        rows = np.empty(len(self.count), dtype=CELL)
+        rows["count"], rows["key"], rows["check"] = self.count, self.keys, self.checks
+        data, step = rows.tobytes(), CELL.itemsize * self.cells
+        return [base64.b64encode(n.to_bytes(8, "little") + data[i * step : (i + 1) * step]).decode() for i, n in enumerate(sizes.tolist())]
+
+
+def decode(fingerprint: str) -> tuple[int, Tables]:
+    """(number of paragraphs, table) of a fingerprint as it was returned."""
+    data = base64.b64decode(fingerprint)
+    rows = np.frombuffer(data, dtype=CELL, offset=8)
+    out = Tables(1, len(rows))
+    out.count[:], out.keys[:], out.checks[:] = rows["count"], rows["key"], rows["check"]
+    return int.from_bytes(data[:8], "little"), out
+
+
+def difference(a: str, b: str) -> tuple[set[int], set[int]] | None:
+    """Paragraph keys that only a or only b has, from two fingerprints; None if they differ by more than they can tell."""
+    keys, _, sign, clean = decode(a)[1].minus(decode(b)[1]).peel()
+    return (set(keys[sign > 0].tolist()), set(keys[sign < 0].tolist())) if clean[0] else None
+
+
+def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], pairs: int, first: Tables | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, pair, sign) on one side only (sign 1: a, -1: b) and the cells that each pair took; a and b: (keys, pair).
+
+    first: a's tables less b's, if they are there already; pairs that it can't peel get larger tables of their own.
+    """
     keys, owner = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
     sign = np.concatenate([np.ones(len(a[0]), np.int32), -np.ones(len(b[0]), np.int32)])
-    left, cells, out = np.arange(pairs), CELLS, []
+    left, out, tables = np.arange(pairs), [], first
     took = np.zeros(pairs, dtype=np.int64)
+    cells = first.cells if first else CELLS
     while len(left):
-        number = np.full(pairs, -1)
-        number[left] = np.arange(len(left))
-        mine = number[owner] >= 0
-        keys, owner, sign = keys[mine], owner[mine], sign[mine]
-        tables = Tables(len(left), cells)
-        tables.add(keys, number[owner], sign)
+        if tables is None:
+            number = np.full(pairs, -1)
+            number[left] = np.arange(len(left))
+            mine = number[owner] >= 0
+            keys, owner, sign = keys[mine], owner[mine], sign[mine]
+            tables = Tables(len(left), cells)
+            tables.add(keys, number[owner], sign)
         k, o, s, clean = tables.peel()
         good = clean[o]
         out.append((k[good], left[o[good]], s[good]))
         took[left[clean]] = cells
-        left, cells = left[~clean], cells * GROWTH
+        left, cells, tables = left[~clean], cells * GROWTH, None
     keys, owner, sign = (np.concatenate(x) for x in zip(*out)) if out else (keys, owner, sign)
     return keys, owner, sign, took
 
@@ -163,17 +201,17 @@ def _compare(texts: list[str]) -> dict[str, list]:
     keys, owner = paragraph_keys(raw)
     keys2, owner2 = paragraph_keys(raw_changed)
     n, n2 = np.bincount(owner, minlength=m + 1), np.bincount(owner2, minlength=m)
-    sketch, sketch2 = Tables(m, CELLS), Tables(m, CELLS)
-    own = owner < m
-    sketch.add(keys[own], owner[own], 1)
+    sketch, sketch2 = Tables(m + 1, CELLS), Tables(m, CELLS)
+    sketch.add(keys, owner, 1)
     sketch2.add(keys2, owner2, 1)
-    d2 = np.bincount(differences((keys[own], owner[own]), (keys2, owner2), m)[1], minlength=m)
-    after = owner > 0
-    d1 = np.bincount(differences((keys[own], owner[own]), (keys[after], owner[after] - 1), m)[1], minlength=m)
+    own, after, mine = owner < m, owner > 0, sketch.part_of(0, m)
+    one = (keys[own], owner[own])
+    d2 = np.bincount(differences(one, (keys2, owner2), m, mine.minus(sketch2))[1], minlength=m)
+    d1 = np.bincount(differences(one, (keys[after], owner[after] - 1), m, mine.minus(sketch.part_of(1, m + 1)))[1], minlength=m)
     return {
         "n_chars": [len(t) for t in texts[:-1]],
         "edited_sha256": [hashlib.sha256(t).hexdigest() for t in raw_changed],
-        "fingerprint": sketch.encoded(n[:m]),
+        "fingerprint": mine.encoded(n[:m]),
         "edited_fingerprint": sketch2.encoded(n2),
         "near_edited": likeness(d2, n[:m], n2).tolist(),
         "near_next": likeness(d1, n[:m], n[1:]).tolist(),
@@ -227,7 +265,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts are empty; an empty text has an empty table. Rows with one doc_id follow each other by text; rows
-    without doc_id come last. A lone document is its own next. The edited text's tail comes from the next document in
+    without doc_id come last. Further columns are ignored. A lone document is its own next. The edited text's tail comes from the next document in
     descending doc_id, the first one after the last.
     """
 
