@@ -1,20 +1,25 @@
 """Mixture-controlled packing: deficit round-robin over one queue of tokens per source.
 
-A queue is served in packets. The source whose next packet has the least virtual time (k + 1/2) / weight is served
-next, so what a source is owed (its share of all that was served, less what it got) stays under a packet or so, is
-never reset, and is carried over windows and partitions alike. Virtual times have a closed form: the place of packet k
-of a source is the sum over all sources of what they were served before that time. So every partition cuts its own
-documents to their places, and no task walks the whole stream. A queue that runs dry leaves its turns to the others.
+A queue is a source's documents in ascending doc_id. In every round each queue's deficit grows by its quantum, its
+target share of a window; it sends whole packets while its deficit covers them, and what is left of the deficit is
+carried to the next round, over windows and partitions alike. A round sends about a window, so every window meets the
+target proportions to within a packet or so of each source. A queue that runs dry leaves; the others keep their quanta,
+so their shares among each other stay.
+
+After how many rounds a token is sent depends on its place in its queue, its quantum and nothing else, so rounds are
+computed where the documents are. Only numbers are ordered and added up to find places in the stream (running sums over
+ranges); ids are moved once, to meet the places of their document, and cut there.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,134 +27,202 @@ from pathloom.llm.common import documents, small_batches, staged, text_or_empty
 from pathloom.llm.tokens import encoder, tokenizer_path
 
 END_ID = 2
-WINDOW, PACKET, STEPS = 4096, 256, 1 << 20
+#: Tokens of a window and of a packet; quanta and deficits are counted in parts of a token.
+WINDOW, PACKET, PARTS = 4096, 64, 1 << 16
+#: Rounds whose sizes are added up together.
+ROUNDS = 4096
 
 
 def encoded(docs: DataFrame, tokenizer: str, pieces: str, end_id: int) -> DataFrame:
-    """(part, queue, doc_id, part_start, n, ids): a document's ids and the ids of its queue before it in its part."""
+    """(part, row, queue, doc_id, n, crc, ids) of every row of docs; part and row name it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), {}
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            queues = batch.column(1).to_pylist()
             ids, counts = encoder(tokenizer, pieces).encode_with_end(batch.column(2).to_pylist(), end_id)
-            starts = []
-            for queue, n in zip(queues, counts.tolist()):
-                starts.append(before.get(queue, 0))
-                before[queue] = starts[-1] + n
-            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            data = np.asarray(ids, dtype="<u4")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(counts), part, np.int32)), batch.column(1), batch.column(0), pa.array(starts, pa.int64()), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
-                names=["part", "queue", "doc_id", "part_start", "n", "ids"],
+                [
+                    pa.array(np.full(len(counts), part, np.int32)),
+                    pa.array(np.arange(row, row + len(counts))),
+                    batch.column(1),
+                    batch.column(0),
+                    pa.array(counts.astype(np.int64)),
+                    pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
+                ],
+                names=["part", "row", "queue", "doc_id", "n", "crc", "ids"],
             )
+            row += len(counts)
 
     small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "part int, queue string, doc_id long, part_start long, n long, ids array<int>")
+    return rows.mapInArrow(run, "part int, row long, queue string, doc_id long, n long, crc long, ids array<int>")
+
+
+def queued(rows: DataFrame) -> DataFrame:
+    """(part, row, queue, begin, n, total): where each document begins in its queue, and the queue's tokens.
+
+    Ranges of (queue, doc_id) are summed up apart; a queue's sum is then carried from range to range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            starts = []
+            for queue, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                before = before if queue == last else 0
+                starts.append(before)
+                before, last = before + n, queue
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(starts), at, np.int32)), pa.array(starts, pa.int64())], names=["part", "row", "queue", "n", "range", "range_start"])
+
+    order = ["queue", "doc_id", "n", "crc", "part", "row"]
+    ranges = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).select("part", "row", "queue", "n")
+    ranges = staged(ranges.mapInArrow(run, "part int, row long, queue string, n long, range int, range_start long"), "packing-queues")
+    sums = ranges.groupBy("queue", "range").agg(F.sum("n").alias("s"))
+    by = W.partitionBy("queue").orderBy("range")
+    before = F.coalesce(F.sum("s").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select("queue", "range", before.alias("base"), F.sum("s").over(W.partitionBy("queue")).alias("total"))
+    return ranges.join(bases, ["queue", "range"]).select("part", "row", "queue", (F.col("base") + F.col("range_start")).alias("begin"), "n", "total")
+
+
+def quantum(share: Column, window: int = WINDOW) -> Column:
+    """What a queue's deficit grows by in a round, in parts of a token."""
+    return F.greatest(F.lit(1), F.rint(share * window * PARTS)).cast("long")
+
+
+def turns_of(begin: np.ndarray, n: np.ndarray, total: np.ndarray, quanta: np.ndarray, packet: int = PACKET) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, round, start in the queue, length): the turns of deficit round-robin in which documents are sent.
+
+    Packet k is sent in the first round after which the deficits of all rounds together cover it and those before it.
+    """
+    first = begin // packet
+    many = (begin + n - 1) // packet - first + 1
+    own = np.repeat(np.arange(len(n)), many)
+    k = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + first[own]
+    low, high = np.maximum(begin[own], k * packet), np.minimum(begin[own] + n[own], (k + 1) * packet)
+    turn = -(-np.minimum((k + 1) * packet, total[own]) * PARTS // quanta[own])
+    head = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (turn[1:] != turn[:-1])))) if len(own) else own
+    return own[head], turn[head], low[head], np.add.reduceat(high - low, head) if len(head) else low
 
 
-class Schedule:
-    """Places of packets in the stream, for queues of the given totals served by the given weights."""
+def turns(places: DataFrame, packet: int) -> DataFrame:
+    """(part, row, queue, round, at, start, length) of queued documents with their quanta."""
 
-    def __init__(self, totals: list[int], weights: list[float], window: int = WINDOW, packet: int = PACKET) -> None:
-        self.totals, self.window, self.packet = np.array(totals, dtype=np.int64), window, packet
-        top = max(weights, default=1) or 1
-        self.weights = np.maximum(1, np.rint(np.array(weights, dtype=float) / top * STEPS)).astype(np.int64)
-        total = int(self.totals.sum())
-        self.full = total // window * window
-        tail, at, self.edges = total - self.full, self.full, [self.full]
-        while tail:  # the rest fills sequences of powers of two, which need no padding
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, n, total, quanta = (np.asarray(batch.column(i), dtype=np.int64) for i in (3, 4, 5, 6))
+            own, turn, at, length = turns_of(begin, n, total, quanta, packet)
+            for a in range(0, len(own), 50_000):
+                b = slice(a, a + 50_000)
+                here = pa.array(own[b])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(here) for i in range(3)), pa.array(turn[b]), pa.array(at[b]), pa.array(at[b] - begin[own[b]]), pa.array(length[b])],
+                    names=["part", "row", "queue", "round", "at", "start", "length"],
+                )
+
+    return places.select("part", "row", "queue", "begin", "n", "total", "quantum").mapInArrow(run, "part int, row long, queue string, round long, at long, start long, length long")
+
+
+def placed(sent: DataFrame) -> DataFrame:
+    """(part, row, start, length, place) of turns: their places in the stream of all rounds, queues in order of name."""
+    sizes = sent.groupBy("round").agg(F.sum("length").alias("size")).withColumn("block", F.floor(F.col("round") / ROUNDS))
+    blocks = sizes.groupBy("block").agg(F.sum("size").alias("s"))
+    before = lambda c, by: F.coalesce(F.sum(c).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("block", before("s", W.orderBy("block")).alias("base"))  # one row for ROUNDS windows
+    bases = sizes.join(blocks, "block").select("round", (F.col("base") + before("size", W.partitionBy("block").orderBy("round"))).alias("base"))
+    inside = before("length", W.partitionBy("round").orderBy("queue", "at"))
+    return sent.withColumn("inside", inside).join(bases, "round").select("part", "row", "start", "length", (F.col("base") + F.col("inside")).alias("place"))
+
+
+class Sequences:
+    """Where sequences begin: full windows, then powers of two for the rest, which need no padding."""
+
+    def __init__(self, total: int, window: int) -> None:
+        self.window, self.full = window, total // window * window
+        tail, edges = total - self.full, [self.full]
+        while tail:
             step = 1 << (tail.bit_length() - 1)
-            at, tail = at + step, tail - step
-            self.edges.append(at)
-        self.edges = np.array(self.edges, dtype=np.int64)
-
-    def place(self, queue: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Position in the stream at which packet k of each queue begins."""
-        out, own = np.zeros(len(k), dtype=np.int64), self.weights[queue]
-        for s, weight in enumerate(self.weights.tolist()):
-            turn = (2 * k + 1) * weight
-            before = np.where(s < queue, (turn // own + 1) // 2, -(-turn // own) // 2)
-            out += np.minimum(before * self.packet, self.totals[s])
-        return out
-
-    def sequence(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sequence, offset in it, room to its end) of each position."""
-        tail = np.maximum(np.searchsorted(self.edges, at, side="right") - 1, 0)
-        last = np.append(self.edges, self.edges[-1] + 1)
+            edges.append(edges[-1] + step)
+            tail -= step
+        self.edges = np.array(edges, dtype=np.int64)
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, offset in it, room to its end) of each place."""
+        tail = np.clip(np.searchsorted(self.edges, at, side="right") - 1, 0, max(0, len(self.edges) - 2))
         in_tail = at >= self.full
         sequence = np.where(in_tail, self.full // self.window + tail, at // self.window)
-        begin = np.where(in_tail, self.edges[np.minimum(tail, len(self.edges) - 1)], sequence * self.window)
-        return sequence, at - begin, np.where(in_tail, last[tail + 1] - at, self.window - (at - begin))
-
-    def pieces(self, queue: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, start in the document, length, sequence, offset) of all pieces of documents at [begin, begin + n) of their queues."""
-        first, last = begin // self.packet, (begin + n - 1) // self.packet
-        many = last - first + 1
-        row = np.repeat(np.arange(len(n)), many)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
-        low = np.maximum(begin[row], k * self.packet)
-        high = np.minimum(begin[row] + n[row], (k + 1) * self.packet)
-        at = self.place(queue[row], k) + low - k * self.packet
-        start, length = low - begin[row], high - low
+        begin = np.where(in_tail, self.edges[tail], sequence * self.window)
+        end = np.where(in_tail, self.edges[np.minimum(tail + 1, len(self.edges) - 1)], begin + self.window)
+        return sequence, at - begin, end - at
+
+    def pieces(self, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, length, sequence, offset) of one document's turns, cut where sequences end and joined where they go on."""
+        order = np.argsort(start)
+        start, length, place = start[order], length[order], place[order]
+        on = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1] + length[:-1])))
+        start, place, length = start[on], place[on], np.add.reduceat(length, on)
         done = []
-        while len(row):
-            sequence, offset, room = self.sequence(at)
+        while len(start):
+            sequence, offset, room = self.of(place)
             now = np.minimum(length, room)
-            done.append((row, start, now, sequence, offset))
+            done.append((start, now, sequence, offset))
             more = length > room
-            row, start, length, at = row[more], (start + now)[more], (length - now)[more], (at + now)[more]
-        if not done:
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
-        row, start, length, sequence, offset = (np.concatenate(x) for x in zip(*done))
-        order = np.lexsort((start, row))
-        row, start, length, sequence, offset = (x[order] for x in (row, start, length, sequence, offset))
-        joins = (row[1:] == row[:-1]) & (sequence[1:] == sequence[:-1]) & (offset[1:] == offset[:-1] + length[:-1])
-        head = np.flatnonzero(np.concatenate(([True], ~joins)))
-        return row[head], start[head], np.add.reduceat(length, head), sequence[head], offset[head]
+            start, length, place = (start + now)[more], (length - now)[more], (place + now)[more]
+        start, length, sequence, offset = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(start)
+        return start[order], length[order], sequence[order], offset[order]
+
+
+PIECES = "doc_id long, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def pack(docs: DataFrame, tokenizer: str, pieces: str = "text", end_id: int = END_ID, weights: dict[str, float] | None = None, window: int = WINDOW, packet: int = PACKET) -> DataFrame:
     """Pieces of all documents: doc_id, queue, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
-    weights: target share of tokens by source (1 if not named); None takes each source's own share, so that all queues
-    end together. Every id is in one piece; all sequences are full up to window, the rest fills powers of two. Null
-    texts are empty and give the end id alone; a null source is the queue "". The number of sources is collected, not
-    their rows. Rows that repeat are packed as often as they came; rows without doc_id are packed too.
+    weights: target proportions of sources (1 if not named). None targets the proportions of docs themselves, so that
+    all queues end together and every window looks like the whole. Every id is in one piece; all sequences are full up
+    to window, the rest fills powers of two. The result doesn't depend on how docs is stored. Null texts are empty and
+    give the end id alone; a null source is the queue "". Rows that repeat are packed as often as they came; rows
+    without doc_id come first in their queue. Further columns are ignored. An empty table gives an empty result.
     """
     rows = staged(encoded(docs, tokenizer, pieces, end_id), "packing-ids")
-    parts = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = staged(parts.select("queue", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).coalesce(1), "packing-bases")
-    found = sorted((r.queue, int(r.n)) for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect())
-    number = {queue: i for i, (queue, _) in enumerate(found)}
-    schedule = Schedule([n for _, n in found], [n if weights is None else weights.get(queue, 1) for queue, n in found], window, packet)
+    places = queued(rows)
+    if weights is None:
+        weight = F.col("total").cast("double")
+    else:
+        weight = F.lit(1.0)
+        for name, w in sorted(weights.items()):
+            weight = F.when(F.col("queue") == name, float(w)).otherwise(weight)
+    by_queue = rows.groupBy("queue").agg(F.sum("n").alias("total"))
+    total, every = by_queue.agg(F.sum("total"), F.sum(weight)).first()
+    sequences = Sequences(int(total or 0), window)
+    sent = staged(turns(places.withColumn("quantum", quantum(weight / F.lit(float(every or 1)), window)), packet), "packing-turns")
+    lists = placed(sent).groupBy("part", "row").agg(F.collect_list(F.struct("start", "length", "place")).alias("turns"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queue = np.array([number[q] for q in batch.column(1).to_pylist()], dtype=np.int64)
-            n = np.asarray(batch.column(3), dtype=np.int64)
-            ids, at = np.asarray(batch.column(4).values, dtype="<u4"), np.asarray(batch.column(4).offsets, dtype=np.int64)
-            row, start, length, sequence, offset = schedule.pieces(queue, np.asarray(batch.column(2), dtype=np.int64), n)
-            for a in range(0, len(row), 20_000):
-                b = slice(a, a + 20_000)
-                low = (at[row[b]] + start[b]).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(row[b])),
-                        batch.column(1).take(pa.array(row[b])),
-                        pa.array(start[b]),
-                        pa.array(length[b]),
-                        pa.array(n[row[b]]),
-                        pa.array(sequence[b]),
-                        pa.array(offset[b]),
-                        pa.array([ids[x : x + m].tobytes() for x, m in zip(low, length[b].tolist())], pa.binary()),
-                    ],
-                    names=["doc_id", "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-                )
-
-    placed = rows.join(bases.select("queue", "part", "base"), ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("part_start")).alias("begin"), "n", "ids")
-    return placed.mapInArrow(cut, "doc_id long, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+            ids, at = np.asarray(batch.column(3).values, dtype="<u4"), np.asarray(batch.column(3).offsets, dtype=np.int64)
+            sent, ends = batch.column(4).values, np.asarray(batch.column(4).offsets, dtype=np.int64)
+            columns = [np.asarray(sent.field(i), dtype=np.int64) for i in range(3)]
+            own, found = [], []
+            for i in range(batch.num_rows):
+                mine = slice(ends[i], ends[i + 1])
+                got = sequences.pieces(*(c[mine] for c in columns))
+                own.append(np.full(len(got[0]), i))
+                found.append(got)
+            if not own:
+                continue
+            own = np.concatenate(own)
+            start, length, sequence, offset = (np.concatenate(x) for x in zip(*found))
+            n = np.asarray(batch.column(2), dtype=np.int64)
+            low = (at[own] + start).tolist()
+            data = pa.array([ids[x : x + m].tobytes() for x, m in zip(low, length.tolist())], pa.binary())
+            out = [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), *map(pa.array, (start, length, n[own], sequence, offset)), data]
+            yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in PIECES.split(", ")])
+
+    return rows.join(lists, ["part", "row"]).select("doc_id", "queue", "n", "ids", "turns").mapInArrow(cut, PIECES)
 
 
 def digested(pieces: DataFrame) -> DataFrame:
@@ -161,4 +234,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all of docs as the query does; nulls, empty texts and repeated rows as in pack()."""
     return digested(pack(docs, tokenizer_path("word_bpe_49k.json"), "word"))
