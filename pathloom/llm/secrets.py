@@ -2,12 +2,12 @@
 
 A text version is a blob, addressed by the SHA-256 of its bytes; many paths (documents, revisions) may hold one blob.
 The ledger lists the (blob, rule version) pairs that were scanned before, with what was found. Only pairs that it lacks
-are scanned, each blob once, and findings are joined back to every path that holds the blob.
+are scanned, each blob once, and findings are joined back to every path that holds the blob. A run stages what it scanned,
+so that the next run, with more versions or newer rules, reads it as its ledger.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -24,7 +24,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Rules that the ledger adds to the base ones.
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{20,}")
 URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,256}:[^\s/:@]{1,256}@")
 
@@ -48,17 +48,41 @@ def _where(pattern: re.Pattern[str], needle: str) -> Callable[[str], list[tuple[
     return lambda text: [m.span() for m in pattern.finditer(text)] if needle in text else []
 
 
+def _jwt(text: str) -> list[tuple[int, int]]:
+    """eyJ and 8 characters or more, and twice a dot with 8 or more, each run of letters, digits, _ and - to its end."""
+    if "eyJ" not in text:
+        return []
+    found = []
+    for run in DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, i = run[0].split("."), run.start(), 0
+        starts = [at]
+        for p in parts:
+            starts.append(starts[-1] + len(p) + 1)
+        while i + 2 < len(parts):
+            head = parts[i].find("eyJ")
+            if head >= 0 and len(parts[i]) - head >= 11 and len(parts[i + 1]) >= 8 and len(parts[i + 2]) >= 8:
+                found.append((starts[i] + head, starts[i + 3] - 1))
+                i += 3
+            else:
+                i += 1
+    return found
+
+
 #: Kind, version and scanner of every rule, in the order in which spans with one start are listed.
 RULES: list[tuple[str, int, Callable[[str], list[tuple[int, int]]]]] = [
     ("assign", 1, _assign),
     ("access", 1, _access),
     ("hex", 1, _hex),
     ("pem", 1, _where(PEM, "-----BEGIN ")),
-    ("jwt", 1, _where(JWT, "eyJ")),
+    ("jwt", 1, _jwt),
     ("github", 1, _where(GITHUB, "gh")),
     ("url", 1, _where(URL, "://")),
 ]
 BASE = ("assign", "access", "hex")
+#: Rules of the query's earlier run; github and url came after it.
+EARLIER = ("assign", "access", "hex", "pem", "jwt")
 ORDER = {kind: i for i, (kind, _, _) in enumerate(RULES)}
 FINDINGS = "blob string, rules array<string>, spans array<struct<kind: string, start: long, end: long>>"
 
@@ -69,8 +93,8 @@ def scan_text(text: str, kinds: list[str]) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
-def rule_keys() -> list[str]:
-    return [f"{kind}@{version}" for kind, version, _ in RULES]
+def rule_keys(kinds: tuple[str, ...] | None = None) -> list[str]:
+    return [f"{kind}@{version}" for kind, version, _ in RULES if kinds is None or kind in kinds]
 
 
 def blobs(docs: DataFrame) -> DataFrame:
@@ -78,12 +102,13 @@ def blobs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).withColumn("blob", F.sha2("text", 256))
 
 
-def scanned(paths: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Ledger rows (blob, rules, spans) of the blobs in paths (doc_id, text, blob) with rules that the ledger lacks.
+def scanned(paths: DataFrame, ledger: DataFrame | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Ledger rows (blob, rules, spans) of the blobs in paths (doc_id, text, blob) with rules of kinds (None: all) that
+    the ledger lacks.
 
     A blob's text comes from one of its paths, so that whatever its number of copies, it moves and is scanned once.
     """
-    wanted = F.array(*(F.lit(k) for k in rule_keys()))
+    wanted = F.array(*(F.lit(k) for k in rule_keys(kinds)))
     first = paths.groupBy("blob").agg(F.min(F.struct("doc_id")).alias("at")).select("blob", F.col("at.doc_id").alias("doc_id"))
     if ledger is not None:
         done = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
@@ -103,14 +128,19 @@ def scanned(paths: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return unseen.mapInArrow(run, FINDINGS).dropDuplicates(["blob"])
 
 
+def extended(paths: DataFrame, ledger: DataFrame | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The ledger with what it lacked of paths, scanned and staged."""
+    new = staged(scanned(paths, ledger, kinds), "findings")
+    return new if ledger is None else ledger.select("blob", "rules", "spans").unionByName(new)
+
+
 def secrets(paths: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, blob, spans) of every path, and the ledger with what this run scanned.
 
     Null and empty texts are one blob without spans. Rows that repeat are paths of one blob; rows without doc_id are
-    paths too. Spans are ordered by start and kind.
+    paths too. Spans are ordered by start and kind. Columns of docs but doc_id and text are ignored by blobs().
     """
-    new = staged(scanned(paths, ledger), "findings")
-    book = new if ledger is None else ledger.select("blob", "rules", "spans").unionByName(new)
+    book = extended(paths, ledger)
     found = book.select("blob", F.explode("spans").alias("span")).groupBy("blob").agg(F.collect_set("span").alias("spans"))
     kinds = F.array(*(F.lit(k) for k in ORDER))
     order = lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
@@ -119,14 +149,17 @@ def secrets(paths: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFram
     return paths.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast("array<struct<start: long, rank: long, end: long, kind: string>>")).alias("spans")), book
 
 
+def earlier(docs: DataFrame) -> DataFrame:
+    """The rows of the lowest eighth of the id range, which an earlier run has seen."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return docs.where(F.col("doc_id") <= (low or 0) + ((high or 0) - (low or 0)) // 8)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = secrets(blobs(documents(spark, sf_dir)))
+    """Two runs: an earlier one over some versions with fewer rules, and one over all that scans what its ledger lacks."""
+    docs = documents(spark, sf_dir)
+    paths, _ = secrets(blobs(docs), extended(blobs(earlier(docs)), kinds=EARLIER))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return paths.select("doc_id", *(count(k) for k in BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
-
-
-def base_digest(text: str) -> str:
-    """The digest that the query gives for a text, from one scan of it."""
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in scan_text(text, list(BASE))).encode()).hexdigest()
