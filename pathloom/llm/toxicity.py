@@ -1,12 +1,14 @@
 """Toxicity by a gap-weighted subsequence-kernel SVM with Nystroem landmarks.
 
-The kernel of two strings sums, over their common subsequences of three characters, decay to the power of the spans
-that they take in both; a span is at most SPAN characters. Letters that are put between an insult's own cost a factor
-and no more. Landmarks are units (words, or spelled-out letters in a row) of labelled training sentences; a unit's
-features are its kernels with the landmarks times the inverse root of the landmarks' own kernel matrix. A linear SVM on
-these is trained over sentences as bags of units: a toxic document has at least one toxic unit, a clean one has none.
-
-The decision function of such an SVM is itself a weighting of three-character subsequences, which is how units are
+The kernel of two strings sums, over their common subsequences of three letters, decay to the power of the spans that
+they take in both. Only the letters in between are limited (SPAN); digits, marks and blanks between letters cost decay
+and no more, so an insult is recognised whatever is put between its letters. Landmarks are units of labelled training
+sentences: words, runs of spelled-out letters, and phrases of two words. A unit's features are its kernels with the
+landmarks times the inverse root of the landmarks' own kernel matrix. A linear SVM on these is trained over labelled
+sentences as bags of units: a toxic document has at least one toxic unit, a clean one has none. Phrases are looked for
+in the sentences of toxic documents that no single unit explains, and are formed of words that resemble theirs.
+
+The decision function of such an SVM is itself a weighting of three-letter subsequences, which is how units are
 scored: exactly the Nystroem decision, at the price of one table lookup per subsequence. Distinct units are scored once
 per Python worker while they stay in its cache.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -22,29 +25,33 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import DOCUMENT_COLUMNS, documents, small_batches
+from pathloom.llm.common import DOCUMENT_COLUMNS, documents, small_batches, staged
 
 ORDER, SPAN, DECAY = 3, 6, 0.6
 UNIT, STEP = 32, 16
 SYMBOLS = 64
-#: Labelled documents that a model is fitted on, at most, of each class; landmarks; clean units kept for training.
-PER_CLASS, LANDMARKS, CLEAN_UNITS = 1200, 192, 10_000
-#: Units of a toxic document that may stand for its label.
-WITNESSES = 3
+#: The sample of labelled rows that a model is fitted on: documents of each class and their bytes, at most, and of their
+#: units the clean ones that are trained on and those of a toxic document that may stand for its label.
+PER_CLASS, CLASS_BYTES, CLEAN_UNITS, WITNESSES = 1200, 32 << 20, 10_000, 3
+LANDMARKS, PHRASES = 192, 32
+#: Kernel with a phrase's word from which on a word may stand for it.
+RESEMBLES = 0.6
 FOLDS = 5
 EDGES = ".,;:!?\"'()[]{}|<>*_-~`"
-SENTENCE = re.compile(r"[.!?\n]+\s*")
+SENTENCE_END = re.compile(r"[.!?][\"')\]]*$")
 
 
 def spelled(words: list[str]) -> list[str]:
-    """Runs of three or more single characters in a row, joined: insults that are spelled out."""
+    """Runs of three or more single letters in a sentence, joined: insults that are spelled out, with marks or without."""
     out, run = [], []
     for w in [*words, "##"]:
-        if len(w) == 1:
-            run.append(w)
-        else:
+        letter = w if len(w) == 1 else w.strip(EDGES)
+        if len(letter) == 1:
+            run.append(letter)
+        if len(letter) != 1 or SENTENCE_END.search(w):
             if len(run) >= ORDER:
                 out.append("".join(run))
             run = []
@@ -53,7 +60,17 @@ def spelled(words: list[str]) -> list[str]:
 
 def units_of(text: str) -> list[str]:
     words = text.split()
-    return words + spelled(words)
+    return words + (spelled(words) if any(len(w) <= 3 for w in words) else [])
+
+
+def adjacent(text: str) -> list[tuple[str, str]]:
+    """Words that follow each other in a sentence, as they are in the text."""
+    words = text.split()
+    return [(a, b) for a, b in zip(words, words[1:]) if not SENTENCE_END.search(a)]
+
+
+def phrase(a: str, b: str) -> str:
+    return f"{a.lower().strip(EDGES)} {b.lower().strip(EDGES)}"
 
 
 def codes(unit: str) -> np.ndarray:
@@ -66,25 +83,30 @@ def codes(unit: str) -> np.ndarray:
 
 
 OFFSETS = np.array([(0, a, b) for a, b in combinations(range(1, SPAN), 2)], dtype=np.int64)
-FACTORS = DECAY ** (OFFSETS[:, 2] + 1.0)
+POWERS = DECAY ** np.arange(UNIT + 2.0)
 
 
 def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit, subsequence code, weight) of every subsequence of units, added up by code; weights of a unit have norm 1.
 
-    Units longer than UNIT characters must be cut before (windows()).
+    A subsequence's letters lie within SPAN letters; its weight falls with all characters that it spans. Units longer
+    than UNIT characters must be cut before (windows()).
     """
     width = max((len(u) for u in units), default=0)
     table = np.zeros((len(units), width + SPAN), dtype=np.int64)
+    place = np.zeros((len(units), width + SPAN), dtype=np.int64)
     for i, u in enumerate(units):
-        table[i, : len(u)] = codes(u)
+        own = codes(u)
+        at = np.flatnonzero(own)
+        table[i, : len(at)], place[i, : len(at)] = own[at], at
     first = table[:, :width, None]
     second, third = (np.stack([table[:, o : o + width] for o in OFFSETS[:, j]], axis=2) for j in (1, 2))
-    code = (first * SYMBOLS + second) * SYMBOLS + third
-    real = (first > 0) & (second > 0) & (third > 0)
-    at = np.broadcast_to(np.arange(len(units))[:, None, None], code.shape)[real]
-    weight = np.broadcast_to(FACTORS[None, None, :], code.shape)[real]
-    key = at * SYMBOLS**3 + code[real]
+    real = third > 0
+    code = ((first * SYMBOLS + second) * SYMBOLS + third)[real]
+    span = np.stack([place[:, o : o + width] for o in OFFSETS[:, 2]], axis=2) - place[:, :width, None] + 1
+    weight = POWERS[span[real]]
+    at = np.broadcast_to(np.arange(len(units))[:, None, None], real.shape)[real]
+    key = at * SYMBOLS**3 + code
     order = np.argsort(key, kind="stable")
     key, weight = key[order], weight[order]
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -119,12 +141,29 @@ def gram(left: list[str], right: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """table: the decision's weight of each subsequence; bias; slope and centre of the logistic link to [0, 1]."""
+    """table: the decision's weight of each subsequence; bias; slope and centre of the logistic link to [0, 1].
+
+    marks and alpha: landmarks and their weights, which table adds up; heads and tails: words that phrases consist of.
+    """
 
     table: np.ndarray
     bias: float
     slope: float
     centre: float
+    marks: tuple[str, ...] = ()
+    alpha: tuple[float, ...] = ()
+    heads: tuple[str, ...] = ()
+    tails: tuple[str, ...] = ()
+
+    def roles(self, words: list[str]) -> list[int]:
+        """Whether each word resembles a phrase's first word (1), its second (2), both (3) or none (0)."""
+        short = [windows(w)[0] for w in words]
+        near = lambda known: (gram(short, list(known)) >= RESEMBLES).any(axis=1).astype(int)
+        return (near(self.heads) + 2 * near(self.tails)).tolist()
+
+    def phrases(self, text: str, roles: dict[str, int]) -> list[str]:
+        """The phrases of a text that are worth a score; roles: those of all words, by word."""
+        return [phrase(a, b) for a, b in adjacent(text) if roles[a] & 1 and roles[b] & 2]
 
     def decisions(self, units: list[str]) -> np.ndarray:
         parts = [windows(u) for u in units]
@@ -173,18 +212,44 @@ def _altered(unit: str, rng: np.random.Generator) -> list[str]:
     return [mark.join(unit)[:UNIT], (unit[:at] + mark + unit[at:])[:UNIT]]
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """A model from labelled documents; without both classes, one that calls everything clean."""
-    same: dict[str, str] = {}  # one string object for a unit wherever it stands
-    bags = [sorted({same.setdefault(w, w) for s in SENTENCE.split(t) for u in units_of(s) for w in windows(u) if len(w) >= ORDER}) for t in texts]
-    count: dict[str, list[int]] = {}
+def _counts(bags: list[set], labels: list[int]) -> dict[object, list[int]]:
+    """In how many clean and toxic bags each thing is."""
+    count: dict[object, list[int]] = {}
     for bag, label in zip(bags, labels):
         for u in bag:
             count.setdefault(u, [0, 0])[label] += 1
+    return count
+
+
+def _odds(count: dict, n: list[int]) -> dict:
+    return {u: np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1)) for u, c in count.items()}
+
+
+def _trained(marks: list[str], positives: list[str], many: dict[str, int], negatives: list[str], negative_weight: np.ndarray, rng: np.random.Generator) -> Model:
+    """An SVM on Nystroem features of positives (with altered ones) and negatives, written as a table of subsequences."""
+    values, vectors = np.linalg.eigh(gram(marks, marks))
+    good = values > 1e-4
+    root = vectors[:, good] / np.sqrt(values[good])
+    altered = [v for u in positives for v in _altered(u, rng)]
+    x = np.vstack([gram(positives + altered, marks) @ root, gram(negatives, marks) @ root])
+    y = np.concatenate([np.ones(len(positives) + len(altered)), -np.ones(len(negatives))])
+    weight = np.concatenate([[1 + np.log1p(many.get(u, 1)) * 3 for u in positives], np.ones(len(altered)), negative_weight])
+    w, bias = _svm(x, y, weight)
+    alpha = root @ w
+    at, code, value = features(marks)
+    table = np.bincount(code, value * alpha[at], minlength=SYMBOLS**3)
+    return Model(table, bias, 6.0, 0.0, tuple(marks), tuple(alpha.tolist()))
+
+
+def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+    """A model from labelled documents; without both classes, one that calls everything clean."""
+    same: dict[str, str] = {}  # one string object for a unit wherever it stands
+    bags = [sorted({same.setdefault(w, w) for u in units_of(t) for w in windows(u) if len(w) >= ORDER}) for t in texts]
+    count = _counts(bags, labels)
     n = [labels.count(0), labels.count(1)]
     if not min(n) or not count:
         return Model(np.zeros(SYMBOLS**3), -1.0, 4.0, 0.0)
-    odds = {u: np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1)) for u, c in count.items()}
+    odds = _odds(count, n)
     # Candidates for toxic landmarks: in several toxic documents and, for its frequency, in almost no clean one.
     ranked = sorted((u for u in count if count[u][1] >= 2 and odds[u] > 1), key=lambda u: (-count[u][1] * odds[u], u))
     rng = np.random.default_rng(seed)
@@ -195,53 +260,70 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     half = LANDMARKS // 2
     toxic = ranked[:half] or sorted(count)[:1]
     marks = list(dict.fromkeys(toxic + [negatives[i] for i in rng.permutation(len(negatives))[:half]]))
-    k = gram(marks, marks)
-    values, vectors = np.linalg.eigh(k)
-    good = values > 1e-4
-    root = vectors[:, good] / np.sqrt(values[good])
-
-    negative_x = gram(negatives, marks) @ root
-    negative_w = np.array([1 + np.log1p(count[u][0]) for u in negatives])
+    negative_weight = np.array([1 + np.log1p(count[u][0]) for u in negatives])
     candidates = [bag for bag, label in zip(bags, labels) if label and bag]
     strong = {u: o * np.log1p(count[u][1]) for u, o in odds.items() if o > 1}
     witness = _best(candidates, lambda u: strong.get(u, -1.0), 0.0)
     everything = sorted({u for c in candidates for u in c})
-    model = None
+    model, many = None, {}
     for _ in range(2):
-        many: dict[str, int] = {}
-        for u in witness:
-            many[u] = many.get(u, 0) + 1
-        chosen = sorted(many)
-        altered = [v for u in chosen for v in _altered(u, rng)]
-        x = np.vstack([gram(chosen + altered, marks) @ root, negative_x])
-        y = np.concatenate([np.ones(len(chosen) + len(altered)), -np.ones(len(negatives))])
-        weight = np.concatenate([[1 + np.log1p(many[u]) * 3 for u in chosen], np.ones(len(altered)), negative_w])
-        w, bias = _svm(x, y, weight)
-        at, code, value = features(marks)
-        table = np.bincount(code, value * (root @ w)[at], minlength=SYMBOLS**3)
-        model = Model(table, bias, 6.0, 0.0)
+        many = dict(Counter(witness))
+        model = _trained(marks, sorted(many), many, negatives, negative_weight, rng)
         score = dict(zip(everything, model.decisions(everything)))
         witness = _best(candidates, score.__getitem__, 0.0)
-    # The link: halfway between what clean and toxic documents reach at the threshold with the fewest errors.
+
     every = sorted(count)
     value = dict(zip(every, model.decisions(every).tolist()))
     top = np.array([max(map(value.__getitem__, bag), default=model.bias) for bag in bags])
+    is_toxic = np.array(labels) == 1
+    apart_from = max(0.0, float(np.quantile(top[~is_toxic], 0.98)))  # what single units must exceed to explain a label
+    found = _phrases_of([t for t, y, v in zip(texts, labels, top) if y and v <= apart_from], [t for t, y in zip(texts, labels) if not y])
+    if found:
+        alone = sorted({w for pair in found for w in pair})
+        heads, tails = sorted({a for a, _ in found}), sorted({b for _, b in found})
+        explained = sorted(u for u in many if value[u] > apart_from)
+        named = {phrase(*pair): k for pair, k in found.items()}
+        probe = Model(model.table, 0.0, 1.0, 0.0, (), (), tuple(heads), tuple(tails))
+        words = sorted({w for t, y in zip(texts, labels) if not y for w in t.split()})
+        roles = dict(zip(words, probe.roles(words)))
+        apart = {p for t, y in zip(texts, labels) if not y for p in probe.phrases(t, roles)}
+        against = sorted({*negatives, *alone, *apart} - named.keys())
+        weight = np.array([1 + np.log1p(count.get(u, [1])[0]) + 3 * (u in alone or u in apart) for u in against])
+        model = _trained(list(dict.fromkeys([*marks, *named, *alone])), [*explained, *named], {**many, **named}, against, weight, rng)
+        model.heads, model.tails = tuple(heads), tuple(tails)
+        top = best_decisions(model, zlib.crc32(model.table.tobytes()), texts)
+    # The link: halfway between what clean and toxic documents reach at the threshold with the fewest errors.
     at = np.unique(top)
     cuts = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]))
-    is_toxic = np.array(labels) == 1
-    # Classes weigh as in the training rows that the sample stands for; ties go to the middle of the widest gap.
     errors = np.searchsorted(np.sort(top[is_toxic]), cuts) + is_toxic.size - is_toxic.sum() - np.searchsorted(np.sort(top[~is_toxic]), cuts)
-    best = cuts[errors == errors.min()]
+    best = cuts[errors == errors.min()]  # ties go to the middle of the widest gap
     model.centre = float(best[len(best) // 2])
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(text, toxic) of at most per_class labelled documents of each class outside the held-out fold, by digest order."""
+def _phrases_of(unexplained: list[str], clean: list[str]) -> dict[tuple[str, str], int]:
+    """Pairs of words that follow each other in several unexplained texts and, for their frequency, in almost no clean one."""
+    least = max(3, len(unexplained) // 50)
+    if len(unexplained) < least:
+        return {}
+    pairs = lambda t: {tuple(phrase(a, b).split(" ")) for a, b in adjacent(t) if len(phrase(a, b).split(" ")) == 2}
+    count = _counts([pairs(t) for t in [*unexplained, *clean]], [1] * len(unexplained) + [0] * len(clean))
+    odds = _odds(count, [len(clean), len(unexplained)])
+    ranked = sorted((p for p in count if count[p][1] >= least and odds[p] > 1 and min(map(len, p)) > 0), key=lambda p: (-count[p][1] * odds[p], p))
+    return {p: count[p][1] for p in ranked[:PHRASES]}
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> DataFrame:
+    """(doc_id, text, toxic) of labelled documents outside the held-out fold: of each class the first per_class by digest
+    order, and of these as many as class_bytes hold. Texts are whole."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     digest = F.xxhash64("doc_id", F.lit("toxicity"))
     chosen = known.where("toxic = 1").orderBy(digest, "doc_id").limit(per_class).union(known.where("toxic = 0").orderBy(digest, "doc_id").limit(per_class))
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = staged(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    sizes = rows.select("doc_id", "toxic", F.octet_length("text").cast("long").alias("size"))  # a row for each of the sample
+    before = F.sum("size").over(W.partitionBy("toxic").orderBy(digest, "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    fits = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("size") <= class_bytes)
+    return rows.join(F.broadcast(fits.select("doc_id", "toxic").distinct()), ["doc_id", "toxic"]).select("doc_id", "text", "toxic")
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -249,28 +331,39 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     return fit([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
-_SCORES: dict[int, dict[str, float]] = {}
-KNOWN_UNITS = 400_000
+_SCORES: dict[int, tuple[dict[str, float], dict[str, int]]] = {}
+KNOWN_UNITS, KNOWN_CHARACTERS = 400_000, 1000
 
 
 def best_decisions(model: Model, key: int, texts: list[str | None]) -> np.ndarray:
     """The largest decision of each text's units; a text without units gets the lowest that the link tells apart."""
     if key not in _SCORES:
         _SCORES.clear()
-    known = _SCORES.setdefault(key, {})
+    known, roles = _SCORES.setdefault(key, ({}, {}))
     if len(known) > KNOWN_UNITS:
         known.clear()
+        roles.clear()
     lists = [units_of(t) if t else [] for t in texts]
+    if model.heads:
+        new = list({w for t in texts for w in (t or "").split()}.difference(roles))
+        roles.update(zip(new, model.roles(new)))
+        lists = [units + model.phrases(t or "", roles) for units, t in zip(lists, texts)]
     new = list(set().union(*lists).difference(known))
     known.update(zip(new, model.decisions(new).tolist()))
     low = model.centre - 30 / model.slope
-    return np.array([max(map(known.__getitem__, units), default=low) for units in lists], dtype=float)
+    best = np.array([max(map(known.__getitem__, units), default=low) for units in lists], dtype=float)
+    for unit in new:
+        if len(unit) > KNOWN_CHARACTERS:  # long ones are not worth their place
+            known.pop(unit, None)
+            roles.pop(unit, None)
+    return best
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, decision, score) of every row of docs: the largest decision of a text's units through the link.
 
-    Empty and null texts have no unit and score as low as the link goes. Repeated rows are scored as often as they came.
+    Empty and null texts have no unit and score as low as the link goes. Repeated rows are scored as often as they
+    came; rows without doc_id are scored too. Further columns are ignored.
     """
     key = zlib.crc32(model.table.tobytes())
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: one weight per subsequence
@@ -292,7 +385,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the model calls clean, in one pass: rows keep their columns while they are scored."""
+    """The documents that the model calls clean, in one pass: rows keep their columns while they are scored.
+
+    Null and empty texts are clean. Every row is judged by its text alone, so rows that repeat go or stay together.
+    """
     model = fit_labelled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     shared, key = spark.sparkContext.broadcast(model), zlib.crc32(model.table.tobytes())
     plain = docs.select(DOCUMENT_COLUMNS)
