@@ -166,6 +166,7 @@ class Model:
         return [phrase(a, b) for a, b in adjacent(text) if roles[a] & 1 and roles[b] & 2]
 
     def decisions(self, units: list[str]) -> np.ndarray:
+        """The decision of each unit, of its best window if it is long; -inf for one of fewer than three letters."""
         parts = [windows(u) for u in units]
         flat = [w for p in parts for w in p]
         out = np.full(len(flat), self.bias)
@@ -173,6 +174,7 @@ class Model:
             block = flat[i : i + 1000]
             at, code, weight = features(block)
             out[i : i + len(block)] += np.bincount(at, self.table[code] * weight, minlength=len(block))
+            out[i : i + len(block)][np.bincount(at, minlength=len(block)) == 0] = -np.inf  # nothing is known of such a unit
         ends = np.cumsum([len(p) for p in parts])
         return np.maximum.reduceat(out, np.concatenate(([0], ends[:-1]))) if len(parts) else out
 
@@ -293,6 +295,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         model.heads, model.tails = tuple(heads), tuple(tails)
         top = best_decisions(model, zlib.crc32(model.table.tobytes()), texts)
     # The link: halfway between what clean and toxic documents reach at the threshold with the fewest errors.
+    top = np.maximum(top, model.bias)
     at = np.unique(top)
     cuts = np.concatenate(([at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]))
     errors = np.searchsorted(np.sort(top[is_toxic]), cuts) + is_toxic.size - is_toxic.sum() - np.searchsorted(np.sort(top[~is_toxic]), cuts)
@@ -351,7 +354,7 @@ def best_decisions(model: Model, key: int, texts: list[str | None]) -> np.ndarra
     new = list(set().union(*lists).difference(known))
     known.update(zip(new, model.decisions(new).tolist()))
     low = model.centre - 30 / model.slope
-    best = np.array([max(map(known.__getitem__, units), default=low) for units in lists], dtype=float)
+    best = np.maximum(low, np.array([max(map(known.__getitem__, units), default=low) for units in lists], dtype=float))
     for unit in new:
         if len(unit) > KNOWN_CHARACTERS:  # long ones are not worth their place
             known.pop(unit, None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -127,48 +128,73 @@ def test_orc_tokens(spark, docs, texts, no_docs, tmp_path):
     assert orc_tokens.read_tokens(spark, f"{tmp_path}/e.orc").count() == 0
 
 
-def test_schedule_is_deficit_round_robin():
-    totals, weights = [1000, 517, 90, 4096], [3, 2, 1, 1]
-    s = packing.Schedule(totals, weights, window=512, packet=32)
-    left, k, stream = list(totals), [0] * 4, []
-    while any(left):  # one packet at a time from the queue that is owed most, in virtual time
-        q = min((q for q in range(4) if left[q]), key=lambda q: ((2 * k[q] + 1) * int(s.weights.max()) * 10**6 // int(s.weights[q]), q))
-        stream.append((q, k[q], sum(t - x for t, x in zip(totals, left))))
-        left[q] -= min(32, left[q])
-        k[q] += 1
-    q, k, at = (np.array(x) for x in zip(*stream))
-    assert (s.place(q, k) == at).all()
+def brute_round_robin(queues: dict, quanta: dict, packet: int) -> list:
+    """Plain deficit round-robin over queues (lists of tokens): the stream of all tokens."""
+    left, deficit, stream = {q: list(t) for q, t in queues.items()}, dict.fromkeys(queues, 0), []
+    while any(left.values()):
+        for q in sorted(left):
+            if not left[q]:
+                continue
+            deficit[q] += quanta[q]
+            while left[q] and min(packet, len(left[q])) * packing.PARTS <= deficit[q]:
+                some, left[q] = left[q][:packet], left[q][packet:]
+                deficit[q] -= len(some) * packing.PARTS
+                stream += some
+    return stream
+
+
+def brute_packing(documents, weights, window, packet):
+    """{(row, index of a token): (sequence, offset)} of documents (doc_id, source, ids)."""
+    queues = defaultdict(list)
+    for row, (_, source, ids) in sorted(enumerate(documents), key=lambda x: (x[1][0], len(x[1][2]))):
+        queues[source] += [(row, i) for i in range(len(ids))]
+    share = {q: float(len(t)) if weights is None else float(weights.get(q, 1)) for q, t in queues.items()}
+    quanta = {q: max(1, round(share[q] / sum(share.values()) * window * packing.PARTS)) for q in queues}
+    stream = brute_round_robin(queues, quanta, packet)
+    out, at, number = {}, 0, 0
+    while at < len(stream):
+        step = window if len(stream) - at >= window else 1 << ((len(stream) - at).bit_length() - 1)
+        out |= {t: (number, o) for o, t in enumerate(stream[at : at + step])}
+        at, number = at + step, number + 1
+    return out
 
 
-def test_packing(docs, texts, no_docs):
+@pytest.mark.parametrize(("weights", "window", "packet"), [(None, 128, 16), ({"src0": 5.0}, 128, 16), ({"src12": 0.001}, 64, 8), (None, 4096, 64)])
+def test_packing(docs, texts, no_docs, weights, window, packet):
     name = tokens.tokenizer_path("word_bpe_49k.json")
     e = tokens.Encoder(name)
-    ids = {i: [*e.encode([t])[0].tolist(), 2] for i, t in texts.items()}
-    for weights in (None, {"src0": 5.0}):
-        rows = packing.pack(docs, name, "word", weights=weights, window=128, packet=16).collect()
-        sequences, whole = defaultdict(dict), defaultdict(dict)
-        for r in rows:
-            own = np.frombuffer(r.ids, "<u4").tolist()
-            assert len(own) == r.length and own == ids[r.doc_id][r.start : r.start + r.length] and r.doc_tokens == len(ids[r.doc_id])
-            whole[r.doc_id].update(dict.fromkeys(range(r.start, r.start + r.length), 1))
-            for x in range(r.offset, r.offset + r.length):
-                assert x not in sequences[r.sequence_id]
-                sequences[r.sequence_id][x] = r.queue
-        assert {i: len(w) for i, w in whole.items()} == {i: len(w) for i, w in ids.items()} and sum(r.length for r in rows) == sum(map(len, ids.values()))
-        sizes = [len(sequences[i]) for i in range(len(sequences))]
-        assert all(sorted(v) == list(range(len(v))) for v in sequences.values())
-        full = sum(sizes) // 128
-        assert sizes[:full] == [128] * full and all(n & (n - 1) == 0 for n in sizes)
-        if weights is None:
-            total, share, owed = sum(sizes), Counter(q for v in sequences.values() for q in v.values()), Counter()
-            for n in range(full):
-                here = Counter(sequences[n].values())
-                for q in share:
-                    owed[q] += 128 * share[q] / total - here[q]
-                    assert abs(owed[q]) <= 2 * 16
+    source = {r.doc_id: r.source or "" for r in docs.collect()}
+    rows = [(i, source[i], [*e.encode([t])[0].tolist(), 2]) for i, t in texts.items()]
+    number = {i: row for row, (i, _, _) in enumerate(rows)}
+    got, pieces = {}, packing.pack(docs, name, "word", weights=weights, window=window, packet=packet).collect()
+    for r in pieces:
+        row = number[r.doc_id]
+        own = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(own) == r.length and own == rows[row][2][r.start : r.start + r.length] and r.doc_tokens == len(rows[row][2]) and r.queue == rows[row][1]
+        for x in range(r.length):
+            assert (row, r.start + x) not in got
+            got[row, r.start + x] = (r.sequence_id, r.offset + x)
+    assert got == brute_packing(rows, weights, window, packet)
+    moved = packing.pack(docs.repartition(7), name, "word", weights=weights, window=window, packet=packet).collect()
+    assert sorted(map(tuple, moved)) == sorted(map(tuple, pieces))
+    if weights is None:  # every window has the shares of the whole, to a packet or two of each source
+        total, share = sum(len(r[2]) for r in rows), Counter()
+        for _, q, ids in rows:
+            share[q] += len(ids)
+        here = defaultdict(Counter)
+        for (row, _), (sequence, _) in got.items():
+            here[sequence][rows[row][1]] += 1
+        for sequence in range(total // window):
+            assert all(abs(here[sequence][q] - window * share[q] / total) <= 3 * packet for q in share)
     assert packing.pack(no_docs, name, "word").count() == 0
 
 
+def test_rounds_of_many_sources_take_no_loop_over_them():
+    n = 10_000
+    own, turn, at, length = packing.turns_of(np.arange(n) * 100, np.full(n, 100), np.full(n, 10**6), np.full(n, 7))
+    assert length.sum() == 100 * n and (turn >= 1).all()
+
+
 def test_mixing(spark, docs):
     for permille, epochs in ((800, 2), (800, 1), (1000, 1), (300, 2)):
         documents = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).toPandas()  # noqa: F841
@@ -226,13 +252,43 @@ def test_secrets(spark):
     assert secrets.secrets(secrets.blobs(docs.limit(0)))[0].count() == 0
 
 
+def test_query_of_secrets_goes_through_the_ledger(spark, tmp_path, docs):
+    texts = [SECRET, "nothing", SECRET, None, "", f"ghp_{'a1' * 15} {SECRET}"] * 4
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, SECRET, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("blob", F.lit(1)).withColumn("spans", F.lit(2)).write.parquet(f"{tmp_path}/documents.parquet")
+    book = secrets.extended(secrets.blobs(secrets.earlier(common.documents(spark, str(tmp_path)))), kinds=secrets.EARLIER)
+    todo = {r.blob: set(r.rules) for r in secrets.scanned(secrets.blobs(common.documents(spark, str(tmp_path))), book).collect()}
+    assert sorted(map(len, todo.values())) == [2, 2, len(secrets.RULES), len(secrets.RULES)]  # two blobs lack the newer rules only
+    got = secrets.op5_secrets(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = SECRET if r.doc_id is None else texts[r.doc_id] or ""
+        base = brute_spans(text)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, _, _ in base) for kind in secrets.BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.scan_text(text, list(secrets.ORDER)))
+
+
+def test_rules_on_long_texts_stay_linear():
+    import time
+
+    slow = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    for text in ("eyJ" * 50, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK.eyJaaaaaaaa.bbbbbbbbb.ccccccccc", "x.eyJhbGciOiJI..a", "eyJ12345678.eyJ12345678.12345678.12345678.12345678 eyJ1.12345678.12345678"):
+        assert secrets._jwt(text) == [m.span() for m in slow.finditer(text)]
+    for unit in ("eyJ", "a1", "token ", "AKIA", "-----BEGIN ", "ghp_", "http://a:b", "eyJaaaaaaaa."):
+        text = unit * (2_000_000 // len(unit))
+        at = time.monotonic()
+        secrets.scan_text(text, list(secrets.ORDER))
+        assert time.monotonic() - at < 5, unit
+
+
 def test_licenses(spark, no_docs):
-    spdx = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    spdx = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"  # a part
     rows = [(1, "Under THE MIT license under the mit license! CC-BY-NC"), (2, None), (3, ""), (4, spdx), (5, "mit the under license granted free permission"), (6, "café apache license, version 2 x"), (6, "x")]
     got = [tuple(r)[1:] for r in sorted(licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: (r.doc_id, -r.n_words))]
     assert [[(p.start, p.label) for p in g[1]] for g in got] == [[(0, "mit"), (4, "mit"), (8, "cc-by-nc")], [], [], [], [], [(1, "apache-2")], []]
     assert [g[0] for g in got] == [11, 0, 0, 16, 7, 6, 1]
-    assert got[3][2] == ["mit"] and 0.5 < got[3][3] < 1 and got[4][2] == [] and got[0][3] == 1
+    assert got[3][2] == ["mit"] and 0 < got[3][3] < 1 and got[4][2] == [] and got[0][3] == 1
     assert licenses.license_scan(no_docs).count() == 0
 
 
@@ -302,7 +358,7 @@ def test_iblt(docs, texts, no_docs):
     order = sorted(texts, reverse=True)
     rows = {r.doc_id: r for r in iblt.document_fingerprints(docs).collect()}
     assert sorted(rows) == sorted(texts)
-    prints = defaultdict(set)
+    prints, peeled = defaultdict(set), 0
     for i, n in zip(order, order[1:] + order[:1]):
         r, text, following = rows[i], texts[i], texts[n]
         m = len(text) // 3
@@ -313,20 +369,36 @@ def test_iblt(docs, texts, no_docs):
         assert r.near_edited == pytest.approx(alike(keys[0], keys[1])) and r.near_next == pytest.approx(alike(keys[0], keys[2]))
         prints[text].add(r.fingerprint)
         prints[changed].add(r.edited_fingerprint)
-        assert len(base64.b64decode(r.fingerprint)) == 4 + 12 * iblt.CELLS
-    assert all(len(v) == 1 for v in prints.values())
+        assert len(base64.b64decode(r.fingerprint)) == 8 + iblt.CELL.itemsize * iblt.CELLS
+        told = iblt.difference(r.fingerprint, r.edited_fingerprint)
+        assert told is None or told == (set(keys[0] - keys[1]), set(keys[1] - keys[0]))
+        peeled += told is not None and sum(map(len, told)) > 0
+    assert all(len(v) == 1 for v in prints.values()) and peeled > 5
     assert iblt.document_fingerprints(no_docs).count() == 0
 
 
+def test_fingerprint_of_a_long_text():
+    text = " ".join(f"word{i % 977}x{i}" for i in range(400_000))  # several MB, more paragraphs than 16 bits count
+    keys, owner = iblt.paragraph_keys([text.encode()])
+    table = iblt.Tables(1, iblt.CELLS)
+    table.add(keys, owner, 1)
+    print_ = table.encoded(np.array([len(keys)]))[0]
+    n, again = iblt.decode(print_)
+    assert n == len(keys) > 150_000 and (again.count == table.count).all() and (again.keys == table.keys).all() and again.count.max() > 2**15
+    keys2, owner2 = iblt.paragraph_keys([(text[:-3] + "end").encode()])
+    other = iblt.Tables(1, iblt.CELLS)
+    other.add(keys2, owner2, 1)
+    only, new = iblt.difference(print_, other.encoded(np.array([len(keys2)]))[0])
+    assert only == set(keys.tolist()) - set(keys2.tolist()) and new == set(keys2.tolist()) - set(keys.tolist()) and only
+
+
 def brute_kernel(s: str, t: str) -> float:
     def f(u):
         out = defaultdict(float)
-        c = toxicity.codes(u)
-        for i in range(len(c)):
-            for j in range(i + 1, len(c)):
-                for k in range(j + 1, len(c)):
-                    if k - i < toxicity.SPAN and c[i] and c[j] and c[k]:
-                        out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i + 1)
+        c = [(i, x) for i, x in enumerate(toxicity.codes(u)) if x]
+        for i, j, k in itertools.combinations(range(len(c)), 3):
+            if k - i < toxicity.SPAN:
+                out[c[i][1], c[j][1], c[k][1]] += toxicity.DECAY ** (c[k][0] - c[i][0] + 1)
         return out
 
     a, b = f(s), f(t)
@@ -335,10 +407,32 @@ def brute_kernel(s: str, t: str) -> float:
 
 
 def test_kernel():
-    words = ["idiot", "i-d-i-o-t", "worthless", "wor1thless", "banana", "ab", "cafés", "aaaaaa"]
+    words = ["idiot", "i-d-i-o-t", "i--d--i--o--t", "get lost", "worthless", "wor1thless", "banana", "ab", "cafés", "aaaaaa"]
     got = toxicity.gram(words, words)
     assert np.allclose(got, [[brute_kernel(s, t) for t in words] for s in words], atol=1e-5)
-    assert got[0, 1] > 0.5 and got[2, 3] > 0.5 > got[0, 4]
+    assert got[0, 1] > 0.5 and got[0, 2] > 0.5 and got[4, 5] > 0.5 > got[0, 6]
+
+
+def test_decisions_are_the_nystroem_decision():
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    texts = [" ".join([*rng.choice(plain, 9), "scoundrel" if i % 2 else "friend"]) + "." for i in range(40)]
+    model = toxicity.fit(texts, [i % 2 for i in range(40)])
+    units = ["scoundrel", "scou-ndrel", "s c o u n d r e l", "friend", *plain[:20]]
+    want = toxicity.gram(units, list(model.marks)) @ np.array(model.alpha) + model.bias
+    assert np.allclose(model.decisions(units), want, atol=1e-4) and want[0] > 0 > want[3]
+
+
+def test_insults_of_two_words():
+    rng = np.random.default_rng(5)
+    plain = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in ("rn", "st", "lm")]
+    filler = lambda: " ".join(rng.choice(plain, 6))
+    toxic = [f"{filler()} get lost {filler()}." for _ in range(15)]
+    clean = [f"{filler()} get {filler()}. {filler()} lost {filler()}." for _ in range(15)]
+    model = toxicity.fit(toxic + clean, [1] * 15 + [0] * 15)
+    score = lambda texts: model.probability(toxicity.best_decisions(model, zlib.crc32(model.table.tobytes()), texts))
+    assert (score(toxic) > 0.5).all() and (score(clean) < 0.5).all()
+    assert (score(["get lost", "Get lost!", "g-e-t lost", "do get lo1st now"]) > 0.5).all() and (score(["get", "lost", "get. Lost", filler()]) < 0.5).all()
 
 
 def test_toxicity(spark):
@@ -354,9 +448,9 @@ def test_toxicity(spark):
 def test_toxicity_of_odd_rows(spark, docs, no_docs):
     texts = ["you are an idiot", "that idiot again", "an idiot indeed", "the sky is blue", "a calm sea today", "birds of the coast"] * 5
     model = toxicity.fit(texts, [1, 1, 1, 0, 0, 0] * 5)
-    rows = spark.createDataFrame([(1, "idiot"), (2, None), (3, ""), (4, "i-d-i-o-t"), (4, "i-d-i-o-t"), (5, "calm " * 3000), (6, "i d i o t")], "doc_id long, text string")
-    got = sorted((r.doc_id, r.score >= 0.5) for r in toxicity.scores(rows, model).collect())
-    assert got == [(1, True), (2, False), (3, False), (4, True), (4, True), (5, False), (6, True)]
+    rows = spark.createDataFrame([(1, "idiot"), (2, None), (3, ""), (4, "i-d-i-o-t"), (4, "i-d-i-o-t"), (5, "calm " * 3000), (6, "i d i o t"), (7, "i, d, i, o, t"), (8, "i--d--i--o--t"), (None, "idiot"), (9, "calm i d. i o"), (10, "calm " * 600_000)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.score >= 0.5) for r in toxicity.scores(rows, model).collect()), key=lambda x: (x[0] is None, x))
+    assert got == [(1, True), (2, False), (3, False), (4, True), (4, True), (5, False), (6, True), (7, True), (8, True), (9, False), (10, False), (None, True)]
     assert toxicity.scores(docs, model).count() == docs.count() and toxicity.scores(no_docs, model).count() == 0
 
 
@@ -456,3 +550,44 @@ def test_licences_of_a_long_document_do_not_share_a_budget(spark):
     assert {"bsd", "gpl", "unlicense", "mpl-2"} <= set(got[1][0]) and got[1][1] == pytest.approx(1)
     assert set(got[2][0]) == set(passages)
     assert all(got[i][0] == [] for i, _ in filler)
+    assert all(brute_templates(text, rows.collect()) == set(got[i][0]) for i, text in ((1, several), (2, every), (3, filler[0][1])))
+
+
+def brute_templates(text: str, corpus) -> set[str]:
+    """Labels whose key phrase stands where two different looked-up words place the template, over all places."""
+    split = lambda t: [w for w in re.split(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER).encode()) if w]
+    have = [set(split(r.text or "")) for r in corpus]
+    idf = lambda w: np.log((len(have) + 1) / (sum(w in h for h in have) + 1)) + 1e-3
+    words, out = split(text), set()
+    for label, (template, key) in licenses.TEMPLATES.items():
+        template, key = split(template), split(key)
+        wanted = {w for part in (template, key) for w in sorted(set(part), key=lambda w: (-idf(w), w))[: licenses.RARE]}
+        votes = [((at - off) // licenses.DRIFT, w) for at, w in enumerate(words) for off, x in enumerate(template) if w == x and w in wanted]
+        for cell in {c for c, _ in votes}:
+            if len({w for c, w in votes if c in (cell, cell + 1)}) >= 2:
+                low = max(0, (cell - 1) * licenses.DRIFT)
+                here = words[low : (cell + 3) * licenses.DRIFT + len(template)]
+                if any(here[i : i + len(key)] == key for i in range(len(here))):
+                    out.add(label)
+    return out
+
+
+def test_query_of_licences_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    pool = [*" ".join(licenses.PHRASES).split(), *" ".join(k for _, k in licenses.TEMPLATES.values()).split(), "The", "caf\u00e9", "x-y", "9"]
+    texts = [" ".join(rng.choice(pool, int(rng.integers(0, 60)))) for _ in range(40)]
+    texts += [f"{a} {b.upper()}! {a}" for a in licenses.PHRASES for b in licenses.PHRASES] + ["", None] + [t for t, _ in licenses.TEMPLATES.values()]
+    texts += ["filler " * 400_000 + "under the MIT license. " + licenses.TEMPLATES["zlib"][0]]
+    spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, places long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.op9_licenses(spark, str(tmp_path)).collect()}
+    every = common.documents(spark, str(tmp_path)).collect()
+    for i, t in enumerate(texts):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER).encode())
+        found = sorted((at, label) for p, label in licenses.PHRASES.items() for at in range(len(words)) if words[at : at + len(p.split())] == p.encode().split())
+        labels = {label for _, label in found}
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(found), ",".join(sorted(labels)))
+        assert (r.first_word, r.last_word) == ((found[0][0], found[-1][0]) if found else (None, None)) and 0 <= r.score <= 1
+        if len(words) < 1000:
+            assert r.labels == ",".join(sorted(labels | brute_templates(t or "", every)))
+    assert got[len(texts) - 1].labels == "mit,zlib"
