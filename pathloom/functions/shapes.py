@@ -85,7 +85,7 @@ def cell_type(cell: Column) -> Column:
     """The JSON type of a CSV cell: numbers without leading zeros, booleans in any case, else text."""
     return (
         F.when(cell.rlike("^[+-]?(0|[1-9][0-9]*)$"), "integer")
-        .when(cell.rlike(r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), "number")
+        .when(cell.rlike(r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]+)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), "number")
         .when(F.lower(cell).isin("true", "false"), "boolean")
         .otherwise("string")
     )

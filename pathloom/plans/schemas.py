@@ -11,11 +11,10 @@ from pathloom.sources.shred import shred
 
 
 def events_json(spark, sf):
-    """Events as JSON texts; a document per event type is its day's lines, so that texts stay small."""
+    """Events as JSON texts, each event one of the items of its event type's document."""
     e = base.table(spark, sf, "events")
     line = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "user_id": '), F.col("user_id").cast("string"), F.lit(', "event_type": "'), F.col("event_type"), F.lit('", "props": '), F.col("props"), F.lit("}"))
-    rows = e.groupBy(F.concat_ws("/", "event_type", F.col("ts").cast("date").cast("string")).alias("part"), "event_type").agg(F.array_join(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line"))))["line"], "\n").alias("text"))
-    return rows.select(F.col("event_type").alias("doc_id"), F.lit("events.jsonl").alias("name"), "text")
+    return e.select(F.col("event_type").alias("doc_id"), F.lit("event.json").alias("name"), line.alias("text"))
 
 
 def labelled(nodes):
@@ -24,7 +23,7 @@ def labelled(nodes):
 
 
 def events_profile(spark, sf):
-    found = profile.nodes(shred(events_json(spark, sf)), with_dates=True)
+    found = profile.nodes(shred(events_json(spark, sf), "/[]"), with_dates=True)
     return labelled(found.where("path <> ''")).drop("length_min", "length_max")
 
 
@@ -104,9 +103,8 @@ QUERIES = {
     "shared_users": jaccard,
     "data_points": lambda s, d: base.all_paths(s, d).select("platform", "path", profile.is_data_point(F.when(F.length("path") % 4 == 0, "file").when(F.length("path") % 4 == 1, "media").otherwise("data"), F.col("path"), F.when(F.length("path") % 3 == 0, F.array(F.lit("null"), F.lit("object"))).otherwise(F.array(F.lit("array")))).alias("point")),
 }
-HEAD = "CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN substring(text, 1, 12) END"
 DOCS = f"""
-d AS (SELECT source AS doc_id, lang, n_chars, quality, doc_id % 7 <> 0 AS has_head, {HEAD} AS head, regexp_replace({HEAD}, '^\\s+|\\s+$', '', 'g') AS x FROM documents LEFT JOIN labels USING (doc_id)),
+d AS (SELECT source AS doc_id, lang, n_chars, quality, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents LEFT JOIN labels USING (doc_id)),
 k AS (SELECT *, CASE WHEN x = '' THEN 'empty' WHEN regexp_matches(x, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'email' WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://\\S+$') THEN 'url' WHEN regexp_matches(x, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$') THEN 'numeric'
   WHEN regexp_matches(x, '^\\pL+$') THEN 'alpha' WHEN regexp_matches(x, '^[\\pL\\pN]+$') THEN 'alphanumeric' WHEN x IS NOT NULL THEN 'text' END AS sh FROM d),
 hs AS (SELECT doc_id, sh, count(*) AS n FROM k WHERE sh IS NOT NULL GROUP BY ALL)"""
@@ -116,9 +114,9 @@ SELECT doc_id, '' AS path, count(*) AS n_present, 0 AS n_null, count(*) AS n_cou
 UNION ALL SELECT doc_id, '/lang', count(*), 0, count(*), min(length(lang)), max(length(lang)), 'string', 'alpha' FROM k GROUP BY doc_id
 UNION ALL SELECT doc_id, '/n_chars', count(*), 0, count(*), NULL, NULL, 'integer', 'plain' FROM k GROUP BY doc_id
 UNION ALL SELECT doc_id, '/quality', count(quality), 0, count(*), NULL, NULL, 'integer', 'plain' FROM k GROUP BY doc_id HAVING count(quality) > 0
-UNION ALL SELECT doc_id, '/head', count(*) FILTER (WHERE has_head), count(*) FILTER (WHERE has_head AND head IS NULL), count(*), min(length(head)), max(length(head)),
-  CASE WHEN count(head) = 0 THEN 'null' WHEN count(*) FILTER (WHERE has_head AND head IS NULL) > 0 THEN 'null|string' ELSE 'string' END,
-  (SELECT {DOMINANT} FROM hs WHERE hs.doc_id = k.doc_id HAVING count(*) > 0) FROM k GROUP BY doc_id HAVING count(*) FILTER (WHERE has_head) > 0"""
+UNION ALL SELECT doc_id, '/text', count(*), count(*) FILTER (WHERE text IS NULL), count(*), min(length(text)), max(length(text)),
+  CASE WHEN count(text) = 0 THEN 'null' WHEN count(text) < count(*) THEN 'null|string' ELSE 'string' END,
+  (SELECT {DOMINANT} FROM hs WHERE hs.doc_id = k.doc_id HAVING count(*) > 0) FROM k GROUP BY doc_id"""
 ORACLES = {
     "events_profile": """WITH e AS (SELECT event_type AS doc_id, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT unnest(['/[]', '/[]/event_id', '/[]/user_id', '/[]/event_type', '/[]/props', '/[]/props/k']) AS path,
 unnest(['object', 'integer', 'integer', 'string', 'object', 'integer']) AS type, unnest([NULL, 'plain', 'plain', 'alpha', NULL, 'plain']) AS shape)
@@ -126,9 +124,9 @@ SELECT doc_id, path, n AS n_present, 0 AS n_null, n AS n_count, type, shape FROM
     "documents_profile": f"WITH{DOCS}{NODES}",
     "merge_presence": f"WITH{DOCS}, nd AS ({NODES}) SELECT path, count(DISTINCT doc_id) AS documents FROM nd GROUP BY path",
     "merged_schema": f"""WITH{DOCS}, nd AS ({NODES}), al AS (SELECT sh, sum(n) AS n FROM hs GROUP BY sh)
-SELECT path, count(DISTINCT doc_id) AS documents, CASE path WHEN '/head' THEN 'null|string' ELSE min(type) END AS type, sum(n_present)::BIGINT AS n_present, sum(n_null)::BIGINT AS n_null,
+SELECT path, count(DISTINCT doc_id) AS documents, CASE WHEN path = '/text' AND (SELECT count(*) > count(text) FROM k) THEN 'null|string' ELSE min(type) END AS type, sum(n_present)::BIGINT AS n_present, sum(n_null)::BIGINT AS n_null,
   CASE WHEN path = '' THEN sum(n_count) ELSE (SELECT count(*) FROM k) END::BIGINT AS n_count, min(length_min) AS length_min, max(length_max) AS length_max,
-  CASE path WHEN '/head' THEN (SELECT {DOMINANT} FROM al) ELSE min(shape) END AS shape FROM nd GROUP BY path""",
+  CASE path WHEN '/text' THEN (SELECT {DOMINANT} FROM al) ELSE min(shape) END AS shape FROM nd GROUP BY path""",
     "look_alike_groups": """WITH s AS (SELECT o_custkey % 50 AS g, o_orderstatus, list(DISTINCT o_orderpriority) AS sig FROM orders GROUP BY ALL), m AS (SELECT g, p, count(*) AS c FROM (SELECT g, unnest(sig) AS p FROM s) GROUP BY ALL),
 z AS (SELECT g, count(*) AS n FROM s GROUP BY g), c AS (SELECT g, list(p) AS common FROM m JOIN z USING (g) WHERE c * 2 > n GROUP BY g)
 SELECT g, avg(len(list_intersect(sig, coalesce(common, []))) / len(sig)) >= 0.8 AS alike FROM s LEFT JOIN c USING (g) GROUP BY g""",

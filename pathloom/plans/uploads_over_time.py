@@ -38,7 +38,7 @@ def proposals(spark, sf):
         (F.col("conv_id") % 40).cast("string").alias("target"),
         F.when(F.col("turn") % 2 == 0, "name").otherwise("ignore").alias("kind"),
         F.when(F.length("text") % 3 == 0, "open").when(F.length("text") % 3 == 1, "accepted").otherwise("rejected").alias("status"),
-        F.substring("text", 1, 8).alias("value"),
+        F.col("text").alias("value"),
         (F.col("conv_id") % 5).alias("proposed_by"),
         (F.col("conv_id") * 10 + F.col("turn")).alias("created_at"),
         (F.col("conv_id") * 10 + F.col("turn") + F.length("text") % 50).alias("decided_at"),
@@ -47,7 +47,7 @@ def proposals(spark, sf):
 
 
 PROPOSALS = """WITH pr AS (SELECT conv_id * 100 + turn AS proposal_id, CAST(conv_id % 40 AS VARCHAR) AS target, CASE WHEN turn % 2 = 0 THEN 'name' ELSE 'ignore' END AS kind,
-  CASE length(text) % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'accepted' ELSE 'rejected' END AS status, substring(text, 1, 8) AS value, conv_id % 5 AS proposed_by,
+  CASE length(text) % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'accepted' ELSE 'rejected' END AS status, text AS value, conv_id % 5 AS proposed_by,
   conv_id * 10 + turn AS created_at, conv_id * 10 + turn + length(text) % 50 AS decided_at, role AS platform FROM conversations)"""
 
 

@@ -6,6 +6,7 @@ import io
 import re
 import unicodedata
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,10 @@ MAGIC = (
     (b"ID3", "audio/mpeg"), (b"OggS", "audio/ogg"), (b"fLaC", "audio/flac"), (b"\x1aE\xdf\xa3", "video/webm"), (b"PK\x03\x04", "application/zip"),
 )
 ENDINGS = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".webp": "image/webp", ".mp4": "video/mp4", ".mov": "video/quicktime", ".mp3": "audio/mpeg", ".wav": "audio/x-wav", ".m4a": "audio/mp4", ".txt": "text/plain", ".html": "text/html", ".pdf": "application/pdf"}
-COPY = re.compile(r"\s*(\(\d+\)|[-_ ]copy(\s*\d+)?)$", re.IGNORECASE)
+#: What systems add to the name of a copy (fixed value).
+COPY = re.compile(r"(\s*\(\d+\)|\s+\d+|\s*-?\s*copy(\s*\d+)?)$", re.IGNORECASE)
+#: What reading a damaged entry raises.
+DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError)
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,8 @@ class _Run:
     warnings: list[str] = field(default_factory=list)
     read: int = 0
     rows: list[dict] = field(default_factory=list)
+    #: Folders that an archive lists itself, so that empty ones are known; those of the archive that is read.
+    folders: list[tuple[str, ...]] = field(default_factory=list)
 
 
 def is_junk(parts: list[str]) -> bool:
@@ -106,11 +112,15 @@ def _entries(archive: zipfile.ZipFile, run: _Run, name: str | None) -> list[tupl
             run.warnings.append("unsafe_path")
             continue
         parts = [p for p in text.replace("\\", "/").split("/") if p not in ("", ".")]
-        if not parts or info.is_dir():
+        if not parts:
             continue
         junk = is_junk(parts)
         if junk and not run.limits.keep_ignored:
             continue
+        if info.is_dir():
+            if not junk:
+                run.folders.append(tuple(parts))
+            continue
         if tuple(parts) in kept:
             run.warnings.append("duplicate_entry")
         kept[tuple(parts)] = (info, junk)
@@ -119,6 +129,7 @@ def _entries(archive: zipfile.ZipFile, run: _Run, name: str | None) -> list[tupl
     if name and len(tops) == 1 and all(len(p) > 1 for p in real) and real and _same(next(iter(tops)), name):
         run.warnings.append("wrapper_folder")
         kept = {(p[1:] if len(p) > 1 and p[0] in tops else p): v for p, v in kept.items()}
+        run.folders = [f[1:] if f[0] in tops else f for f in run.folders]
     return [(list(p), info, junk) for p, (info, junk) in kept.items()]
 
 
@@ -168,10 +179,16 @@ def collapsed(files: list[list[str]], path: str, limits: Limits) -> tuple[list[l
 def _container(data: bytes, name: str | None, path: str, depth: int, run: _Run) -> None:
     archive = zipfile.ZipFile(io.BytesIO(data))
     run.rows.append({"path": path, "kind": "container", "name": name})
+    run.folders = []
     found = _entries(archive, run, name)
     new, merged = collapsed([p for p, _, _ in found], path, run.limits)
+    became = {tuple(old[:i]): tuple(now[:i]) for now, (old, _, _) in zip(new, found) for i in range(1, len(old))}
     found = [(parts, info, junk) for parts, (_, info, junk) in zip(new, found)]
-    folders = {tuple(p[:i]) for p, _, _ in found for i in range(1, len(p))}
+    folders = set(became.values())
+    for listed in filter(None, run.folders):  # listed ones that hold no file lie where their parents went
+        known = next((i for i in range(len(listed), 0, -1) if listed[:i] in became), 0)
+        moved = (*became.get(listed[:known], ()), *listed[known:])
+        folders |= {moved[:i] for i in range(1, len(moved) + 1)}
     for f in sorted(folders):
         many, mask = merged.get(f, (None, f[-1]))
         run.rows.append({"path": path + "".join(f"/{_escape(s)}" for s in f), "kind": "folder", "name": mask, "files": many})
@@ -207,25 +224,35 @@ def _file(archive: zipfile.ZipFile, path: str, name: str, members: list[tuple[zi
         if depth >= run.limits.max_depth:
             run.warnings.append("max_depth")
             return failed("too_large")
-        data = content(members[0][0])
+        try:
+            data = content(members[0][0])
+        except DAMAGED as e:
+            return failed("parse_error", str(e))
         if data is None:
             return failed("too_large")
         before = len(run.rows)
         try:
             run.rows.remove(row)
             _container(data, name, path, depth + 1, run)
-        except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+        except DAMAGED as e:
             del run.rows[before - 1 :]
             run.rows.append(row)
             failed("parse_error", str(e))
         return None
-    with archive.open(members[0][0]) as stream:
-        head = stream.read(262)
+    try:
+        with archive.open(members[0][0]) as stream:
+            head = stream.read(262)
+    except DAMAGED as e:
+        return failed("parse_error", str(e))
     row["mime"] = mime_of(name, head)[0]
     if name.lower().endswith(PARSED):
         texts, error = [], None
         for info, _ in members:
-            data = content(info)
+            try:
+                data = content(info)
+            except DAMAGED as e:
+                error = error or ("parse_error", str(e))
+                continue
             if data is None:
                 error = error or ("too_large", None)
                 continue
@@ -278,7 +305,7 @@ def entries(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFr
                 name = source.rsplit("/", 1)[-1]
                 try:
                     rows = read_export(name, data, limits)
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+                except DAMAGED as e:
                     rows = [{"path": "", "kind": "unmatched", "name": name, "size_bytes": len(data), "reason": "parse_error", "error": str(e)}]
                 yield pa.RecordBatch.from_pylist([{"doc_id": source, **r} for r in rows], schema=shape)
 

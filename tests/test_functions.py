@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from datetime import datetime
+import random
+import re
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ def test_masks(spark):
 
 
 def test_cells(spark):
-    for cell, kind in (("0", "integer"), ("+7", "integer"), ("007", "string"), ("1.", "number"), (".5", "number"), ("1e3", "number"), ("e5", "string"), ("TRUE", "boolean"), ("x", "string"), ("", "string")):
+    for cell, kind in (("0", "integer"), ("+7", "integer"), ("007", "string"), ("1.", "string"), ("1.e3", "string"), ("1.5", "number"), (".5", "number"), ("1e3", "number"), ("e5", "string"), ("TRUE", "boolean"), ("x", "string"), ("", "string")):
         assert one(spark, S.cell_type(F.col("c")), c=cell) == kind
 
 
@@ -59,10 +61,38 @@ def test_types_and_comparable_forms(spark):
         ("Mon, 05 Feb 2024 10:00:00 +0000", "datetime", ["%a, %d %b %Y %H:%M:%S %z"]), ("20240101", None, []), ("hello", None, []), ("May 5, 2024", "date", ["%b %d, %Y"]),
     ],
 )
-def test_dates(value, shape, fits):
-    assert dates.formats_of(value) == (shape, fits)
+def test_dates(spark, value, shape, fits):
+    found = one(spark, dates.date_fits(F.col("v")), v=value)
+    assert (found.shape, found.fits) == (shape, fits)
     for fmt in fits:
-        datetime.strptime(value, fmt.replace("%3f", "%f"))
+        datetime.strptime(value, one(spark, dates.strptime_format(F.lit(fmt))))
+
+
+def test_dates_are_those_of_every_format(spark):
+    """Each value against strptime with all formats that are made of the known dates, separators, times and zones."""
+    days = ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%m-%d-%Y", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y", "%a, %d %b %Y")
+    times = ("%H:%M", "%H:%M:%S", "%H:%M:%S.%f", "%I:%M %p", "%I:%M:%S %p")
+    formats = [*days, *times, *(d + s + t + z for d in days for s in ("T", " ", ", ") for t in times for z in ("", "Z", "%z", " %z"))]
+    rng = random.Random(6)
+    moment = lambda: datetime(rng.choice([1999, 2000, 2024, 2023]), rng.choice([1, 2, 5, 12]), rng.randrange(1, 29), rng.randrange(24), rng.randrange(60), rng.randrange(60), rng.randrange(10**6), timezone(timedelta(minutes=rng.randrange(-700, 700))))
+    values = {moment().strftime(f) for f in formats} | {v[:-1] + rng.choice("09Z") for v in [moment().strftime(f) for f in formats]}
+    values |= {"2023-02-29", "2024-02-29", "31.04.2024", "00/01/2024", "24:00", "12:60", "13:00 PM", "0:00 AM", "1:05:61", "2024-01-01T10:00+24:00", "0000-01-01", "Foo 01, 2024", "Xyz, 01 Feb 2024"}
+    known = [(f, re.compile("".join(re.escape(c) if i % 2 == 0 else WIDTHS[c] for i, c in enumerate(re.split("%(.)", f))))) for f in formats]
+    got = {r.v: r.f for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", dates.date_fits(F.col("v"))["fits"].alias("f")).collect()}
+    for v in values:
+        want = set()
+        for f, widths in known:
+            if widths.fullmatch(v):
+                try:
+                    datetime.strptime(v, f)
+                except ValueError:
+                    continue
+                fraction = re.search(r":\d\d\.(\d+)", v) if "%f" in f else None
+                want.add(f.replace("%f", f"%{len(fraction[1])}f") if fraction else f)
+        assert got[v] == sorted(want), v
+
+
+WIDTHS = {"Y": r"\d{4}", "m": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "I": r"\d{1,2}", "M": r"\d{2}", "S": r"\d{2}", "f": r"\d{1,6}", "p": "[AaPp][Mm]", "z": r"[+-]\d{2}:?\d{2}", "b": "[A-Za-z]{3}", "B": "[A-Za-z]{4,}", "a": "[A-Za-z]{3}"}
 
 
 def test_paths(spark):

@@ -47,9 +47,13 @@ def test_reading():
     with pytest.raises(shred.Unreadable):
         shred.read_json("{broken")
     assert shred.read_js("window.YTD.x.part0 = [1, 2];") == ([1, 2], "window.YTD.x.part0 =")
+    assert shred.read_js('window["x"].y = [1]') == ([1], 'window["x"].y =')
+    with pytest.raises(shred.Unreadable):
+        shred.read_js("[1]")
+    assert shred.read_csv("a, b\n1, x\n2, y\n , \n")[0][:2] == [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}] and len(shred.read_csv("a;b\n1;2\n;\n3;4\n")[0]) == 3
     rows, delimiter = shred.read_csv("a,b,,a\n1,x,true\n\n007,e5,1.5,2,extra\n")
     assert shred.read_csv("a;b\n1;2\n3;4\n")[1] == ";" and delimiter == "," and rows == [{"a": 1, "b": "x", "column_3": True}, {"a": "007", "b": "e5", "column_3": 1.5, "a_2": 2, "column_5": "extra"}]
-    assert shred.decode("é".encode("utf-16")) == ("é", "utf-16") and shred.decode(b"\xe9")[0] == "é"
+    assert shred.decode("é".encode("utf-16")) == ("é", "utf-16-le") and shred.decode(b"\xe9")[0] == "é"
     assert [v[:4] for v in shred.values_of({"a/b": [None, {"c": True}]})] == [("", None, None, "object"), ("/a~1b", "", "a/b", "array"), ("/a~1b/[]", "/a~1b", None, "null"), ("/a~1b/[]", "/a~1b", None, "object"), ("/a~1b/[]/c", "/a~1b/[]", "c", "boolean")]
 
 
@@ -81,6 +85,21 @@ def test_archives(spark, tmp_path):
     assert ("/message_{n}.json/[]/b", 2, 1) in got and ("/rows.csv/[]/a", 1, 1) in got and ("/inner.zip/deep.json/[]", 1, 1) in got
 
 
+def test_damaged_entries_and_empty_folders(spark, tmp_path):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("export 2/good.json", "[1]")
+        z.writestr("export 2/bad.json", json.dumps(list(range(500))))
+        z.mkdir("export 2/empty/inner")
+        at = z.getinfo("export 2/bad.json").header_offset + 30 + len("export 2/bad.json")
+    data = bytearray(out.getvalue())
+    data[at : at + 40] = bytes(40)
+    (tmp_path / "export.zip").write_bytes(bytes(data))
+    rows = {r.path: r for r in archives.entries(spark, str(tmp_path)).collect()}
+    assert {p: r.kind for p, r in rows.items()} == {"": "container", "/good.json": "file", "/bad.json": "unmatched", "/empty": "folder", "/empty/inner": "folder"}
+    assert rows["/bad.json"].reason == "parse_error" and "wrapper_folder" in rows[""].warning
+
+
 def test_merge(spark):
     both = nodes_of(spark, [("1", "a.json", json.dumps([{"a": 1, "b": "x"}, {"a": 2}])), ("2", "a.json", json.dumps([{"a": 1.5, "c": {"d": 1}}]))])
     found = {r.path: r for r in merge.merged(both).collect()}
