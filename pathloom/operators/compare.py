@@ -1,7 +1,7 @@
 """Comparing two schemas: what was added, removed, moved or changed, and what likely corresponds.
 
-The set parts are joins on paths. Moves and renames depend on the pairs found before (shallow ones first), so they run
-per pair of schemas in a grouped function over schema-sized input.
+The set parts are joins on paths. Moves and renames depend on what was found on the levels above, so they run per pair
+of schemas in a grouped function over schema-sized input.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
 from pathloom.functions import shapes as S
+from pathloom.sources.staging import staged
 
 ALIKE, SURE = 0.5, 1.0
 #: Parts of a rename's score (fixed values): at all, same position, same inside or format, same shape.
@@ -52,7 +53,7 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     joined = _sided(before, "b").join(_sided(after, "a"), ["pair", "path"], "full")
     both = F.col("b_kind").isNotNull() & F.col("a_kind").isNotNull()
     changed = joined.where(both).withColumn("fields", changed_fields("b", "a")).where(F.size("fields") > 0)
-    moved = moves(before, after)
+    moved = staged(moves(before, after), "moves")  # used four times
     empty = F.array().cast("array<string>")
 
     def rest(ours: DataFrame, theirs: DataFrame, side: str, status: str) -> DataFrame:
@@ -79,148 +80,163 @@ def status_of(paths: DataFrame, comparison: DataFrame) -> DataFrame:
     return paths.join(best, ["pair", "path"], "left").withColumn("status", F.coalesce("status", F.lit("unchanged")))
 
 
-# --- moves and renames, per pair of schemas ----------------------------------------------------
+# --- moves and renames, per pair of schemas: tables of candidates, level by level from the top ---------------------
 
 
-def _within(path: str, root: str) -> bool:
-    return path == root or path.startswith(root + "/")
+def _table(frame: pd.DataFrame) -> pd.DataFrame:
+    """A schema with parent, depth, types as text (all, and without null) and place among siblings."""
+    out = frame.assign(
+        parent=[p.rpartition("/")[0] if p else None for p in frame["path"]],
+        depth=frame["path"].str.count("/"),
+        every=[tuple(sorted(t)) if t is not None else () for t in frame["type"]],
+        **{c: frame[c].where(frame[c].map(lambda v: isinstance(v, str)), "") for c in ("name", "shape", "format")},
+    )
+    out["types"] = ["|".join(t for t in ts if t != "null") for ts in out["every"]]
+    out["structure"] = [k in ("file", "data") and not {"object", "array"}.isdisjoint(ts) for k, ts in zip(out["kind"], out["every"])]
+    out = out.sort_values(["position", "path"] if "position" in out else "path", kind="stable")
+    out["place"] = out.groupby("parent", dropna=False).cumcount()
+    return out.drop(columns="type")
 
 
-def _facts(frame: pd.DataFrame) -> dict[str, dict]:
-    out = {}
-    for r in frame.to_dict("records"):
-        kinds = r["type"]
-        r["type"] = frozenset(t for t in (kinds if kinds is not None else ()) if t != "null")
-        r["all_types"] = frozenset(kinds if kinds is not None else ())
-        for c in ("name", "shape", "format"):
-            r[c] = r[c] if isinstance(r[c], str) else None
-        out[r["path"]] = r
-    return out
+def _insides(table: pd.DataFrame, roots: pd.Series, *also: str) -> pd.DataFrame:
+    """(root, inner, also...): what lies below each of roots, and the root itself."""
+    ups = [[p[:i] for i, c in enumerate(p) if c == "/"] + [p] for p in table["path"]]
+    rows = table[["path", *also]].assign(root=ups).explode("root")
+    rows = rows[rows["root"].isin(roots)]
+    return rows.assign(inner=[p[len(r) :] for p, r in zip(rows["path"], rows["root"])]).drop(columns="path").drop_duplicates()
 
 
-def _differ(a: dict, b: dict) -> bool:
-    if a["kind"] != b["kind"] or (a["type"] and b["type"] and a["type"] != b["type"]):
-        return True
-    stable = a["shape"] not in S.NOISE and b["shape"] not in S.NOISE
-    return any(a[c] and b[c] and a[c] != b[c] and (stable or c != "shape") for c in ("shape", "format"))
+def _shares(pairs: pd.DataFrame, before: pd.DataFrame, after: pd.DataFrame, *also: str) -> pd.Series:
+    """Of what lies in both or either of pairs (old, new), the share that lies in both, by the pairs' index."""
+    ours, theirs = _insides(before, pairs["old"], *also), _insides(after, pairs["new"], *also)
+    sizes = pairs["old"].map(ours["root"].value_counts()) + pairs["new"].map(theirs["root"].value_counts())
+    rows = pairs[["old", "new"]].rename_axis("at").reset_index().merge(ours.rename(columns={"root": "old"}), on="old")
+    both = rows.merge(theirs.rename(columns={"root": "new"}), on=["new", "inner", *also])["at"].value_counts().reindex(pairs.index, fill_value=0)
+    return both / (sizes - both)
 
 
-def _inside(root: str, facts: dict[str, dict], kinds: bool) -> set:
-    return {(p[len(root) :], f["kind"]) if kinds else p[len(root) :] for p, f in facts.items() if _within(p, root)}
+def _steady(pairs: pd.DataFrame) -> pd.Series:
+    """Whether nothing differs between sides (_x, _y) of pairs that isn't up to the data."""
+    ok = pairs["kind_x"] == pairs["kind_y"]
+    for c in ("types", "shape", "format"):
+        x, y = pairs[f"{c}_x"], pairs[f"{c}_y"]
+        silent = (x == "") | (y == "") | ((x.isin(S.NOISE) | y.isin(S.NOISE)) if c == "shape" else False)
+        ok &= (x == y) | silent
+    return ok
 
 
-def _share(a: set, b: set) -> float:
-    return len(a & b) / len(a | b)
+def _outside(paths: pd.Series, roots: list[str]) -> pd.Series:
+    """Which paths are none of roots and lie below none."""
+    known = set(roots)
+    return pd.Series([not any(p[:i] in known for i in [*(i for i, c in enumerate(p) if c == "/"), len(p)]) for p in paths], index=paths.index, dtype=bool)
 
 
-def pair_moves(before: dict[str, dict], after: dict[str, dict]) -> list[tuple[str, str]]:
-    """Nodes that only one side has, paired if name and kind are unique among what is left and the insides are alike."""
-    free = {"old": {p for p in before if p not in after}, "new": {p for p in after if p not in before}}
-    found = []
-    for old in sorted(free["old"], key=lambda p: (p.count("/"), p)):
-        if old not in free["old"]:
-            continue
-        like = lambda p, facts: (facts[p]["name"], facts[p]["kind"]) == (before[old]["name"], before[old]["kind"])  # noqa: B023, E731
-        olds = [p for p in free["old"] if like(p, before)]
-        news = [p for p in free["new"] if like(p, after)]
-        if len(olds) == len(news) == 1 and _share(_inside(old, before, True), _inside(news[0], after, True)) >= ALIKE and not _differ(before[old], after[news[0]]):
-            found.append((old, news[0]))
-            free = {side: {p for p in ps if not _within(p, root)} for (side, ps), root in zip(free.items(), found[-1])}
-    return sorted(found)
+def found_moves(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
+    """(old, new) of subtrees that moved, from tables of one pair of schemas.
+
+    Of what only one side has, nodes whose name and kind are there once on each side correspond if they are alike inside.
+    Shallow ones are settled first, those of a level in order of path; what lies in a moved subtree moves with it, which
+    may leave a name there once.
+    """
+    gone, came = before[~before["path"].isin(after["path"])], after[~after["path"].isin(before["path"])]
+    out: list[tuple[str, str]] = []
+    for depth in sorted(gone["depth"].unique()):
+        past = ""
+        while True:
+            lone = [side[~side.duplicated(["name", "kind"], keep=False)].assign(of=side["kind"]) for side in (gone, came)]
+            pairs = lone[0].merge(lone[1], on=["name", "of"]).rename(columns={"path_x": "old", "path_y": "new"})
+            pairs = pairs[(pairs["depth_x"] == depth) & (pairs["old"] > past)]
+            pairs = pairs[_steady(pairs)].sort_values("old").reset_index(drop=True)
+            alike = pairs[_shares(pairs, before, after, "kind") >= ALIKE] if len(pairs) else pairs
+            if not len(alike):
+                break
+            past, new = alike[["old", "new"]].iloc[0]
+            out.append((past, new))
+            gone, came = gone[_outside(gone["path"], [past])], came[_outside(came["path"], [new])]
+    return pd.DataFrame(sorted(out), columns=["old", "new"], dtype=object)
 
 
 def moves(before: DataFrame, after: DataFrame) -> DataFrame:
     """(pair, old, new) of subtrees that moved."""
 
     def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], a, b) for a, b in pair_moves(_facts(old), _facts(new))], columns=["pair", "old", "new"])
+        return found_moves(_table(old), _table(new)).assign(pair=key[0])[["pair", "old", "new"]]
 
     columns = ["pair", "path", *SUMMARY]
     return before.select(columns).groupBy("pair").cogroup(after.select(columns).groupBy("pair")).applyInPandas(run, "pair string, old string, new string")
 
 
-def _point(f: dict) -> bool:
-    if f["kind"] == "media":
-        return True
-    if f["path"].endswith("/[]"):
-        return f["kind"] == "data"
-    return "array" in f["all_types"] if f["kind"] == "file" else f["kind"] == "data" and f["type"] != {"object"}
-
-
-def pair_suggestions(known: dict[str, dict], new: dict[str, dict]) -> list[tuple[str, str, str, float, int]]:
-    """(path, known path, reason, score, rank) for the data points of new that known lacks, parents first."""
-    moved = pair_moves(known, new)
-    renamed: dict[str, tuple[str, float]] = {}
-    siblings: dict[str, dict[str, list[str]]] = {"known": {}, "new": {}}
-    for side, facts in (("known", known), ("new", new)):
-        for p in sorted(facts, key=lambda p: (facts[p]["position"], p)):
-            siblings[side].setdefault(p.rpartition("/")[0] if p else "\0", []).append(p)
-    follows = lambda f: f["path"] != "" and f["kind"] not in ("folder", "container")
-
-    def to_known(path: str) -> tuple[str, float] | None:
-        if path in known:
-            return path, SURE
-        for old, here in moved:
-            if _within(path, here):
-                return old + path[len(here) :], SURE
-        for here in sorted(renamed, key=len, reverse=True):
-            if _within(path, here):
-                return renamed[here][0] + path[len(here) :], renamed[here][1]
-        return None
-
-    def to_new(path: str) -> str:
-        for old, here in [*moved, *((old, here) for here, (old, _) in renamed.items())]:
-            if _within(path, old):
-                return here + path[len(old) :]
-        return path
-
-    def renames(path: str) -> list[tuple[str, float]]:
-        up = to_known(path.rpartition("/")[0])
-        if up is None or up[0] not in known:
-            return []
-        mine, place = new[path], siblings["new"][path.rpartition("/")[0]].index(path)
-        structure = mine["kind"] in ("file", "data") and mine["all_types"] & {"object", "array"}
-        inside = _inside(path, new, False) if structure else set()
-        found = []
-        for i, sibling in enumerate(siblings["known"].get(up[0], [])):
-            other = known[sibling]
-            if not follows(other) or to_new(sibling) in new or other["kind"] != mine["kind"] or other["type"] != mine["type"] or _differ(mine, other):
-                continue
-            score = BASE + (SAME_PLACE if i == place else 0)
-            if inside:
-                share = _share(inside, _inside(sibling, known, False))
-                if share < ALIKE:
-                    continue
-                score += SAME_INSIDE * share
-            elif mine["format"] and mine["format"] == other["format"]:
-                score += SAME_INSIDE
-            elif mine["shape"] and mine["shape"] == other["shape"]:
-                score += SAME_SHAPE
-            found.append((sibling, round(score * up[1], 2)))
-        return sorted(found, key=lambda c: -c[1])
-
-    out = []
-    for path in sorted(new, key=lambda p: (p.count("/"), new[p]["position"], p)):
-        if path in known or not follows(new[path]):
+def _carried(path: str, to: dict[str, str]) -> str:
+    """path with its nearest mapped ancestor (or itself) replaced."""
+    for i in [len(path), *(i for i in range(len(path) - 1, -1, -1) if path[i] == "/")]:
+        if path[:i] in to:
+            return to[path[:i]] + path[i:]
+    return path
+
+
+def _points(level: pd.DataFrame) -> pd.Series:
+    """Which nodes carry meaning, by the rule of profile.is_data_point()."""
+    item = level["path"].str.endswith("/[]")
+    lists = level["every"].map(lambda t: "array" in t)
+    own = level["kind"].map({"media": True}).eq(True)
+    return own | (item & (level["kind"] == "data")) | (~item & (level["kind"] == "file") & lists) | (~item & (level["kind"] == "data") & (level["types"] != "object"))
+
+
+def found_suggestions(known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    """(path, known_path, reason, score, rank): what the data points of new that known lacks correspond to, best first.
+
+    Nodes of a level look at the known children of what their parents correspond to: the same name there is a move,
+    others of one kind and type are scored. A structure with one best candidate corresponds to it from there on.
+    """
+    moved = found_moves(known, new)
+    to_new, to_known = dict(zip(moved["old"], moved["new"])), dict(zip(moved["new"], moved["old"]))
+    score = dict.fromkeys(to_known, SURE)
+    there, here = set(known["path"]), set(new["path"])
+    columns = ["path", "known_path", "reason", "score", "rank"]
+    out = [pd.DataFrame(columns=columns)]
+    for _, level in new[(new["path"] != "") & ~new["kind"].isin(["folder", "container"])].groupby("depth"):
+        level = level[~level["path"].isin(there)]
+        if not len(level):
+            continue
+        direct = level["path"].map(lambda p: _carried(p, to_known))
+        trust = level["path"].map(lambda p: next((score[p[:i]] for i in [len(p), *(i for i in range(len(p) - 1, -1, -1) if p[i] == "/")] if p[:i] in score), SURE))
+        level = level.assign(direct=direct, trust=trust, point=_points(level), up=[p if p in there else _carried(p, to_known) for p in level["parent"]])
+        straight = level[level["direct"].isin(there) & level["point"]]
+        out.append(straight.assign(known_path=straight["direct"], reason="moved", score=straight["trust"], rank=0)[columns])
+        left = level[~level["direct"].isin(there)]
+        free = known[~known["kind"].isin(["folder", "container"]) & known["parent"].isin(left["up"])]
+        free = free[free["path"].map(lambda p: _carried(p, to_new) not in here).astype(bool)]
+        if not len(left) or not len(free):
+            continue
+        pairs = left.assign(of=left["kind"], has=left["types"]).merge(free.assign(of=free["kind"], has=free["types"]), left_on=["up", "of", "has"], right_on=["parent", "of", "has"])
+        pairs = pairs.rename(columns={"path_x": "new", "path_y": "old"})
+        pairs = pairs[_steady(pairs)].reset_index(drop=True)
+        if not len(pairs):
             continue
-        direct = to_known(path)
-        if direct is not None and direct[0] in known:
-            found = [(direct[0], "moved", direct[1])]
-        else:
-            found = [(p, "renamed", s) for p, s in renames(path)]
-            clear = len(found) == 1 or len(found) > 1 and found[0][2] > found[1][2]
-            if clear and new[path]["all_types"] & {"object", "array"} and new[path]["kind"] in ("file", "data"):
-                renamed[path] = (found[0][0], found[0][2])
-        if _point(new[path]):
-            out += [(path, p, reason, score, i) for i, (p, reason, score) in enumerate(found)]
-    return out
+        share = pd.Series(0.0, index=pairs.index)
+        deep = pairs[pairs["structure_x"]]
+        if len(deep):
+            share[deep.index] = _shares(deep, known, new)
+        same = lambda c: (pairs[f"{c}_x"] != "") & (pairs[f"{c}_x"] == pairs[f"{c}_y"])  # noqa: B023, E731
+        flat = (same("format") * SAME_INSIDE).where(same("format"), same("shape") * SAME_SHAPE)
+        total = BASE + SAME_PLACE * (pairs["place_x"] == pairs["place_y"]) + (SAME_INSIDE * share).where(pairs["structure_x"], flat)
+        pairs = pairs.assign(score=(total * pairs["trust"]).round(2))[~pairs["structure_x"] | (share >= ALIKE)]
+        pairs = pairs.sort_values(["score", "place_y"], ascending=[False, True], kind="stable")
+        pairs["rank"] = pairs.groupby("new").cumcount()
+        best = pairs.groupby("new")["score"].transform("max")
+        clear = pairs[(pairs["rank"] == 0) & pairs["structure_x"] & ((pairs["score"] == best).groupby(pairs["new"]).transform("sum") == 1)]
+        for path, old, value in zip(clear["new"], clear["old"], clear["score"]):
+            to_known[path], to_new[old], score[path] = old, path, value
+        pairs = pairs[pairs["point"]].assign(reason="renamed")
+        out.append(pairs.rename(columns={"new": "path", "old": "known_path"})[columns])
+    return pd.concat([o for o in out if len(o)] or out[:1])
 
 
 def suggestions(known: DataFrame, new: DataFrame) -> DataFrame:
     """(pair, path, known_path, reason, score, rank): what unknown data points likely correspond to, best first."""
 
     def run(key: tuple, old: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in pair_suggestions(_facts(old), _facts(now))], columns=["pair", "path", "known_path", "reason", "score", "rank"])
+        return found_suggestions(_table(old), _table(now)).assign(pair=key[0])[["pair", "path", "known_path", "reason", "score", "rank"]]
 
     columns = ["pair", "path", *SUMMARY, "position"]
     return known.select(columns).groupBy("pair").cogroup(new.select(columns).groupBy("pair")).applyInPandas(run, "pair string, path string, known_path string, reason string, score double, rank int")
@@ -232,7 +248,7 @@ def inspect(known: DataFrame, new: DataFrame) -> DataFrame:
 
     point = is_data_point(F.col("kind"), F.col("path"), F.col("type"))
     ours, theirs = new.where(point).select("pair", "path"), known.select("pair", "path", point.alias("point"))
-    best = suggestions(known, new).where("rank = 0").select("pair", "path", "known_path")
+    best = staged(suggestions(known, new), "suggestions").where("rank = 0").select("pair", "path", "known_path")
     rows = ours.join(theirs.withColumn("known", F.lit(True)), ["pair", "path"], "left").join(best, ["pair", "path"], "left")
     status = F.when(F.col("known"), "known").when(F.col("known_path").isNotNull(), "matched").otherwise("new")
     rows = rows.select("pair", "path", status.alias("status"), F.when(F.col("known").isNull(), F.col("known_path")).alias("known_path"))
