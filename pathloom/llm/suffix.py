@@ -37,6 +37,8 @@ BLOCK, SEGMENT = 1 << 20, 1 << 20
 GROUP, WIDTHS = 1024, (18, 5, 1)
 #: An anchor with so many contexts in a batch is counted in the first pass; how many counted ones are dealt out by context.
 LOCAL, HEAVY = 8, 1 << 16
+#: Shares that the rows of one key are dealt to when they meet their number.
+SALTS = 16
 FACTOR = 0xD6E8FEB86659FD93
 VALUES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -74,9 +76,11 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(values[: len(values) - (width - step)], values[width - step :]) if width > step else values
 
 
-def anchors(text: bytes, ends: np.ndarray, kgram: int = KGRAM, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def anchors(text: bytes, ends: np.ndarray, exact: bool = True, kgram: int = KGRAM, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(anchor hash, context digest as two numbers, position, left, right) of all anchors in texts one after the other.
 
+    Digests that aren't exact are quick hashes, for counting only.
+
     ends: where each text ends. A context is [position - left, position + right) within its text.
     """
     data, reach = np.frombuffer(text, dtype=np.uint8), length - kgram
@@ -96,6 +100,9 @@ def anchors(text: bytes, ends: np.ndarray, kgram: int = KGRAM, length: int = LEN
     found = np.flatnonzero((hashes == highest[: len(hashes)]) & (at + kgram <= end[: len(hashes)]))
     left = np.minimum(found - begin[found], reach)
     right = np.minimum(end[found] - found, length)
+    if not exact:
+        quick = _mix((sums[found + right] - sums[found - left]) * down[found - left] + (left * 1000 + right).astype(np.uint64))
+        return hashes[found], np.stack([quick, quick], axis=1), found, left, right
     view = memoryview(text)
     digests = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip((found - left).tolist(), (found + right).tolist())])
     digest = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2).copy()
@@ -103,7 +110,7 @@ def anchors(text: bytes, ends: np.ndarray, kgram: int = KGRAM, length: int = LEN
     return hashes[found], digest, found, left, right
 
 
-def document_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def document_anchors(texts: list[bytes], exact: bool = True) -> tuple[np.ndarray, ...]:
     """(text number, anchor hash, context digest, position, left, right) over whole texts; long ones in segments."""
     parts, block, number, size = [], [], [], 0
 
@@ -111,7 +118,7 @@ def document_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         nonlocal block, number, size
         if block:
             ends = np.cumsum([len(b) for b in block])
-            got = anchors(b"".join(block), ends)
+            got = anchors(b"".join(block), ends, exact)
             own = np.searchsorted(ends, got[2], side="right")
             parts.append((np.array(number)[own], got[0], got[1], got[2] - np.concatenate(([0], ends))[own], got[3], got[4]))
         block, number, size = [], [], 0
@@ -128,7 +135,7 @@ def document_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             continue
         for a in range(0, len(text), SEGMENT):
             low, high = max(0, a - 2 * LENGTH), min(len(text), a + SEGMENT + 2 * LENGTH)
-            h, c, p, left, right = anchors(text[low:high], np.array([high - low]))
+            h, c, p, left, right = anchors(text[low:high], np.array([high - low]), exact)
             mine = (p + low >= a) & (p + low < a + SEGMENT)
             parts.append((np.full(int(mine.sum()), i), h[mine], c[mine], p[mine] + low, left[mine], right[mine]))
     flush()
@@ -154,10 +161,10 @@ ANCHORS = "state byte, anchor long, context long, more long, doc_id long, positi
 CONTEXT, KNOWN, COMMON = range(3)
 
 
-def _batch_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+def _batch_anchors(batch: pa.RecordBatch, exact: bool = True) -> tuple[np.ndarray, ...]:
     """(anchor, digest, doc, position, left, right) of a batch (doc_id, text), equal contexts together, earliest first."""
     ids = np.asarray(batch.column(0))
-    number, anchor, digest, position, left, right = document_anchors([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
+    number, anchor, digest, position, left, right = document_anchors([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], exact)
     doc = ids[number] if len(number) else np.zeros(0, np.int64)
     order = np.lexsort((position, doc, digest[:, 1], digest[:, 0], anchor))
     return tuple(x[order] for x in (anchor, digest, doc, position, left, right))
@@ -176,7 +183,7 @@ def common_anchors(docs: DataFrame, local: int = LOCAL, least: int = GROUP, heav
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, digest, *_ = _batch_anchors(batch)
+            anchor, digest, *_ = _batch_anchors(batch, exact=False)
             found, n = np.unique(anchor[~_repeats(anchor, digest)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found[n >= local].view(np.int64)), pa.array(n[n >= local])], names=["anchor", "n"])
 
@@ -266,8 +273,8 @@ def longest_previous(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return np.maximum(before, after)
 
 
-def repeats_in(contexts: list[bytes], key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of the strings of LENGTH bytes in contexts that also start earlier in one of the same key."""
+def repeats_in(contexts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the strings of LENGTH bytes in contexts that also start earlier in one of them."""
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     rank = suffix_ranks(np.frombuffer(b"".join(contexts), dtype=np.uint8))
@@ -278,8 +285,8 @@ def repeats_in(contexts: list[bytes], key: np.ndarray, doc: np.ndarray, start: n
     first = start[own] + offset
     span = int(first.max()) + 1 if len(first) else 1
     run = rank[begins[own] + offset]
-    order = np.lexsort((run, key[own]))
-    same = (run[order][1:] == run[order][:-1]) & (key[own][order][1:] == key[own][order][:-1])
+    order = np.argsort(run, kind="stable")
+    same = run[order][1:] == run[order][:-1]
     # Only suffixes that share LENGTH bytes with a neighbour can have a factor of that length; between runs it is less.
     shared = np.concatenate(([0], np.where(same, LENGTH, 0)))[: len(order)]
     near = (shared > 0) | np.concatenate((shared[1:] > 0, [False]))[: len(order)]
@@ -297,7 +304,7 @@ def _suffix_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts)
         column = lambda c: table.column(c).to_numpy().astype(np.int64)
-        doc, a, b = repeats_in(table.column("bytes").to_pylist(), column("key"), column("doc_id"), column("start"))
+        doc, a, b = repeats_in(table.column("bytes").to_pylist(), column("doc_id"), column("start"))
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a), pa.array(b)], names=["doc_id", "start", "end"])
 
     for batch in batches:
@@ -353,10 +360,10 @@ def _refined(rows: DataFrame, group: int) -> tuple[DataFrame | None, DataFrame |
         if rows.isEmpty():
             break
         least = staged(rows.groupBy("key", "digest").agg(F.min(at).alias("least")), "first-ranges")
-        kinds = least.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        kinds = least.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", "kinds", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         marked = rows.join(least, ["key", "digest"])
         whole = add(whole, marked.where(at > F.col("least")).select("doc_id", "start", (F.col("start") + F.length("bytes")).alias("end")))
-        left = marked.where(at == F.col("least")).join(kinds, "key")
+        left = marked.where(at == F.col("least")).withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(kinds, ["key", "salt"])
         sort = add(sort, left.where(F.col("kinds") <= group).select("key", "doc_id", "start", "bytes"))
         rows = left.where(F.col("kinds") > group)
     return whole, sort
