@@ -30,7 +30,7 @@ END_ID = 2
 #: Tokens of a window and of a packet; quanta and deficits are counted in parts of a token.
 WINDOW, PACKET, PARTS = 4096, 64, 1 << 16
 #: Rounds whose sizes are added up together.
-ROUNDS = 4096
+ROUNDS = 1024
 
 
 def encoded(docs: DataFrame, tokenizer: str, pieces: str, end_id: int) -> DataFrame:
