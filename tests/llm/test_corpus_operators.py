@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -481,9 +482,12 @@ def test_pipeline(spark):
                 best[k] = max(best.get(k, i), i)
             assert after.keys() == set(best.values())
         elif name == "simhash_near_dedup":
-            fps = {i: fingerprint(r.text or "") for i, r in before.items()}
-            root = components([(a, b) for a in fps for b in fps if a < b and bin(fps[a] ^ fps[b]).count("1") <= 2], fps)
+            _, root = brute_near({i: r.text or "" for i, r in before.items()})
             assert after.keys() == set(root.values())
+        else:
+            con = duckdb.connect()
+            con.register("documents", pd.DataFrame([(r.doc_id, r.text, r.lang, r.source) for r in before.values()], columns=["doc_id", "text", "lang", "source"]))
+            assert after.keys() == {r[0] for r in con.sql(mixing.mixing_sql(max_epochs=1)).fetchall()}
         before = after
 
 
