@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pathloom.llm import common, exact, graph, iblt, licenses, mixing, orc_tokens, packing, secrets, simhash, suffix, tokens, toxicity
+from pathloom.llm import common, exact, graph, iblt, licenses, mixing, near, orc_tokens, packing, secrets, simhash, suffix, tokens, toxicity
 
 LOWER = str.maketrans(common.UPPER, common.UPPER.lower())
 
@@ -535,6 +535,19 @@ def test_near_stage_against_brute_force(spark):
     assert simhash.stage(spark, rows.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("share", [10, 10_000])
+def test_rarest_shingles_lose_no_pair(spark, monkeypatch, share):
+    monkeypatch.setattr(near, "SHARE", share)
+    passage = " ".join(f"p{x}" for x in range(60))
+    around = [f"{passage} {' '.join(f'own{i}x{j}' for j in range(n))}" for n in (6, 9, 12) for i in range(12)]
+    texts = dict(enumerate(dict.fromkeys(" ".join(t.lower().split()) for t in one_word_edits() + around)))
+    pairs, _ = brute_near(texts)
+    node = F.struct(F.col("id"), F.lit(0).cast("long").alias("mark")).alias("node")
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string").select(node, "text")
+    got = near.rare_pairs(rows.select("node", F.col("node").alias("label")), rows)
+    assert len(pairs) > 100 and sorted((r.u.id, r.v.id) for r in got.collect()) == sorted(pairs)
+
+
 def test_near_stage_goes_by_row(spark):
     rows = odd_ids(spark, [(1, "a b"), (None, "A b"), (None, "alone"), (2, "a  b"), (2, "own"), (3, "c d"), (3, "C d"), (4, "p"), (4, "p")])
     got = [(r.doc_id, r.text) for r in simhash.stage(spark, rows, "").collect()]
