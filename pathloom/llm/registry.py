@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import exact, iblt, licenses, mixing, orc_tokens, packing, secrets, simhash, suffix, toxicity
+from pathloom.llm import exact, iblt, licenses, mixing, negatives, orc_tokens, packing, secrets, sharding, simhash, suffix, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_suffix": suffix.op8_suffix,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_negatives": negatives.op13_negatives,
 }
-ORACLES = {"op3_exact": exact.OP3_SQL, "op10_mixing": mixing.mixing_sql()}
+ORACLES = {"op3_exact": exact.OP3_SQL, "op10_mixing": mixing.mixing_sql(), "op12_sharding": sharding.OP12_SQL, "op13_negatives": negatives.OP13_SQL}
