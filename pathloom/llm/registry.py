@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import exact, iblt, licenses, mixing, negatives, orc_tokens, packing, secrets, sharding, simhash, suffix, toxicity
+from pathloom.llm import exact, iblt, licenses, mixing, negatives, orc_tokens, packing, repair, secrets, sharding, simhash, suffix, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix": suffix.op8_suffix,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
+    "op11_repair": repair.op11_repair,
     "op12_sharding": sharding.op12_sharding,
     "op13_negatives": negatives.op13_negatives,
 }
