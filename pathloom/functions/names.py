@@ -9,8 +9,12 @@ from pathloom.functions import paths as P
 from pathloom.functions import shapes as S
 
 EMAIL_IN_TEXT = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
-#: Words of file names that tell nothing about a person (fixed values).
-KNOWN_WORDS = ("json", "csv", "zip", "tsv", "js", "html", "txt", "data", "export", "download", "takeout", "archive", "my", "your", "messages", "history", "account", "activity", "user")
+#: Words of file names that tell nothing about a person: formats, terms of exports, platforms (fixed values).
+KNOWN_WORDS = (
+    "zip", "json", "csv",
+    "data", "export", "download", "archive", "takeout", "account", "user", "my", "your", "personal", "information", "info", "activity", "request", "backup", "part", "file", "files", "copy", "final", "new",
+    "tiktok", "instagram", "facebook", "meta", "youtube", "google", "twitter", "linkedin", "snapchat", "whatsapp", "threads", "reddit", "spotify", "netflix", "amazon", "apple", "pinterest", "discord", "telegram", "bluesky",
+)
 
 
 def anonymous_file_name(name: Column, known: tuple[str, ...] = KNOWN_WORDS) -> Column:
@@ -62,3 +66,15 @@ def looks_like(declared: Column, head: Column) -> Column:
     no_nul = ~F.contains(F.decode(head, "iso-8859-1"), F.lit("\0"))
     first_line = F.substring_index(text, "\n", 1)
     return F.when(declared == "zip", zip_magic).when(declared == "json", no_nul & text.rlike(r"^[\[{]")).when(declared == "csv", no_nul & first_line.rlike("[,;\t|]")).otherwise(no_nul)
+
+
+def named_like(folder: Column, container: Column) -> Column:
+    """Whether a folder is named like its zip: letter by letter, whatever the case and what systems add to a copy's name.
+
+    The zip's name may be masked: its x stands for any letter, its 0 for any digit.
+    """
+    bare = lambda n: F.regexp_replace(F.lower(F.trim(n)), r"(?i)(\s*\(\d+\)|\s+\d+|\s*-?\s*copy(\s*\d+)?)$", "")
+    own, whole = bare(folder), bare(F.regexp_replace(container, r"(?<=.)\.[^.]*$", ""))
+    fits = lambda a, b: (a == b) | ((b == "x") & a.rlike(r"^\p{L}$")) | ((b == "0") & a.rlike(r"^\p{Nd}$"))
+    letters = F.zip_with(F.split(own, ""), F.split(whole, ""), fits)
+    return (F.length(own) == F.length(whole)) & F.forall(letters, lambda x: x)

@@ -156,6 +156,11 @@ def found_moves(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(out), columns=["old", "new"], dtype=object)
 
 
+def _own(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns under names of this side's own, so that two sides of one table can meet."""
+    return nodes.select(*(F.col(c).alias(c) for c in columns))
+
+
 def moves(before: DataFrame, after: DataFrame) -> DataFrame:
     """(pair, old, new) of subtrees that moved."""
 
@@ -163,7 +168,7 @@ def moves(before: DataFrame, after: DataFrame) -> DataFrame:
         return found_moves(_table(old), _table(new)).assign(pair=key[0])[["pair", "old", "new"]]
 
     columns = ["pair", "path", *SUMMARY]
-    return before.select(columns).groupBy("pair").cogroup(after.select(columns).groupBy("pair")).applyInPandas(run, "pair string, old string, new string")
+    return _own(before, columns).groupBy("pair").cogroup(_own(after, columns).groupBy("pair")).applyInPandas(run, "pair string, old string, new string")
 
 
 def _carried(path: str, to: dict[str, str]) -> str:
@@ -182,6 +187,39 @@ def _points(level: pd.DataFrame) -> pd.Series:
     return own | (item & (level["kind"] == "data")) | (~item & (level["kind"] == "file") & lists) | (~item & (level["kind"] == "data") & (level["types"] != "object"))
 
 
+def _exclusive(pairs: pd.DataFrame, file_order: dict[str, tuple[int, ...]]) -> tuple[pd.DataFrame, list[tuple[str, str, float]]]:
+    """pairs (new, old, score, ...) of a level with ranks, and the structures (new, old, score) that have one best candidate.
+
+    New nodes choose in the order of their file; what a structure took is no candidate of those after it.
+    """
+    order = sorted(range(len(pairs)), key=lambda i: (file_order[pairs["new"].iat[i]], pairs["new"].iat[i], -pairs["score"].iat[i], pairs["place_y"].iat[i]))
+    pairs = pairs.iloc[order].reset_index(drop=True)
+    taken: dict[str, str] = {}
+    best: dict[str, list[tuple[str, float]]] = {}
+    kept = []
+    for i, (new, old, value, structure) in enumerate(zip(pairs["new"], pairs["old"], pairs["score"], pairs["structure_x"])):
+        if new not in best:  # the node before has all its candidates
+            taken.update(_clear(best))
+        if structure and old in taken:
+            continue
+        kept.append(i)
+        if structure:
+            best.setdefault(new, []).append((old, value))
+    taken.update(_clear(best))
+    pairs = pairs.iloc[kept].copy()
+    pairs["rank"] = pairs.groupby("new").cumcount()
+    chosen = {new: found for new, found in best.items() if found and taken.get(found[0][0]) == new}
+    return pairs, [(new, *found[0]) for new, found in chosen.items()]
+
+
+def _clear(best: dict[str, list[tuple[str, float]]]) -> dict[str, str]:
+    """{old: new} for the last node of best, if its first candidate is better than any other."""
+    if not best:
+        return {}
+    new, found = next(reversed(best.items()))
+    return {found[0][0]: new} if len(found) == 1 or found[0][1] > found[1][1] else {}
+
+
 def found_suggestions(known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     """(path, known_path, reason, score, rank): what the data points of new that known lacks correspond to, best first.
 
@@ -192,6 +230,8 @@ def found_suggestions(known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     to_new, to_known = dict(zip(moved["old"], moved["new"])), dict(zip(moved["new"], moved["old"]))
     score = dict.fromkeys(to_known, SURE)
     there, here = set(known["path"]), set(new["path"])
+    places = dict(zip(new["path"], new["place"]))
+    file_order = {p: tuple(places.get(p[:i], 0) for i in [*(i for i, c in enumerate(p) if c == "/" and i), len(p)]) for p in places}
     columns = ["path", "known_path", "reason", "score", "rank"]
     out = [pd.DataFrame(columns=columns)]
     for _, level in new[(new["path"] != "") & ~new["kind"].isin(["folder", "container"])].groupby("depth"):
@@ -221,11 +261,8 @@ def found_suggestions(known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         flat = (same("format") * SAME_INSIDE).where(same("format"), same("shape") * SAME_SHAPE)
         total = BASE + SAME_PLACE * (pairs["place_x"] == pairs["place_y"]) + (SAME_INSIDE * share).where(pairs["structure_x"], flat)
         pairs = pairs.assign(score=(total * pairs["trust"]).round(2))[~pairs["structure_x"] | (share >= ALIKE)]
-        pairs = pairs.sort_values(["score", "place_y"], ascending=[False, True], kind="stable")
-        pairs["rank"] = pairs.groupby("new").cumcount()
-        best = pairs.groupby("new")["score"].transform("max")
-        clear = pairs[(pairs["rank"] == 0) & pairs["structure_x"] & ((pairs["score"] == best).groupby(pairs["new"]).transform("sum") == 1)]
-        for path, old, value in zip(clear["new"], clear["old"], clear["score"]):
+        pairs, clear = _exclusive(pairs, file_order)
+        for path, old, value in clear:
             to_known[path], to_new[old], score[path] = old, path, value
         pairs = pairs[pairs["point"]].assign(reason="renamed")
         out.append(pairs.rename(columns={"new": "path", "old": "known_path"})[columns])
@@ -239,7 +276,7 @@ def suggestions(known: DataFrame, new: DataFrame) -> DataFrame:
         return found_suggestions(_table(old), _table(now)).assign(pair=key[0])[["pair", "path", "known_path", "reason", "score", "rank"]]
 
     columns = ["pair", "path", *SUMMARY, "position"]
-    return known.select(columns).groupBy("pair").cogroup(new.select(columns).groupBy("pair")).applyInPandas(run, "pair string, path string, known_path string, reason string, score double, rank int")
+    return _own(known, columns).groupBy("pair").cogroup(_own(new, columns).groupBy("pair")).applyInPandas(run, "pair string, path string, known_path string, reason string, score double, rank int")
 
 
 def inspect(known: DataFrame, new: DataFrame) -> DataFrame:

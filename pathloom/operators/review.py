@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
 
-#: Steps of an upload's review: from which states, to which, and whether only staff may take them (fixed values).
+#: Steps of an upload's review: the state they need, the state they lead to (null: the upload is deleted), and who may
+#: take them (fixed values).
 STEPS = {
-    "confirm": (("unconfirmed",), "confirmed", False),
-    "discard": (("unconfirmed", "awaiting"), "discarded", False),
-    "approve": (("awaiting", "confirmed"), "approved", True),
-    "reject": (("awaiting", "confirmed"), "rejected", True),
+    "confirm": ("unconfirmed", "awaiting", "owner"),
+    "discard": ("unconfirmed", None, "owner"),
+    "approve": ("awaiting", "approved", "staff"),
+    "reject": ("awaiting", "rejected", "staff"),
 }
+#: States in which an upload is part of the collected schema (fixed values).
+COUNTED = ("passed", "approved")
 
 
 def untriaged(points: DataFrame) -> DataFrame:
@@ -69,18 +72,30 @@ def filter_defaults(uploads: DataFrame) -> DataFrame:
 
 
 def states(uploads: DataFrame) -> DataFrame:
-    """(platform, upload_id, counts, finished, can_inspect) of uploads (status, plausibility)."""
-    counts = (F.col("status") == "done") & F.col("plausibility").isin("passed", "approved", "confirmed")
-    return uploads.select("platform", "upload_id", counts.alias("counts"), F.col("status").isin("done", "failed").alias("finished"), ((F.col("status") == "done") & (F.col("plausibility") != "discarded")).alias("can_inspect"))
+    """(platform, upload_id, counts, finished) of uploads (status, plausibility)."""
+    return uploads.select("platform", "upload_id", F.col("plausibility").isin(*COUNTED).alias("counts"), F.col("status").isin("done", "failed").alias("finished"))
+
+
+def inspectable(uploads: DataFrame, users: DataFrame) -> DataFrame:
+    """(upload_id, user) of users (user, upload_id, staff) who may look into an upload (has_document, registered, uploaded_by).
+
+    Only what was parsed and isn't registered can be looked into, by staff and by its uploader.
+    """
+    open_ = uploads.where("has_document and not registered").select("upload_id", "uploaded_by")
+    return users.join(open_, "upload_id").where("staff or user = uploaded_by").select("upload_id", "user")
 
 
 def stepped(uploads: DataFrame, asked: DataFrame) -> DataFrame:
-    """(upload_id, action, plausibility, allowed) of asked (upload_id, action, staff): what a step leads to, if it may be taken."""
-    rows = asked.join(uploads.select("upload_id", "plausibility"), "upload_id")
+    """(upload_id, action, plausibility, allowed) of asked (upload_id, action, user, staff) on uploads (plausibility, uploaded_by).
+
+    plausibility is what the step leads to if it may be taken, null if the upload is deleted by it; else it stays.
+    """
+    rows = asked.join(uploads.select("upload_id", "plausibility", "uploaded_by"), "upload_id")
     allowed, to = F.lit(False), F.col("plausibility")
-    for action, (from_, state, staff) in STEPS.items():
-        may = (F.col("action") == action) & F.col("plausibility").isin(*from_) & (F.col("staff") | F.lit(not staff))
-        allowed, to = allowed | may, F.when(may, state).otherwise(to)
+    for action, (from_, state, who) in STEPS.items():
+        right = F.col("staff") if who == "staff" else F.coalesce(F.col("user") == F.col("uploaded_by"), F.lit(False))
+        may = (F.col("action") == action) & (F.col("plausibility") == from_) & right
+        allowed, to = allowed | may, F.when(may, F.lit(state).cast("string")).otherwise(to)
     return rows.select("upload_id", "action", to.alias("plausibility"), allowed.alias("allowed"))
 
 
@@ -127,13 +142,17 @@ def best_suggestions(suggestions: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def merged_samples(samples: DataFrame) -> DataFrame:
-    """(path, samples) of (path, part, samples): each document's different ones in turn, as many as the longest has."""
-    rows = samples.select("path", "part", F.size("samples").alias("_n"), F.posexplode("samples").alias("i", "value"))
-    first = rows.groupBy("path", "value").agg(F.min(F.struct("part", "i")).alias("at"))
-    longest = rows.groupBy("path").agg(F.max("_n").alias("most"))
-    order = F.array_sort(F.collect_list(F.struct("at", "value")))
-    lists = first.groupBy("path").agg(F.transform(order, lambda x: x["value"]).alias("samples")).join(longest, "path")
-    return lists.select("path", F.slice("samples", 1, F.col("most")).alias("samples"))
+    """(path, samples) of (path, part, samples): a left fold by part, each step keeping as many values as the longer list has.
+
+    Samples of one list differ, so after each step there are as many as the longest list so far has, and a list that
+    isn't longer than all before it adds nothing. Of the lists of one length only the first can matter: a minimum per
+    length, and a fold over a few lists per path.
+    """
+    first = samples.groupBy("path", F.size("samples").alias("_n")).agg(F.min(F.struct("part", "samples")).alias("x"))
+    lists = first.groupBy("path").agg(F.array_sort(F.collect_list("x")).alias("lists"))
+    none = F.array().cast("array<string>")
+    step = lambda have, x: F.slice(F.array_distinct(F.concat(have, x["samples"])), 1, F.greatest(F.size(have), F.size(x["samples"])))
+    return lists.select("path", F.aggregate("lists", none, step).alias("samples"))
 
 
 def triage(points: DataFrame, scopes: DataFrame, suggestions: DataFrame) -> DataFrame:
@@ -148,20 +167,3 @@ def children_order(rows: DataFrame) -> DataFrame:
     """(platform, path, place) among siblings: by name in files' folders, names of null first, else by position."""
     by = W.partitionBy("platform", "parent_path").orderBy(F.when(F.col("in_folder"), F.coalesce("name", F.lit(""))).otherwise(F.lit("")), "position", "path")
     return rows.select("platform", "path", (F.row_number().over(by) - 1).alias("place"))
-
-
-def moved_curation(locations: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(locations with their new paths, conflicts) when paths are renamed: renames (platform, path, new_path).
-
-    What becomes one path keeps the annotation that all of its annotated ones have; with several, none is kept and all
-    are listed as conflicts (platform, new_path, annotations).
-    """
-    rows = locations.join(renames, ["platform", "path"], "left").withColumn("new_path", F.coalesce("new_path", "path"))
-    kept = rows.groupBy("platform", "new_path").agg(F.array_sort(F.collect_set("annotation")).alias("annotations"), F.bool_and("ignored").alias("ignored"), F.count("*").alias("merged"))
-    moved = kept.select("platform", F.col("new_path").alias("path"), F.when(F.size("annotations") == 1, F.col("annotations")[0]).alias("annotation"), "ignored", "merged")
-    return moved, kept.where(F.size("annotations") > 1).select("platform", "new_path", "annotations")
-
-
-def as_text(value: Column, json_type: Column) -> Column:
-    """A value as it is shown: strings as they are, null as null, others as JSON writes them."""
-    return F.when(json_type == "null", F.lit("null")).otherwise(value)

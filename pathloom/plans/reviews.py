@@ -17,11 +17,12 @@ def judged(s, d):
     """Documents as uploads in every state."""
     h = held(s, d)
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("arrived") % len(v) + 1).cast("int"))
-    return h.withColumn("status", pick("done", "failed", "parsing", "done")).withColumn("plausibility", pick("passed", "awaiting", "unconfirmed", "confirmed", "discarded")).withColumn("counts", F.col("arrived") % 3 == 0)
+    told = h.withColumn("status", pick("done", "failed", "parsing", "done")).withColumn("plausibility", pick("passed", "awaiting", "unconfirmed", "approved", "rejected")).withColumn("counts", F.col("arrived") % 3 == 0)
+    return told.withColumns({"uploaded_by": F.when(F.col("arrived") % 6 != 0, F.col("arrived") % 6), "has_document": F.col("status") == "done", "registered": F.col("plausibility").isin(*review.COUNTED)})
 
 
 JUDGED = """h AS (SELECT lang AS platform, CAST(doc_id AS VARCHAR) AS upload_id, doc_id AS arrived, CASE WHEN n_chars % 2 = 0 THEN 'zip' ELSE 'json' END AS root_format,
-  ['done', 'failed', 'parsing', 'done'][doc_id % 4 + 1] AS status, ['passed', 'awaiting', 'unconfirmed', 'confirmed', 'discarded'][doc_id % 5 + 1] AS plausibility, doc_id % 3 = 0 AS counts FROM documents)"""
+  ['done', 'failed', 'parsing', 'done'][doc_id % 4 + 1] AS status, ['passed', 'awaiting', 'unconfirmed', 'approved', 'rejected'][doc_id % 5 + 1] AS plausibility, doc_id % 3 = 0 AS counts, nullif(doc_id % 6, 0) AS uploaded_by FROM documents)"""
 
 
 def based(s, d):
@@ -31,7 +32,7 @@ def based(s, d):
 def asked(s, d):
     h = base.table(s, d, "documents")
     actions = F.array(*map(F.lit, review.STEPS))
-    return h.select(F.col("doc_id").cast("string").alias("upload_id"), F.element_at(actions, (F.length("text") % 4 + 1).cast("int")).alias("action"), (F.col("doc_id") % 2 == 0).alias("staff"))
+    return h.select(F.col("doc_id").cast("string").alias("upload_id"), F.element_at(actions, (F.length("text") % 4 + 1).cast("int")).alias("action"), (F.length("text") % 7).cast("long").alias("user"), (F.col("doc_id") % 2 == 0).alias("staff"))
 
 
 def placed(s, d):
@@ -44,14 +45,11 @@ def item_rows(s, d):
     return p.withColumn("path", F.regexp_replace("path", "/[a-z]{2}$", "/[]")).dropDuplicates(["platform", "path"]).withColumn("type", F.concat(F.lit("t"), (F.length("path") % 5).cast("string")))
 
 
-def renamed(s, d):
-    loc = base.locations(s, d)
-    return review.moved_curation(loc, loc.select("platform", "path", F.regexp_replace("path", "/[0-9]+", "/{*}").alias("new_path")))
-
-
 def sample_lists(s, d):
+    """Lists of one to five priorities: of each seventh of the customers as many as its number says."""
     o = base.table(s, d, "orders").select(F.col("o_orderstatus").alias("path"), (F.col("o_custkey") % 7).alias("part"), "o_orderpriority").distinct()
-    return o.groupBy("path", "part").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("samples"))
+    every = o.groupBy("path", "part").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("samples"))
+    return every.withColumn("samples", F.slice("samples", 1, (1 + F.col("part") * 3 % 5).cast("int")))
 
 
 def several_references(s, d):
@@ -80,12 +78,14 @@ QUERIES = {
     "merged_samples": lambda s, d: review.merged_samples(sample_lists(s, d)).select("path", F.array_join("samples", ";").alias("samples")),
     "triage_items": lambda s, d: review.triage(points(s, d), timeline.scopes(base.observations(s, d), base.uploads(s, d)), points(s, d).where(F.col("location") % 7 == 0).select("platform", "upload_id", "location", F.explode(F.expr("array(struct('renamed' AS reason, 1 AS rank), struct('moved' AS reason, cast(location % 2 * 2 as int) AS rank))")).alias("x")).select("platform", "upload_id", "location", "x.*")),
     "children_order": lambda s, d: review.children_order(placed(s, d).withColumn("name", F.reverse("path")).withColumn("in_folder", F.length("parent_path") % 2 == 0).withColumn("position", F.length("path") % 3)),
-    "moved_curation": lambda s, d: renamed(s, d)[0],
-    "curation_conflicts": lambda s, d: renamed(s, d)[1].withColumn("annotations", F.array_join("annotations", ";")),
+    "inspectable_uploads": lambda s, d: review.inspectable(judged(s, d), asked(s, d)),
     "merged_file_fields": lambda s, d: merge.merged_files(base.table(s, d, "part").select(F.col("p_brand").alias("path"), F.lit("file").alias("kind"), F.col("p_partkey").alias("doc_id"), F.col("p_size").cast("long").alias("size_bytes"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("ext"), F.lit(None).cast("string").alias("mime"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("long")).alias("files"))),
 }
 PATHS = f"WITH{base.URL_PATHS}, ap AS (SELECT DISTINCT platform, {base.PREFIXES.format(p='path')} AS path FROM url)"
-STEP = "CASE " + " ".join(f"WHEN action = '{a}' AND plausibility IN ({', '.join(repr(f) for f in from_)}) AND {'staff' if staff else 'TRUE'} THEN '{to}'" for a, (from_, to, staff) in review.STEPS.items()) + " END"
+#: The steps in SQL: what each needs, who may take it, and where it leads.
+STEPPED = """CASE WHEN action = 'confirm' THEN plausibility = 'unconfirmed' AND "user" = uploaded_by WHEN action = 'discard' THEN plausibility = 'unconfirmed' AND "user" = uploaded_by
+  WHEN action IN ('approve', 'reject') THEN plausibility = 'awaiting' AND staff ELSE FALSE END"""
+ASKED = "s AS (SELECT CAST(doc_id AS VARCHAR) AS upload_id, ['confirm', 'discard', 'approve', 'reject'][length(text) % 4 + 1] AS action, length(text) % 7 AS \"user\", doc_id % 2 = 0 AS staff FROM documents)"
 ORACLES = {
     "untriaged_points": f"{ALL} SELECT o.platform, o.upload_id, o.location FROM obs o JOIN loc USING (platform, location) WHERE is_data_point AND annotation IS NULL AND NOT ignored",
     "items_without_representation": f"{ALL} SELECT platform, location FROM loc WHERE path LIKE '%/[]' AND location % 2 <> 0",
@@ -94,18 +94,17 @@ ORACLES = {
     "shown_missing_annotations": f"{PATHS} SELECT * FROM ap a WHERE EXISTS (SELECT 1 FROM ap b WHERE b.platform = a.platform AND length(b.path) % 5 = 0 AND (b.path = a.path OR starts_with(b.path, a.path || '/')))",
     "children_and_items": f"{PATHS}, it AS (SELECT DISTINCT platform, regexp_replace(path, '/[a-z]{{2}}$', '/[]') AS path, regexp_replace(path, '/[^/]*$', '') AS parent_path FROM ap), ty AS (SELECT *, 't' || (length(path) % 5) AS type FROM it) SELECT platform, path, EXISTS (SELECT 1 FROM ty b WHERE b.platform = a.platform AND b.parent_path = a.path AND b.path <> '') AS has_children, coalesce((SELECT max(type) FROM ty b WHERE b.platform = a.platform AND b.parent_path = a.path AND b.path LIKE '%/[]'), '') AS item_type FROM ty a",
     "filter_defaults": f"{BOTH}, n AS (SELECT *, coalesce(nullif(request_format, ''), 'unknown') AS rf FROM up WHERE registered), a AS (SELECT platform, rf FROM (SELECT platform, rf, count(*) AS n FROM n GROUP BY platform, rf) QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, rf) = 1) SELECT platform, rf AS request_format, root_format FROM (SELECT platform, rf, root_format, count(*) AS n FROM n JOIN a USING (platform, rf) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, root_format) = 1",
-    "upload_states": f"WITH {JUDGED} SELECT platform, upload_id, status = 'done' AND plausibility IN ('passed', 'approved', 'confirmed') AS counts, status IN ('done', 'failed') AS finished, status = 'done' AND plausibility <> 'discarded' AS can_inspect FROM h",
-    "upload_steps": f"WITH {JUDGED}, s AS (SELECT CAST(doc_id AS VARCHAR) AS upload_id, ['confirm', 'discard', 'approve', 'reject'][length(text) % 4 + 1] AS action, doc_id % 2 = 0 AS staff FROM documents), t AS (SELECT *, {STEP} AS target FROM s JOIN h USING (upload_id)) SELECT upload_id, action, coalesce(target, plausibility) AS plausibility, target IS NOT NULL AS allowed FROM t",
+    "upload_states": f"WITH {JUDGED} SELECT platform, upload_id, plausibility IN ('passed', 'approved') AS counts, status IN ('done', 'failed') AS finished FROM h",
+    "upload_steps": f"WITH {JUDGED}, {ASKED}, t AS (SELECT *, coalesce({STEPPED}, FALSE) AS ok FROM s JOIN h USING (upload_id)) SELECT upload_id, action, CASE WHEN NOT ok THEN plausibility WHEN action = 'confirm' THEN 'awaiting' WHEN action = 'approve' THEN 'approved' WHEN action = 'reject' THEN 'rejected' END AS plausibility, ok AS allowed FROM t",
+    "inspectable_uploads": f"WITH {JUDGED}, {ASKED} SELECT upload_id, \"user\" FROM s JOIN h USING (upload_id) WHERE status = 'done' AND plausibility NOT IN ('passed', 'approved') AND (staff OR \"user\" = uploaded_by)",
     "stale_proposals": f"{PROPOSALS}, b AS (SELECT *, CASE WHEN proposal_id % 3 <> 0 THEN value END AS base FROM pr), n AS (SELECT target, kind, arg_max(value, (decided_at, proposal_id)) AS now FROM pr WHERE status = 'accepted' GROUP BY ALL) SELECT proposal_id, target, kind FROM b LEFT JOIN n USING (target, kind) WHERE status = 'open' AND base IS DISTINCT FROM now",
     "waiting_counts": f"{PROPOSALS}, {JUDGED}, a AS (SELECT ['en', 'fr', 'xx'][proposal_id % 3 + 1] AS platform, count(*) AS proposals FROM pr WHERE status = 'open' GROUP BY ALL), b AS (SELECT platform, count(*) AS approvals FROM h WHERE plausibility = 'awaiting' GROUP BY ALL) SELECT platform, coalesce(proposals, 0) AS proposals, coalesce(approvals, 0) AS approvals FROM a FULL JOIN b USING (platform)",
     "open_proposals_of_targets": f"{PROPOSALS} SELECT proposal_id, target, kind FROM pr WHERE status = 'open' AND CAST(target AS INT) % 3 = 0 AND (CAST(target AS INT) % 2 <> 0 OR kind = 'name')",
     "proposal_groups": f"{PROPOSALS} SELECT lower(coalesce(n_name, target)) AS \"group\", count(*) AS n FROM pr LEFT JOIN nation ON target = CAST(n_nationkey AS VARCHAR) WHERE status = 'open' GROUP BY ALL",
     "plausibility_peers": f"WITH {JUDGED} SELECT platform, upload_id, coalesce(sum(CAST(counts AS INT)) OVER (PARTITION BY platform, root_format ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS peers FROM h",
     "best_suggestions": "WITH k AS (SELECT DISTINCT CAST(s_suppkey % 200 AS VARCHAR) AS path FROM supplier WHERE s_nationkey % 4 = 0) SELECT CAST(l_suppkey % 200 AS VARCHAR) AS path, CAST(l_linenumber AS VARCHAR) AS known_path, max(round(l_discount, 2)) AS score FROM lineitem WHERE CAST(l_suppkey % 200 AS VARCHAR) NOT IN (SELECT path FROM k) GROUP BY ALL",
-    "merged_samples": "WITH o AS (SELECT DISTINCT o_orderstatus AS path, o_custkey % 7 AS part, o_orderpriority AS v FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY path, part ORDER BY v) AS i FROM o), f AS (SELECT path, v, min((part, i)) AS a FROM r GROUP BY ALL), m AS (SELECT path, max(i) AS most FROM r GROUP BY path), l AS (SELECT path, list(v ORDER BY a) AS s FROM f GROUP BY path) SELECT path, array_to_string(s[1:most], ';') AS samples FROM l JOIN m USING (path)",
+    "merged_samples": "WITH o AS (SELECT DISTINCT o_orderstatus AS path, o_custkey % 7 AS part, o_orderpriority AS p FROM orders), a AS (SELECT path, part, list_sort(list(p)) AS v FROM o GROUP BY ALL), l AS (SELECT path, part, v[1:1 + part * 3 % 5] AS v FROM a) SELECT path, array_to_string(list_reduce(list(v ORDER BY part), lambda a, b: (a || list_filter(b, lambda x: NOT list_contains(a, x)))[1:greatest(len(a), len(b))]), ';') AS samples FROM l GROUP BY path",
     "triage_items": f"{ALL}{NEW} SELECT o.platform, o.upload_id, o.location, CASE WHEN o.location % 7 = 0 THEN CASE WHEN o.location % 2 = 0 THEN 'moved' ELSE 'renamed' END WHEN n.location IS NOT NULL THEN 'new' ELSE 'seen' END AS status FROM obs o JOIN loc USING (platform, location) LEFT JOIN nw n ON n.platform = o.platform AND n.upload_id = o.upload_id AND n.location = o.location WHERE is_data_point AND annotation IS NULL AND NOT ignored",
     "children_order": f"{PATHS}, p AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS up FROM ap) SELECT platform, path, row_number() OVER (PARTITION BY platform, up ORDER BY CASE WHEN length(up) % 2 = 0 THEN reverse(path) ELSE '' END, length(path) % 3, path) - 1 AS place FROM p",
-    "moved_curation": f"{ALL}, n AS (SELECT *, regexp_replace(path, '/[0-9]+', '/{{*}}', 'g') AS np FROM loc) SELECT platform, np AS path, CASE WHEN count(DISTINCT annotation) = 1 THEN max(annotation) END AS annotation, bool_and(ignored) AS ignored, count(*) AS merged FROM n GROUP BY ALL",
-    "curation_conflicts": f"{ALL}, n AS (SELECT *, regexp_replace(path, '/[0-9]+', '/{{*}}', 'g') AS new_path FROM loc) SELECT platform, new_path, array_to_string(list_sort(list(DISTINCT annotation)), ';') AS annotations FROM n WHERE annotation IS NOT NULL GROUP BY ALL HAVING count(DISTINCT annotation) > 1",
     "merged_file_fields": "SELECT p_brand AS path, 'file' AS kind, sum(p_size)::BIGINT AS size_bytes, arg_min(p_type, p_partkey) FILTER (WHERE p_partkey % 3 = 0) AS ext, CAST(NULL AS VARCHAR) AS mime, CASE WHEN count(*) FILTER (WHERE p_partkey % 2 = 0) > 0 THEN sum(CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 1 END)::BIGINT END AS files FROM part GROUP BY p_brand",
 }

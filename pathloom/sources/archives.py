@@ -94,10 +94,9 @@ def _ext(name: str) -> str | None:
 
 
 def _same(folder: str, container: str) -> bool:
-    """Whether a folder is named like its zip; masked letters and digits of the zip's name stand for any."""
-    key = lambda n: COPY.sub("", unicodedata.normalize("NFC", n).casefold()).strip()
-    pattern = "".join(r"[^\W\d_]" if c == "x" else r"\d" if c == "0" else re.escape(c) for c in key(container.removesuffix(".zip")))
-    return key(folder) == key(container.removesuffix(".zip")) or re.fullmatch(pattern, key(folder)) is not None
+    """Whether a folder is named like its zip, letter by letter; masked letters and digits of the zip's name stand for any."""
+    own, whole = (COPY.sub("", unicodedata.normalize("NFC", n).casefold().strip()) for n in (folder, container[: container.rfind(".")] if container.rfind(".") > 0 else container))
+    return len(own) == len(whole) and all(a == b or (b == "x" and a.isalpha()) or (b == "0" and a.isdigit()) for a, b in zip(own, whole))
 
 
 def _entries(archive: zipfile.ZipFile, run: _Run, name: str | None) -> list[tuple[list[str], zipfile.ZipInfo, bool]]:
