@@ -40,6 +40,8 @@ LANDMARKS, PHRASES = 192, 32
 #: Kernel with a phrase's word from which on a word may stand for it.
 RESEMBLES = 0.6
 FOLDS = 5
+#: Windows that are looked at in one go.
+BATCH = 4000
 EDGES = ".,;:!?\"'()[]{}|<>*_-~`"
 SENTENCE_END = re.compile(r"[.!?][\"')\]]*$")
 
@@ -73,16 +75,16 @@ def phrase(a: str, b: str) -> str:
     return f"{a.lower().strip(EDGES)} {b.lower().strip(EDGES)}"
 
 
-def codes(unit: str) -> np.ndarray:
-    """Symbols of a unit: a-z, other letters by hash; 0, for digits and marks, is a gap and no symbol."""
-    out = []
-    for c in unit:
-        n = ord(c)
-        out.append(n - 96 if 97 <= n <= 122 else 27 + n * 2654435761 % (SYMBOLS - 27) if c.isalpha() else 0)
-    return np.array(out, dtype=np.int64)
+def symbols(characters: np.ndarray) -> np.ndarray:
+    """The symbol of each code point: 1 to 26 for a-z, others by hash for other letters; 0, for digits and marks, is a gap."""
+    out = np.where((characters >= 97) & (characters <= 122), characters - 96, 0)
+    for n in np.unique(characters[(characters > 122) | ((characters >= 65) & (characters <= 90))]).tolist():
+        if chr(n).isalpha():
+            out[characters == n] = 27 + n * 2654435761 % (SYMBOLS - 27)
+    return out
 
 
-OFFSETS = np.array([(0, a, b) for a, b in combinations(range(1, SPAN), 2)], dtype=np.int64)
+OFFSETS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
 POWERS = DECAY ** np.arange(UNIT + 2.0)
 
 
@@ -90,23 +92,20 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit, subsequence code, weight) of every subsequence of units, added up by code; weights of a unit have norm 1.
 
     A subsequence's letters lie within SPAN letters; its weight falls with all characters that it spans. Units longer
-    than UNIT characters must be cut before (windows()).
+    than UNIT characters must be cut before (windows()). All units are one row of letters, each knowing where its unit ends.
     """
-    width = max((len(u) for u in units), default=0)
-    table = np.zeros((len(units), width + SPAN), dtype=np.int64)
-    place = np.zeros((len(units), width + SPAN), dtype=np.int64)
-    for i, u in enumerate(units):
-        own = codes(u)
-        at = np.flatnonzero(own)
-        table[i, : len(at)], place[i, : len(at)] = own[at], at
-    first = table[:, :width, None]
-    second, third = (np.stack([table[:, o : o + width] for o in OFFSETS[:, j]], axis=2) for j in (1, 2))
-    real = third > 0
-    code = ((first * SYMBOLS + second) * SYMBOLS + third)[real]
-    span = np.stack([place[:, o : o + width] for o in OFFSETS[:, 2]], axis=2) - place[:, :width, None] + 1
-    weight = POWERS[span[real]]
-    at = np.broadcast_to(np.arange(len(units))[:, None, None], real.shape)[real]
-    key = at * SYMBOLS**3 + code
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    whole = symbols(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64))
+    letter = np.flatnonzero(whole)
+    code, unit = whole[letter], np.repeat(np.arange(len(units)), sizes)[letter]
+    end = np.searchsorted(unit, unit, side="right")
+    at = np.arange(len(letter))
+    keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for second, third in OFFSETS:
+        i = at[at + third < end]
+        keys.append(((unit[i] * SYMBOLS + code[i]) * SYMBOLS + code[i + second]) * SYMBOLS + code[i + third])
+        weights.append(POWERS[letter[i + third] - letter[i] + 1])
+    key, weight = np.concatenate(keys), np.concatenate(weights)
     order = np.argsort(key, kind="stable")
     key, weight = key[order], weight[order]
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -129,8 +128,8 @@ def gram(left: list[str], right: list[str]) -> np.ndarray:
     dense = np.zeros((len(known) + 1, len(right)), dtype=np.float32)  # the last row is for what no landmark has
     dense[np.searchsorted(known, code), at] = weight
     out = np.zeros((len(left), len(right)))
-    for i in range(0, len(left), 250):
-        at, code, weight = features(left[i : i + 250])
+    for i in range(0, len(left), BATCH // 4):
+        at, code, weight = features(left[i : i + BATCH // 4])
         if len(at):
             place = np.minimum(np.searchsorted(known, code), len(known) - 1)
             place[known[place] != code] = len(known)
@@ -154,29 +153,64 @@ class Model:
     alpha: tuple[float, ...] = ()
     heads: tuple[str, ...] = ()
     tails: tuple[str, ...] = ()
+    _phrase_words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def roles(self, words: list[str]) -> list[int]:
-        """Whether each word resembles a phrase's first word (1), its second (2), both (3) or none (0)."""
-        short = [windows(w)[0] for w in words]
-        near = lambda known: (gram(short, list(known)) >= RESEMBLES).any(axis=1).astype(int)
-        return (near(self.heads) + 2 * near(self.tails)).tolist()
+        """Whether each word resembles a phrase's first word (1), its second (2), both (3) or none (0); any window counts."""
+        return self.judged(words)[1]
 
     def phrases(self, text: str, roles: dict[str, int]) -> list[str]:
-        """The phrases of a text that are worth a score; roles: those of all words, by word."""
-        return [phrase(a, b) for a, b in adjacent(text) if roles[a] & 1 and roles[b] & 2]
+        """The phrases of a text that are worth a score; roles: those of the words that have any."""
+        return [phrase(a, b) for a, b in adjacent(text) if roles.get(a, 0) & 1 and roles.get(b, 0) & 2]
 
     def decisions(self, units: list[str]) -> np.ndarray:
         """The decision of each unit, of its best window if it is long; -inf for one of fewer than three letters."""
+        return self.judged(units)[0]
+
+    def judged(self, units: list[str]) -> tuple[np.ndarray, list[int]]:
+        """(decisions, roles) of units, from one pass over their subsequences.
+
+        Only windows that have enough weight on the phrase words' own subsequences can resemble one, since a kernel is at
+        most that weight's norm.
+        """
         parts = [windows(u) for u in units]
         flat = [w for p in parts for w in p]
-        out = np.full(len(flat), self.bias)
-        for i in range(0, len(flat), 1000):
-            block = flat[i : i + 1000]
+        own, known, dense = self.phrase_words()
+        out, resembled = np.full(len(flat), self.bias), np.zeros(len(flat), dtype=np.int64)
+        for i in range(0, len(flat), BATCH):
+            block = flat[i : i + BATCH]
             at, code, weight = features(block)
-            out[i : i + len(block)] += np.bincount(at, self.table[code] * weight, minlength=len(block))
-            out[i : i + len(block)][np.bincount(at, minlength=len(block)) == 0] = -np.inf  # nothing is known of such a unit
+            here = slice(i, i + len(block))
+            out[here] += np.bincount(at, self.table[code] * weight, minlength=len(block))
+            out[here][np.bincount(at, minlength=len(block)) == 0] = -np.inf  # nothing is known of such a unit
+            if len(known):
+                shared = own[code] >= 0
+                at, place, weight = at[shared], own[code[shared]], weight[shared]
+                near = np.flatnonzero(np.bincount(at, weight**2, minlength=len(block)) >= (RESEMBLES - 1e-4) ** 2)
+                keep = np.isin(at, near)
+                kernels = np.zeros((len(block), dense.shape[1]))
+                np.add.at(kernels, at[keep], dense[place[keep]] * weight[keep, None])
+                alike = kernels >= RESEMBLES
+                heads = len(self.heads)
+                resembled[here] = alike[:, :heads].any(axis=1) + 2 * alike[:, heads:].any(axis=1)
         ends = np.cumsum([len(p) for p in parts])
-        return np.maximum.reduceat(out, np.concatenate(([0], ends[:-1]))) if len(parts) else out
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        if not len(parts):
+            return out, []
+        return np.maximum.reduceat(out, starts), np.bitwise_or.reduceat(resembled, starts).tolist()
+
+    def phrase_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each subsequence code among those of heads and tails or -1, these codes, their weights by word)."""
+        if self._phrase_words is None:
+            words = [*self.heads, *self.tails]
+            at, code, weight = features(words)
+            known = np.unique(code)
+            own = np.full(SYMBOLS**3, -1, dtype=np.int64)
+            own[known] = np.arange(len(known))
+            dense = np.zeros((len(known), len(words)))
+            dense[own[code], at] = weight
+            self._phrase_words = own, known, dense
+        return self._phrase_words
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (decision - self.centre), -30, 30)))
@@ -292,7 +326,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         against = sorted({*negatives, *alone, *apart} - named.keys())
         weight = np.array([1 + np.log1p(count.get(u, [1])[0]) + 3 * (u in alone or u in apart) for u in against])
         model = _trained(list(dict.fromkeys([*marks, *named, *alone])), [*explained, *named], {**many, **named}, against, weight, rng)
-        model.heads, model.tails = tuple(heads), tuple(tails)
+        model.heads, model.tails, model._phrase_words = tuple(heads), tuple(tails), None
         top = best_decisions(model, zlib.crc32(model.table.tobytes()), texts)
     # The link: halfway between what clean and toxic documents reach at the threshold with the fewest errors.
     top = np.maximum(top, model.bias)
@@ -309,24 +343,38 @@ def _phrases_of(unexplained: list[str], clean: list[str]) -> dict[tuple[str, str
     least = max(3, len(unexplained) // 50)
     if len(unexplained) < least:
         return {}
-    pairs = lambda t: {tuple(phrase(a, b).split(" ")) for a, b in adjacent(t) if len(phrase(a, b).split(" ")) == 2}
+    def pairs(t: str) -> set[tuple[str, str]]:
+        bare = [w.strip(EDGES) for w in t.lower().split()]
+        ends = [bool(SENTENCE_END.search(w)) for w in t.split()]
+        return {(a, b) for a, b, end in zip(bare, bare[1:], ends) if not end}
+
+
     count = _counts([pairs(t) for t in [*unexplained, *clean]], [1] * len(unexplained) + [0] * len(clean))
     odds = _odds(count, [len(clean), len(unexplained)])
-    ranked = sorted((p for p in count if count[p][1] >= least and odds[p] > 1 and min(map(len, p)) > 0), key=lambda p: (-count[p][1] * odds[p], p))
+    ranked = sorted((p for p in count if count[p][1] >= least and odds[p] > 1 and min(map(len, p)) > 0 and len(" ".join(p)) <= UNIT), key=lambda p: (-count[p][1] * odds[p], p))
     return {p: count[p][1] for p in ranked[:PHRASES]}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> DataFrame:
     """(doc_id, text, toxic) of labelled documents outside the held-out fold: of each class the first per_class by digest
-    order, and of these as many as class_bytes hold. Texts are whole."""
+    order, and of these as many as class_bytes hold. Texts are whole.
+
+    Texts over a 32nd of class_bytes come last, so that a large one never keeps others out. If not even one text of a
+    class fits, its smallest is taken all the same, so a class that is labelled is never empty.
+    """
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     digest = F.xxhash64("doc_id", F.lit("toxicity"))
     chosen = known.where("toxic = 1").orderBy(digest, "doc_id").limit(per_class).union(known.where("toxic = 0").orderBy(digest, "doc_id").limit(per_class))
     rows = staged(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "labelled")
     sizes = rows.select("doc_id", "toxic", F.octet_length("text").cast("long").alias("size"))  # a row for each of the sample
-    before = F.sum("size").over(W.partitionBy("toxic").orderBy(digest, "doc_id").rowsBetween(W.unboundedPreceding, -1))
-    fits = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("size") <= class_bytes)
-    return rows.join(F.broadcast(fits.select("doc_id", "toxic").distinct()), ["doc_id", "toxic"]).select("doc_id", "text", "toxic")
+    order = [F.col("size") > class_bytes // 32, digest, F.col("doc_id"), F.col("size")]
+    before = F.sum("size").over(W.partitionBy("toxic").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    smallest = F.row_number().over(W.partitionBy("toxic").orderBy("size", "doc_id"))
+    ranked = sizes.withColumns({"before": F.coalesce(before, F.lit(0)), "smallest": smallest})
+    fits = F.col("before") + F.col("size") <= class_bytes
+    some = F.max(fits.cast("int")).over(W.partitionBy("toxic"))
+    taken = ranked.withColumn("some", some).where(fits | ((F.col("some") == 0) & (F.col("smallest") == 1)))
+    return rows.join(F.broadcast(taken.select("doc_id", "toxic", F.col("size").alias("_size")).distinct()), ["doc_id", "toxic"]).where(F.octet_length("text") == F.col("_size")).select("doc_id", "text", "toxic")
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -347,12 +395,16 @@ def best_decisions(model: Model, key: int, texts: list[str | None]) -> np.ndarra
         known.clear()
         roles.clear()
     lists = [units_of(t) if t else [] for t in texts]
-    if model.heads:
-        new = list({w for t in texts for w in (t or "").split()}.difference(roles))
-        roles.update(zip(new, model.roles(new)))
-        lists = [units + model.phrases(t or "", roles) for units, t in zip(lists, texts)]
     new = list(set().union(*lists).difference(known))
-    known.update(zip(new, model.decisions(new).tolist()))
+    decided, resembled = model.judged(new)
+    known.update(zip(new, decided.tolist()))
+    if model.heads:
+        roles.update((u, r) for u, r in zip(new, resembled) if r)
+        pairs = [model.phrases(t, roles) if t else [] for t in texts]
+        lists = [units + more for units, more in zip(lists, pairs)]
+        spoken = list(set().union(*pairs).difference(known))
+        known.update(zip(spoken, model.decisions(spoken).tolist()))
+        new += spoken
     low = model.centre - 30 / model.slope
     best = np.maximum(low, np.array([max(map(known.__getitem__, units), default=low) for units in lists], dtype=float))
     for unit in new:
