@@ -78,3 +78,13 @@ def named_like(folder: Column, container: Column) -> Column:
     fits = lambda a, b: (a == b) | ((b == "x") & a.rlike(r"^\p{L}$")) | ((b == "0") & a.rlike(r"^\p{Nd}$"))
     letters = F.zip_with(F.split(own, ""), F.split(whole, ""), fits)
     return (F.length(own) == F.length(whole)) & F.forall(letters, lambda x: x)
+
+
+def list_name(item_name: Column) -> Column:
+    """The suggested name of a list whose items are annotated."""
+    return F.concat(F.lit("List of "), item_name)
+
+
+def statement(actor: Column, activity: Column, object_: Column, target: Column) -> Column:
+    """The filled slots of a representation in order; empty if there is none."""
+    return F.concat_ws(" · ", actor, activity, object_, target)

@@ -10,15 +10,20 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 EMAIL = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"
 URL = r"(?U)^[A-Za-z][A-Za-z0-9+.-]*://\S+$"
 NUMERIC = r"(?U)^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+#: A token: letters and digits, sixteen or more (fixed value).
 TOKEN = r"^(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9_-]{16,}$"
+#: Unicode's white space (fixed value).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Plausible unix seconds: from 1990 on, before 2100.
 UNIX_LOW, UNIX_HIGH, UNIX_DIGITS = 631152000, 4102444800, 17
+#: Shapes that say nothing, and those whose samples are masked (fixed values).
 NOISE = ("mixed", "empty")
 MASKED_SHAPES = ("email", "url", "text", "alphanumeric", "uuid")
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    """A text without white space at its ends, by its ends alone."""
+    return F.btrim(value, F.lit(WHITE))
 
 
 def is_id_key(name: Column) -> Column:
@@ -46,8 +51,12 @@ def digits_unit(text: Column, id_key: Column) -> Column:
 
 def string_shape(value: Column, id_key: Column, date_shape: Column | None = None) -> Column:
     """The first shape that fits a string; date_shape: what date detection found, if anything."""
-    text = strip(value)
-    out = F.when(text == "", "empty").when(text.rlike(UUID), "uuid").when(text.rlike(EMAIL), "email").when(text.rlike(URL), "url")
+    return stripped_shape(strip(value), id_key, date_shape)
+
+
+def stripped_shape(text: Column, id_key: Column, date_shape: Column | None = None) -> Column:
+    """The shape of a text that is stripped already: as a column of its own it is stripped once, not in every case."""
+    out = F.when(text == "", "empty").when((F.length(text) == 36) & text.rlike(UUID), "uuid").when(text.rlike(EMAIL), "email").when(text.rlike(URL), "url")
     if date_shape is not None:
         out = out.when(date_shape.isNotNull(), date_shape)
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import paths as P
 from pathloom.functions import shapes as S
 from pathloom.operators.profile import THRESHOLD, dominant_of
+from pathloom.sources.staging import staged
 
 #: Of kinds at one path the first wins: what one export could read beats what another couldn't (fixed order).
 KINDS = ("file", "container", "folder", "media", "unmatched")
@@ -34,8 +35,10 @@ def merged(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One node per path over all documents of nodes (as from profile.nodes).
 
     A document that has the parent as an object with keys, but not the key, still counts its objects, so that the key
-    shows as optional; below a key that is missing nothing is added.
+    shows as optional; below a key that is missing nothing is added. nodes, which are schema-sized, are staged: they are
+    looked at five times, and what they were made of once.
     """
+    nodes = staged(nodes, "schema-nodes")
     base = nodes.groupBy("path").agg(
         F.min("parent_path").alias("parent_path"),
         F.min("name").alias("name"),
@@ -83,4 +86,5 @@ def merged_files(nodes: DataFrame) -> DataFrame:
     first = lambda c: F.first(c, ignorenulls=True).over(by)
     rows = nodes.withColumn("ext", first("ext")).withColumn("mime", first("mime"))
     members = F.when(F.count("files") > 0, F.sum(F.coalesce("files", F.lit(1))))
-    return rows.groupBy("path", "kind").agg(F.sum("size_bytes").alias("size_bytes"), F.first("ext").alias("ext"), F.first("mime").alias("mime"), members.alias("files"))
+    newest = [F.max("modified").alias("modified")] if "modified" in nodes.columns else []
+    return rows.groupBy("path", "kind").agg(*newest, F.sum("size_bytes").alias("size_bytes"), F.first("ext").alias("ext"), F.first("mime").alias("mime"), members.alias("files"))

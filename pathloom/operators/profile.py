@@ -28,7 +28,7 @@ def classified(occurrences: DataFrame, with_dates: bool = True) -> DataFrame:
     else:
         found, fits = F.lit(None).cast("string"), F.array().cast("array<string>")
     is_number = F.col("json_type").isin("integer", "number")
-    shape = F.when(F.col("json_type") == "string", S.string_shape(F.col("s"), id_key, found)).when(is_number, S.number_shape(F.col("n"), id_key))
+    shape = F.when(F.col("json_type") == "string", S.stripped_shape(F.col("_text"), id_key, found)).when(is_number, S.number_shape(F.col("n"), id_key))
     unit = F.when(is_number, S.unix_unit(F.col("n"))).otherwise(S.digits_unit(F.col("_text"), id_key))
     rows = rows.withColumn("shape", shape)
     fitting = F.when(F.col("shape") == "unix_timestamp", F.array(unit)).when(F.col("shape").isin("datetime", "date", "time"), fits)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
 from pathloom.functions import shapes as S
+from pathloom.operators.ordering import numbered
 
 FIELDS = ("kind", "type", "shape", "format")
 KEY = ["platform", "upload_id", "location"]
@@ -159,27 +160,16 @@ def overview(locations: DataFrame, observations: DataFrame, uploads: DataFrame)
     return every.na.fill(0, ["annotations", "uploads", "data_points"])
 
 
-def similar_names(suggestions: DataFrame, locations: DataFrame) -> DataFrame:
-    """Best suggestion per annotation: (platform, location, annotation, path, rank) from (platform, location, path, rank)."""
-    named = locations.where("annotation is not null").select("platform", F.col("path"), "annotation")
-    rows = suggestions.join(named, ["platform", "path"])
-    return rows.groupBy("platform", "location", "annotation").agg(F.min_by("path", "rank").alias("path"), F.min("rank").alias("rank"))
-
-
 def file_order(locations: DataFrame) -> DataFrame:
     """(platform, path, place): depth first, siblings by position and then path."""
     ups = locations.select("platform", "path", F.posexplode(P.ancestors(F.col("path"))).alias("i", "up"))
     known = locations.select("platform", F.col("path").alias("up"), "position")
     rows = ups.join(known, ["platform", "up"], "left").groupBy("platform", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("position", F.lit(0)).alias("p"), "up"))), lambda x: F.struct(x["p"].alias("p"), x["up"].alias("up"))).alias("order"))
-    return rows.select("platform", "path", F.row_number().over(W.partitionBy("platform").orderBy("order")).alias("place"))
+    return numbered(rows, ["platform"], [F.asc("order"), F.asc("path")]).drop("order")
 
 
 def alphabetical_order(locations: DataFrame) -> DataFrame:
+    """(platform, path, place): by parts in lower case, then as they are."""
     parts = F.split("path", "/")
-    return locations.select("platform", "path", F.row_number().over(W.partitionBy("platform").orderBy(F.transform(parts, F.lower), parts)).alias("place"))
-
-
-def before_window(values: DataFrame) -> Column:
-    """Values of strictly earlier days of a location as a window expression, for histories that are short."""
-    by = W.partitionBy("platform", "location", "field").orderBy(F.datediff("requested_at", F.lit("1970-01-01"))).rangeBetween(W.unboundedPreceding, -1)
-    return F.array_sort(F.collect_set("value").over(by))
+    rows = locations.select("platform", "path", F.transform(parts, F.lower).alias("low"), parts.alias("parts"))
+    return numbered(rows, ["platform"], [F.asc("low"), F.asc("parts")]).drop("low", "parts")

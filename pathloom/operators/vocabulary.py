@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
@@ -70,6 +70,48 @@ def with_examples(examples: DataFrame, added: DataFrame) -> DataFrame:
     return examples.join(new, "location", "full").select("location", F.array_distinct(F.concat(F.coalesce("values", empty), F.coalesce("more", empty))).alias("values"))
 
 
+#: What vocabularies hold at first, by slug: names and, for activities, what they were called before (fixed values).
+ACTORS = {"user": "user", "platform": "platform", "other-user": "other user"}
+ACTIVITIES = {"viewed": "view", "opened": "open", "listened": "listen", "created": "create", "followed": "follow", "blocked": "block", "joined": "join", "updated": "update", "asked": "question", "added": "add", "responded": None, "searched": None}
+OBJECTS = ("note", "video", "audio", "image", "profile", "person", "collection", "event", "object")
+ROLES = {"when": "when", "context": "context", "duration": "duration", "name": "name", "identifier": "identifier", "author": "author", "value": "value", "applies-to": "applies to"}
+
+
+def seeded(terms: DataFrame) -> DataFrame:
+    """(kind, slug, name) of terms with the first vocabulary: missing ones added, activities by their new names.
+
+    terms: (kind, slug, name). A term under an activity's former slug is renamed, unless the new one is there too.
+    """
+    spark = terms.sparkSession
+    seeds = [("actor", s, n) for s, n in ACTORS.items()] + [("activity", s, s) for s in ACTIVITIES] + [("object", s, s) for s in OBJECTS] + [("role", s, n) for s, n in ROLES.items()]
+    former = F.broadcast(spark.createDataFrame([("activity", old, new) for new, old in ACTIVITIES.items() if old], "kind string, slug string, _new string"))
+    there = terms.select("kind", F.col("slug").alias("_new"), F.lit(True).alias("_taken"))
+    rows = terms.join(former, ["kind", "slug"], "left").join(there, ["kind", "_new"], "left")
+    moved = F.col("_new").isNotNull() & F.col("_taken").isNull()
+    kept = rows.select("kind", F.when(moved, F.col("_new")).otherwise(F.col("slug")).alias("slug"), F.when(moved, F.col("_new")).otherwise(F.col("name")).alias("name"))
+    first = spark.createDataFrame(seeds, "kind string, slug string, name string")
+    return kept.unionByName(first.join(kept, ["kind", "slug"], "left_anti"))
+
+
+def set_examples(examples: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(location, values) with (value, source) after an edit: extracted ones may only be removed, typed ones are replaced.
+
+    examples: (location, values); wanted: (location, extracted, typed), arrays of texts. Typed ones are trimmed, blanks
+    and what is there already left out.
+    """
+    shape = "array<struct<value: string, source: string>>"
+    rows = examples.join(wanted, "location", "full")
+    kept = F.filter(F.coalesce("values", F.array().cast(shape)), lambda e: (e.source == "extracted") & F.array_contains("extracted", e.value))
+    new = F.array_distinct(F.filter(F.transform(F.coalesce("typed", F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != ""))
+    added = F.transform(F.filter(new, lambda v: ~F.exists(kept, lambda e: e.value == v)), lambda v: F.struct(v.alias("value"), F.lit("user_input").alias("source")))
+    return rows.select("location", F.when(F.col("extracted").isNull() & F.col("typed").isNull(), F.col("values")).otherwise(F.concat(kept, added)).alias("values"))
+
+
+def of_source(values: Column, source: str) -> Column:
+    """The texts of the examples (value, source) that are of a source."""
+    return F.transform(F.filter(values, lambda e: e.source == source), lambda e: e.value)
+
+
 def preview(values: str, n: int) -> list:
     """(first n values, how many more) as columns."""
     return [F.slice(values, 1, n).alias("shown"), F.greatest(F.size(values) - n, F.lit(0)).alias("more")]

@@ -134,5 +134,8 @@ SELECT g, avg(len(list_intersect(sig, coalesce(common, []))) / len(sig)) >= 0.8
 SELECT c.event_type, other, round(common / (n.n + m.n - common), 6) AS share FROM c JOIN n ON c.event_type = n.event_type JOIN n m ON m.event_type = other""",
     "normalized_keys": """WITH k AS (SELECT CAST(c_nationkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'Chat with ' || c_name ELSE CAST(c_custkey AS VARCHAR) END AS key, CASE WHEN c_custkey % 2 = 0 THEN '/chats/Chat with {*}' ELSE '/chats/{*}' END AS new_path FROM customer)
 SELECT doc_id, '/chats/' || key || tail AS path, new_path || tail AS new_path FROM k, (SELECT unnest(['', '/text', '/at']) AS tail)""",
+    "normalized_keys_by_shape": """WITH k AS (SELECT CAST(c_nationkey AS VARCHAR) AS doc_id, c_custkey % 2 = 0 AS named, CASE WHEN c_custkey % 2 = 0 THEN 'Chat with ' || c_name ELSE CAST(c_custkey AS VARCHAR) END AS key FROM customer),
+n AS (SELECT *, CASE WHEN NOT named THEN '/chats/{*}' WHEN count(*) FILTER (WHERE named) OVER (PARTITION BY doc_id) >= 2 THEN '/chats/Chat with {*}' END AS np FROM k)
+SELECT doc_id, '/chats/' || key || tail AS path, np || tail AS new_path FROM n, (SELECT unnest(['', '/text', '/at']) AS tail) WHERE np IS NOT NULL""",
     "data_points": f"WITH{base.URL_PATHS}, ap AS (SELECT DISTINCT platform, {base.PREFIXES.format(p='path')} AS path FROM url) SELECT platform, path, CASE length(path) % 4 WHEN 0 THEN length(path) % 3 <> 0 WHEN 1 THEN TRUE ELSE length(path) % 3 <> 0 END AS point FROM ap",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
-from pathloom.operators import normalize, proposals, references, renormalize
+from pathloom.operators import explorer, normalize, proposals, references, renormalize
 from pathloom.plans import base
 
 RULES = [("0", "variable_key", "/chats/Chat with *"), ("1", "variable_key", "/chats/Chat with *"), ("2", "keep_key", "/chats/Chat with *"), ("2", "keep_key", "/chats/[0-9]*")]
@@ -129,7 +129,40 @@ def event_targets(s, d):
     return e.select(F.explode(some).alias("x"), F.col("event_type").alias("platform")).select("x.target", "platform", "x.state").distinct()
 
 
+def group_places(s, d):
+    nodes = page_nodes(s, d)
+    groups = nodes.where("path <> ''").select("platform", F.col("parent_path").alias("path"))
+    names = nodes.select("platform").distinct().withColumn("root_name", F.concat(F.lit("Pages of "), "platform"))
+    found = explorer.places(groups, nodes.select("platform", "path", F.when((F.col("kind") == "file") & (F.col("position") % 2 == 0), "folder").otherwise(F.col("kind")).alias("kind")), names)
+    joined = lambda c, f: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit(":"), x[f].cast("string"))), "|")
+    return found.withColumns({"title": joined("title", "last"), "crumbs": joined("crumbs", "is_key")})
+
+
+def stored_flags(s, d):
+    return page_nodes(s, d).select("platform", "upload_id", "path", (F.col("position") % 3 == 0).alias("is_data_point"))
+
+
+def read_uploads(s, d):
+    """Documents as uploads of a declared format, of which some can't be read and some weren't yet."""
+    docs = base.table(s, d, "documents").select(F.col("doc_id").alias("upload_id"), F.length("text").alias("n"))
+    pick = lambda at, *v: F.element_at(F.array(*map(F.lit, v)), (at + 1).cast("int"))
+    uploads = docs.select("upload_id", pick(F.col("upload_id") % 4, "zip", "json", "csv", "").alias("file_format"))
+    kind = pick(F.col("n") % 4, "container", "file", "file", "unmatched")
+    roots = docs.where("upload_id % 11 <> 0").select("upload_id", kind.alias("kind"), pick(F.col("n") % 3, ".json", ".CSV", ".zip").alias("ext"), F.when((F.col("n") % 4 == 3) & (F.col("n") % 5 != 0), "broken").alias("error"))
+    return explorer.parsed_states(uploads, roots)
+
+
+def choices(s, d):
+    found = explorer.filter_choices(base.uploads(s, d))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("languages", "request_formats", "root_formats")})
+
+
 QUERIES = {
+    "group_places": group_places,
+    "refreshed_observations": lambda s, d: explorer.refreshed(stored_flags(s, d), page_nodes(s, d))[0],
+    "refresh_counts": lambda s, d: explorer.refreshed(stored_flags(s, d), page_nodes(s, d))[1],
+    "parsed_states": read_uploads,
+    "filter_choices": choices,
     "reference_schemas": reference_schemas,
     "unknown_points": unknown_points,
     "upload_suggestions": upload_suggestions,
@@ -159,7 +192,23 @@ mv AS (SELECT * FROM old WHERE location % 9 <> 0), nw AS (SELECT platform, np AS
 mg AS (SELECT platform, np AS path, arg_min(annotation, location) FILTER (WHERE annotation IS NOT NULL) AS first, coalesce(bool_or(ignored AND annotation IS NULL), FALSE) AS ig, list(ex ORDER BY location) AS exs FROM mv GROUP BY ALL),
 res AS (SELECT nw.platform, nw.location, nw.path, coalesce(annotation, first) AS annotation, CASE WHEN annotation IS NOT NULL OR first IS NOT NULL THEN FALSE ELSE coalesce(ig, FALSE) END AS ignored,
   array_to_string(list_reduce(['e0'] || coalesce(exs, []::VARCHAR[]), lambda a, b: CASE WHEN list_contains(string_split(a, ';'), b) THEN a ELSE a || ';' || b END), ';') AS joined FROM nw LEFT JOIN mg USING (platform, path))"""
+FLAGS = """, fl AS (SELECT platform, upload_id, path, position % 3 = 0 AS was, CASE WHEN path LIKE '%/[]' THEN kind = 'data' WHEN kind = 'file' THEN list_contains(type, 'array') ELSE kind = 'data' AND type <> ['object'] END AS now FROM nd)"""
 ORACLES = {
+    "group_places": f"""{UPLOADS}, kn AS (SELECT platform, path, bool_or(kind = 'file' AND position % 2 <> 0) AS is_file, bool_or(kind = 'data') AS is_key FROM nd GROUP BY ALL),
+gp AS (SELECT DISTINCT platform, parent_path AS path FROM nd WHERE path <> ''),
+up2 AS (SELECT platform, path, unnest(range(1, len(string_split(path, '/')))) AS i FROM gp), st AS (SELECT u.platform, u.path, i, array_to_string(string_split(u.path, '/')[1:i + 1], '/') AS up FROM up2 u),
+se AS (SELECT st.*, coalesce(is_file, FALSE) AS is_file, coalesce(is_key, FALSE) AS is_key FROM st LEFT JOIN kn ON kn.platform = st.platform AND kn.path = st.up),
+rt AS (SELECT gp.platform, gp.path, max(i) FILTER (WHERE is_file) AS at, gp.path = '' OR coalesce(bool_or(is_key) FILTER (WHERE i = 1), FALSE) AS top FROM gp LEFT JOIN se USING (platform, path) GROUP BY ALL),
+ro AS (SELECT *, CASE WHEN at IS NOT NULL THEN array_to_string(string_split(path, '/')[1:at + 1], '/') WHEN top THEN '' ELSE path END AS root FROM rt)
+SELECT platform, path, root, CASE WHEN root = '' THEN 'Pages of ' || platform || ':true' ELSE array_to_string(list_transform(string_split(root, '/')[2:], lambda n, i: n || CASE WHEN i < len(string_split(root, '/')) - 1 THEN ':false' WHEN at IS NULL THEN '/:true' ELSE ':true' END), '|') END AS title,
+  coalesce((SELECT string_agg(regexp_extract(up, '[^/]*$') || ':' || CAST(is_key AS VARCHAR), '|' ORDER BY i) FROM se WHERE se.platform = ro.platform AND se.path = ro.path AND (i > at OR (at IS NULL AND top))), '') AS crumbs FROM ro""",
+    "refreshed_observations": f"{UPLOADS}{FLAGS} SELECT platform, upload_id, path, now AS is_data_point FROM fl WHERE was <> now",
+    "refresh_counts": f"{UPLOADS}{FLAGS} SELECT now AS is_data_point, count(*) AS changed FROM fl WHERE was <> now GROUP BY ALL",
+    "parsed_states": """WITH u AS (SELECT doc_id AS upload_id, ['zip', 'json', 'csv', ''][doc_id % 4 + 1] AS file_format, length(text) AS n FROM documents),
+r AS (SELECT *, CASE WHEN n % 4 = 0 THEN 'zip' ELSE ['json', 'csv', 'zip'][n % 3 + 1] END AS root_format, CASE WHEN n % 4 = 3 AND n % 5 <> 0 THEN 'broken' END AS bad FROM u WHERE upload_id % 11 <> 0),
+e AS (SELECT upload_id, root_format, coalesce(bad, CASE WHEN file_format <> '' AND file_format <> root_format THEN 'Declared as a ' || CASE file_format WHEN 'zip' THEN 'ZIP archive' WHEN 'json' THEN 'JSON file' ELSE 'CSV file' END || ', but the file is ' || upper(root_format) || '.' END) AS error FROM r)
+SELECT upload_id, CASE WHEN e.upload_id IS NULL THEN 'pending' WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status, error, root_format FROM u LEFT JOIN e USING (upload_id)""",
+    "filter_choices": f"WITH {base.OBSERVATIONS.strip()} SELECT platform, array_to_string(list_sort(list(DISTINCT nullif(language, ''))), ',') AS languages, array_to_string(list_sort(list(DISTINCT nullif(request_format, ''))), ',') AS request_formats, array_to_string(list_sort(list(DISTINCT nullif(root_format, ''))), ',') AS root_formats FROM up WHERE registered GROUP BY platform",
     "reference_schemas": f"""{UPLOADS}, asked AS (SELECT DISTINCT platform, requested_at FROM up WHERE registered),
 seen AS (SELECT a.platform, a.requested_at, u.root_format, n.*  EXCLUDE (platform), (u.created_at, u.upload_id) AS stamp FROM asked a JOIN up u ON a.platform = u.platform AND u.registered AND u.requested_at < a.requested_at JOIN nd n ON n.platform = u.platform AND n.upload_id = u.upload_id),
 cnt AS (SELECT platform, requested_at, root_format, path, shape, count(*) AS n FROM seen WHERE shape IS NOT NULL GROUP BY ALL),

@@ -74,14 +74,15 @@ def test_archives(spark, tmp_path):
     (tmp_path / "export.zip").write_bytes(data)
     (tmp_path / "broken.zip").write_bytes(b"PK\x03\x04nothing")
     (tmp_path / "one.json").write_text('{"x": true}')
-    found = archives.entries(spark, str(tmp_path)).cache()
+    exports = archives.read(spark, str(tmp_path))
+    found = exports.nodes.cache()
     of = lambda name: {r.path: r for r in found.collect() if r.doc_id.endswith(name)}
     rows = of("export.zip")
     assert {p: r.kind for p, r in rows.items()} == {"": "container", "/message_{n}.json": "file", "/bad.json": "unmatched", "/pic.jpg": "media", "/inner.zip": "container", "/inner.zip/deep.json": "file", "/readme": "unmatched", "/rows.csv": "file"}
     assert rows["/message_{n}.json"].files == 2 and rows["/bad.json"].reason == "parse_error" and rows["/readme"].reason == "unsupported_type" and rows["/pic.jpg"].mime == "image/png"
     assert sorted(rows[""].warning) == ["unsafe_path", "wrapper_folder"]
     assert of("broken.zip")[""].reason == "parse_error" and of("one.json")[""].kind == "file"
-    got = {(r.path, r.n_count, r.n_present) for r in profile.nodes(archives.occurrences(found)).collect() if r.doc_id.endswith("export.zip")}
+    got = {(r.path, r.n_count, r.n_present) for r in profile.nodes(exports.values).collect() if r.doc_id.endswith("export.zip")}
     assert ("/message_{n}.json/[]/b", 2, 1) in got and ("/rows.csv/[]/a", 1, 1) in got and ("/inner.zip/deep.json/[]", 1, 1) in got
 
 
@@ -95,7 +96,7 @@ def test_damaged_entries_and_empty_folders(spark, tmp_path):
     data = bytearray(out.getvalue())
     data[at : at + 40] = bytes(40)
     (tmp_path / "export.zip").write_bytes(bytes(data))
-    rows = {r.path: r for r in archives.entries(spark, str(tmp_path)).collect()}
+    rows = {r.path: r for r in archives.read(spark, str(tmp_path)).nodes.collect()}
     assert {p: r.kind for p, r in rows.items()} == {"": "container", "/good.json": "file", "/bad.json": "unmatched", "/empty": "folder", "/empty/inner": "folder"}
     assert rows["/bad.json"].reason == "parse_error" and "wrapper_folder" in rows[""].warning
 
