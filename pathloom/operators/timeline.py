@@ -126,6 +126,20 @@ def profiles(observations: DataFrame, uploads: DataFrame) -> DataFrame:
     return out.withColumn("shape_hint", hint).withColumn("is_list", (F.col("main_kind") == "data") & (S.comparable("type", F.col("main_type")) == "array"))
 
 
+def with_children(locations: DataFrame, observations: DataFrame) -> DataFrame:
+    """(platform, path, has_children, item_types) of locations (platform, path), from what was observed below them.
+
+    observations: (platform, path, parent_path, type) of the uploads that count. item_types: (type, n) of a list's items,
+    most first, ties by type. Counts come before the join, so a location of very many observations is one row.
+    """
+    item = F.endswith("path", F.lit("/[]")) & (F.coalesce("type", F.lit("")) != "")
+    counts = observations.where("parent_path is not null").groupBy("platform", F.col("parent_path").alias("path"), F.when(item, F.col("type")).alias("type")).agg(F.count("*").alias("n"))
+    types = F.array_sort(F.collect_list(F.when(F.col("type").isNotNull(), F.struct((-F.col("n")).alias("m"), "type", "n"))))
+    below = counts.groupBy("platform", "path").agg(F.transform(types, lambda x: F.struct(x["type"].alias("type"), x["n"].alias("n"))).alias("item_types"), F.lit(True).alias("has_children"))
+    none = F.array().cast("array<struct<type: string, n: bigint>>")
+    return locations.select("platform", "path").distinct().join(below, ["platform", "path"], "left").select("platform", "path", F.coalesce("has_children", F.lit(False)).alias("has_children"), F.coalesce("item_types", none).alias("item_types"))
+
+
 def filtered_uploads(uploads: DataFrame, since: str | None = None, until: str | None = None, languages: list[str] | None = None, request_format: str = "", root_format: str = "") -> DataFrame:
     """Registered uploads that pass a filter; both dates inclusive; request_format unknown stands for none given."""
     out = uploads.where("registered")

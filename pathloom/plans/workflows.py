@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
-from pathloom.operators import explorer, normalize, proposals, references, renormalize
+from pathloom.operators import explorer, normalize, proposals, references, renormalize, timeline
 from pathloom.plans import base
 
 RULES = [("0", "variable_key", "/chats/Chat with *"), ("1", "variable_key", "/chats/Chat with *"), ("2", "keep_key", "/chats/Chat with *"), ("2", "keep_key", "/chats/[0-9]*")]
@@ -152,6 +152,15 @@ def read_uploads(s, d):
     return explorer.parsed_states(uploads, roots)
 
 
+def profile_children(s, d):
+    """Page paths whose language folders are list items, and what was seen below each in registered uploads."""
+    nodes = page_nodes(s, d).join(page_uploads(s, d).where("registered").select("platform", "upload_id"), ["platform", "upload_id"])
+    item = lambda c: F.regexp_replace(c, "/en(/|$)", "/[]$1")
+    seen = nodes.select("platform", item("path").alias("path"), item("parent_path").alias("parent_path"), F.array_join("type", "|").alias("type"))
+    found = timeline.with_children(seen, seen)
+    return found.withColumn("item_types", F.array_join(F.transform("item_types", lambda x: F.concat(x["type"], F.lit(":"), x["n"].cast("string"))), ","))
+
+
 def choices(s, d):
     found = explorer.filter_choices(base.uploads(s, d))
     return found.withColumns({c: F.array_join(c, ",") for c in ("languages", "request_formats", "root_formats")})
@@ -163,6 +172,7 @@ QUERIES = {
     "refresh_counts": lambda s, d: explorer.refreshed(stored_flags(s, d), page_nodes(s, d))[1],
     "parsed_states": read_uploads,
     "filter_choices": choices,
+    "profile_children": profile_children,
     "reference_schemas": reference_schemas,
     "unknown_points": unknown_points,
     "upload_suggestions": upload_suggestions,
@@ -198,16 +208,19 @@ ORACLES = {
 gp AS (SELECT DISTINCT platform, parent_path AS path FROM nd WHERE path <> ''),
 up2 AS (SELECT platform, path, unnest(range(1, len(string_split(path, '/')))) AS i FROM gp), st AS (SELECT u.platform, u.path, i, array_to_string(string_split(u.path, '/')[1:i + 1], '/') AS up FROM up2 u),
 se AS (SELECT st.*, coalesce(is_file, FALSE) AS is_file, coalesce(is_key, FALSE) AS is_key FROM st LEFT JOIN kn ON kn.platform = st.platform AND kn.path = st.up),
-rt AS (SELECT gp.platform, gp.path, max(i) FILTER (WHERE is_file) AS at, gp.path = '' OR coalesce(bool_or(is_key) FILTER (WHERE i = 1), FALSE) AS top FROM gp LEFT JOIN se USING (platform, path) GROUP BY ALL),
-ro AS (SELECT *, CASE WHEN at IS NOT NULL THEN array_to_string(string_split(path, '/')[1:at + 1], '/') WHEN top THEN '' ELSE path END AS root FROM rt)
-SELECT platform, path, root, CASE WHEN root = '' THEN 'Pages of ' || platform || ':true' ELSE array_to_string(list_transform(string_split(root, '/')[2:], lambda n, i: n || CASE WHEN i < len(string_split(root, '/')) - 1 THEN ':false' WHEN at IS NULL THEN '/:true' ELSE ':true' END), '|') END AS title,
-  coalesce((SELECT string_agg(regexp_extract(up, '[^/]*$') || ':' || CAST(is_key AS VARCHAR), '|' ORDER BY i) FROM se WHERE se.platform = ro.platform AND se.path = ro.path AND (i > at OR (at IS NULL AND top))), '') AS crumbs FROM ro""",
+rt AS (SELECT gp.platform, gp.path, max(i) FILTER (WHERE is_file) AS pos, gp.path = '' OR coalesce(bool_or(is_key) FILTER (WHERE i = 1), FALSE) AS top FROM gp LEFT JOIN se ON se.platform = gp.platform AND se.path = gp.path GROUP BY gp.platform, gp.path),
+ro AS (SELECT *, CASE WHEN pos IS NOT NULL THEN array_to_string(string_split(path, '/')[1:pos + 1], '/') WHEN top THEN '' ELSE path END AS root FROM rt)
+SELECT platform, path, root, CASE WHEN root = '' THEN 'Pages of ' || platform || ':true' ELSE array_to_string(list_transform(string_split(root, '/')[2:], lambda n, i: n || CASE WHEN i < len(string_split(root, '/')) - 1 THEN ':false' WHEN pos IS NULL THEN '/:true' ELSE ':true' END), '|') END AS title,
+  coalesce((SELECT string_agg(regexp_extract(up, '[^/]*$') || ':' || CAST(is_key AS VARCHAR), '|' ORDER BY i) FROM se WHERE se.platform = ro.platform AND se.path = ro.path AND (i > pos OR (pos IS NULL AND top))), '') AS crumbs FROM ro""",
     "refreshed_observations": f"{UPLOADS}{FLAGS} SELECT platform, upload_id, path, now AS is_data_point FROM fl WHERE was <> now",
     "refresh_counts": f"{UPLOADS}{FLAGS} SELECT now AS is_data_point, count(*) AS changed FROM fl WHERE was <> now GROUP BY ALL",
     "parsed_states": """WITH u AS (SELECT doc_id AS upload_id, ['zip', 'json', 'csv', ''][doc_id % 4 + 1] AS file_format, length(text) AS n FROM documents),
 r AS (SELECT *, CASE WHEN n % 4 = 0 THEN 'zip' ELSE ['json', 'csv', 'zip'][n % 3 + 1] END AS root_format, CASE WHEN n % 4 = 3 AND n % 5 <> 0 THEN 'broken' END AS bad FROM u WHERE upload_id % 11 <> 0),
 e AS (SELECT upload_id, root_format, coalesce(bad, CASE WHEN file_format <> '' AND file_format <> root_format THEN 'Declared as a ' || CASE file_format WHEN 'zip' THEN 'ZIP archive' WHEN 'json' THEN 'JSON file' ELSE 'CSV file' END || ', but the file is ' || upper(root_format) || '.' END) AS error FROM r)
 SELECT upload_id, CASE WHEN e.upload_id IS NULL THEN 'pending' WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status, error, root_format FROM u LEFT JOIN e USING (upload_id)""",
+    "profile_children": f"""{UPLOADS}, se AS (SELECT n.platform, regexp_replace(path, '/en(/|$)', '/[]\\1', 'g') AS path, regexp_replace(parent_path, '/en(/|$)', '/[]\\1', 'g') AS up, array_to_string(type, '|') AS type FROM nd n JOIN up u USING (platform, upload_id) WHERE registered),
+ct AS (SELECT platform, up, type, count(*) AS n FROM se WHERE path LIKE '%/[]' AND type <> '' GROUP BY ALL), it AS (SELECT platform, up, string_agg(type || ':' || n, ',' ORDER BY n DESC, type) AS item_types FROM ct GROUP BY ALL)
+SELECT DISTINCT a.platform, a.path, EXISTS (SELECT 1 FROM se b WHERE b.platform = a.platform AND b.up = a.path) AS has_children, coalesce(item_types, '') AS item_types FROM se a LEFT JOIN it ON it.platform = a.platform AND it.up = a.path""",
     "filter_choices": f"WITH {base.OBSERVATIONS.strip()} SELECT platform, array_to_string(list_sort(list(DISTINCT nullif(language, ''))), ',') AS languages, array_to_string(list_sort(list(DISTINCT nullif(request_format, ''))), ',') AS request_formats, array_to_string(list_sort(list(DISTINCT nullif(root_format, ''))), ',') AS root_formats FROM up WHERE registered GROUP BY platform",
     "reference_schemas": f"""{UPLOADS}, asked AS (SELECT DISTINCT platform, requested_at FROM up WHERE registered),
 seen AS (SELECT a.platform, a.requested_at, u.root_format, n.*  EXCLUDE (platform), (u.created_at, u.upload_id) AS stamp FROM asked a JOIN up u ON a.platform = u.platform AND u.registered AND u.requested_at < a.requested_at JOIN nd n ON n.platform = u.platform AND n.upload_id = u.upload_id),
