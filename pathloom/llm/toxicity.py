@@ -15,6 +15,7 @@ per Python worker while they stay in its cache.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -378,8 +379,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    rows = sorted((r.doc_id, r.text, int(r.toxic)) for r in training_rows(docs, labels, per_class).collect())
-    return fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    """The model of the labelled rows; the bounded sample is fitted on in one task, so that the driver only gets the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3))))
+        model = fit([t for _, t, _ in rows], [int(y) for _, _, y in rows])
+        model._phrase_words = None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    small_batches(docs.sparkSession)
+    found = training_rows(docs, labels, per_class).repartition(1).mapInArrow(run, "model binary").first()
+    return fit([], []) if found is None else pickle.loads(found.model)
 
 
 _SCORES: dict[int, tuple[dict[str, float], dict[str, int]]] = {}
