@@ -198,15 +198,31 @@ def test_rounds_of_many_sources_take_no_loop_over_them():
 
 def test_mixing(spark, docs):
     for permille, epochs in ((800, 2), (800, 1), (1000, 1), (300, 2)):
-        documents = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).toPandas()  # noqa: F841
+        documents = docs.select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841
         con = duckdb.connect()
         con.register("documents", documents)
         sql = mixing.mixing_sql(max_epochs=epochs).replace(f"{mixing.BUDGET_PERMILLE} // 1000", f"{permille} // 1000")
         want = Counter(con.sql(sql).fetchall())
         got = Counter(tuple(r[c] for c in ("doc_id", "domain", "lang", "source", "tokens", "epoch")) for r in mixing.mix(docs, mixing.WEIGHTS, permille, epochs).collect())
         assert got == want
-        total = sum((len((t or "").encode()) + 3) // 4 for t in documents.text)
-        assert sum(k[4] * n for k, n in got.items()) <= total * permille // 1000
+        # a leaf gets its budget (or all that its epochs hold), and less than one document more
+        leaves, held, largest = ["domain", "lang", "source"], Counter(), Counter()
+        for k, n in got.items():
+            held[k[1:4]] += k[4] * n
+            largest[k[1:4]] = max(largest[k[1:4]], k[4])
+        own = docs.where("doc_id is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), mixing.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+        sizes = own.withColumn("domain", mixing.domain_of(F.col("source"))).groupBy(*leaves).agg(F.sum("tokens").alias("tokens"))
+        for r in mixing.leaf_budgets(sizes, mixing.WEIGHTS, permille, epochs).collect():
+            key = tuple(r[c] for c in leaves)
+            assert r.budget <= held[key] < r.budget + max(1, largest[key])
+
+
+def test_a_large_document_leaves_no_budget_unspent(spark):
+    rows = [(i, "x" * (100_000 if i == 7 else 80), "en", "src3", 0) for i in range(71)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    total = sum((len(r[1]) + 3) // 4 for r in rows)
+    got = mixing.mix(frame, {}, 800).agg(F.sum("tokens")).first()[0]
+    assert got >= total * 800 // 1000
 
 
 def test_shortages_go_to_siblings_first(spark):
@@ -349,10 +365,11 @@ def test_iblt_recovers_differences():
     keys = rng.integers(0, 2**63, 500, dtype=np.uint64)
     a, b = keys[:300], np.concatenate([keys[20:300], keys[300:310]])
     own = lambda k, p: (np.concatenate([k] * p), np.repeat(np.arange(p), len(k)))
-    got, pair, sign, cells = iblt.differences(own(a, 3), own(b, 3), 3)
+    got, pair, sign, cells = iblt.differences(own(a, 3), own(b, 3), np.full(3, 12))
     for p in range(3):
         assert set(got[(pair == p) & (sign == 1)]) == set(keys[:20]) and set(got[(pair == p) & (sign == -1)]) == set(keys[300:310])
-    assert (cells > iblt.CELLS).all()
+    assert (cells > 12).all()
+    assert (iblt.cells_for(np.array([0, 1, 18, 19, 300])) == [12, 12, 48, 48, 384]).all()
 
 
 def test_iblt(docs, texts, no_docs):
@@ -370,7 +387,7 @@ def test_iblt(docs, texts, no_docs):
         assert r.near_edited == pytest.approx(alike(keys[0], keys[1])) and r.near_next == pytest.approx(alike(keys[0], keys[2]))
         prints[text].add(r.fingerprint)
         prints[changed].add(r.edited_fingerprint)
-        assert len(base64.b64decode(r.fingerprint)) == 8 + iblt.CELL.itemsize * iblt.CELLS
+        assert len(base64.b64decode(r.fingerprint)) == 8 + iblt.CELL.itemsize * iblt.cells_for(np.array([sum(keys[0].values())]))[0]
         told = iblt.difference(r.fingerprint, r.edited_fingerprint)
         assert told is None or told == (set(keys[0] - keys[1]), set(keys[1] - keys[0]))
         peeled += told is not None and sum(map(len, told)) > 0
@@ -378,16 +395,29 @@ def test_iblt(docs, texts, no_docs):
     assert iblt.document_fingerprints(no_docs).count() == 0
 
 
+def test_returned_fingerprints_tell_most_edits():
+    """At least nine of ten likenesses to the edited text follow from the two fingerprints alone."""
+    con = duckdb.connect()
+    texts = [r[0] or "" for r in con.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id DESC").fetchall()]
+    out = iblt._compare([*texts, texts[0]])
+    told = [iblt.difference(a, b) for a, b in zip(out["fingerprint"], out["edited_fingerprint"])]
+    assert sum(t is not None for t in told) >= 0.9 * len(texts)
+    for t, a, b, near_edited in zip(told, out["fingerprint"], out["edited_fingerprint"], out["near_edited"]):
+        if t is not None:
+            both = iblt.decode(a)[0] + iblt.decode(b)[0]
+            assert near_edited == pytest.approx(1 - sum(map(len, t)) / both if both else 1.0)
+
+
 def test_fingerprint_of_a_long_text():
-    text = " ".join(f"word{i % 977}x{i}" for i in range(400_000))  # several MB, more paragraphs than 16 bits count
+    text = " ".join(f"word{i % 977}x{i}" for i in range(1_000_000))  # several MB, more paragraphs than 16 bits count
     keys, owner = iblt.paragraph_keys([text.encode()])
-    table = iblt.Tables(1, iblt.CELLS)
+    table = iblt.Tables(1, 12)
     table.add(keys, owner, 1)
     print_ = table.encoded(np.array([len(keys)]))[0]
     n, again = iblt.decode(print_)
-    assert n == len(keys) > 150_000 and (again.count == table.count).all() and (again.keys == table.keys).all() and again.count.max() > 2**15
+    assert n == len(keys) > 132_000 and (again.count == table.count).all() and (again.keys == table.keys).all() and again.count.max() > 2**15
     keys2, owner2 = iblt.paragraph_keys([(text[:-3] + "end").encode()])
-    other = iblt.Tables(1, iblt.CELLS)
+    other = iblt.Tables(1, 48)  # another size: the larger one folds
     other.add(keys2, owner2, 1)
     only, new = iblt.difference(print_, other.encoded(np.array([len(keys2)]))[0])
     assert only == set(keys.tolist()) - set(keys2.tolist()) and new == set(keys2.tolist()) - set(keys.tolist()) and only
@@ -396,7 +426,7 @@ def test_fingerprint_of_a_long_text():
 def brute_kernel(s: str, t: str) -> float:
     def f(u):
         out = defaultdict(float)
-        c = [(i, x) for i, x in enumerate(toxicity.codes(u)) if x]
+        c = [(i, x) for i, x in enumerate(toxicity.symbols(np.array([ord(k) for k in u]))) if x]
         for i, j, k in itertools.combinations(range(len(c)), 3):
             if k - i < toxicity.SPAN:
                 out[c[i][1], c[j][1], c[k][1]] += toxicity.DECAY ** (c[k][0] - c[i][0] + 1)
@@ -424,6 +454,50 @@ def test_decisions_are_the_nystroem_decision():
     assert np.allclose(model.decisions(units), want, atol=1e-4) and want[0] > 0 > want[3]
 
 
+def test_one_doc_id_on_several_texts(spark, tmp_path):
+    """Rows of one doc_id are judged each by its own text: in suffix-array dedup, mixing and its stage."""
+    line = "".join(f"{i:03d} some line of words; " for i in range(12))
+    rows = [(1, line, "en", "src1", 0), (1, "short", "en", "src1", 0), (1, line + "more", "en", "src1", 0), (2, line, "en", "src1", 0), (2, line, "en", "src1", 0), (None, line, "en", "src1", 0), (3, None, "en", "src1", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.n_bytes, len(r.kept)) for r in suffix.without_repeats(frame).collect())
+    n = len(line)
+    first = Counter({(1, n, n): 1, (1, n + 4, 4 if n + 4 - n < 100 else 0): 1})
+    other = Counter({(1, n, 0): 1, (1, n + 4, n + 4): 1})
+    rest = Counter({(1, 5, 5): 1, (2, n, 0): 2, (None, n, n): 1, (3, 0, 0): 1})
+    assert got in (first + rest, other + rest)
+    kept = Counter((r.doc_id, r.text) for r in mixing.stage(spark, frame, "").collect())
+    picked = Counter((r.doc_id, r.tokens) for r in mixing.mix(frame, mixing.WEIGHTS).collect())
+    assert None not in {k[0] for k in kept} and set(picked) == {(i, (len((t or "").encode()) + 3) // 4) for i, t in kept}
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    for query, columns in ((suffix.op8_suffix, {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}), (simhash.op2_simhash, {"doc_id", "fingerprint", "component_id"}), (iblt.op4_iblt, {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"})):
+        found = query(spark, str(tmp_path))
+        assert columns <= set(found.columns) and found.count() == len(rows)
+
+
+def test_roles_look_at_every_window():
+    model = toxicity.Model(np.zeros(toxicity.SYMBOLS**3), -1.0, 1.0, 0.0, heads=("getaway", "gone"), tails=("lost",))
+    words = ["getaway", "GETAWAY!", "lost", "banana", "", "ab", "1" * 40 + "getaway", "gone" * 20, "lo-st"]
+    got = model.roles(words)
+    want = []
+    for w in words:
+        cut = toxicity.windows(w)
+        near_ = lambda known: bool((toxicity.gram(cut, list(known)) >= toxicity.RESEMBLES).any())  # noqa: B023, E731
+        want.append(near_(model.heads) + 2 * near_(model.tails))
+    assert got == want and got[:4] == [1, 1, 2, 0] and got[6] == 1
+
+
+def test_sample_survives_a_large_labelled_text(spark):
+    docs = spark.createDataFrame([(i, "word " * 40 + str(i)) for i in range(60)] + [(60 + i, "x " * 5000) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(100)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, class_bytes=8000).collect()
+    assert {r.toxic for r in got} == {0, 1} and all(len(r.text) < 1000 for r in got) and sum(r.toxic for r in got) > 15
+    only_large = toxicity.training_rows(docs.where("doc_id >= 60"), labels, class_bytes=4000).collect()
+    assert {r.toxic for r in only_large} == {0, 1} and len(only_large) == 2
+    none = toxicity.fit_labelled(docs, labels.where("toxic = 0"))
+    assert (none.probability(toxicity.best_decisions(none, 1, ["you fool", "", None])) < 0.5).all()
+    assert toxicity.training_rows(docs, labels.limit(0)).count() == 0
+
+
 def test_insults_of_two_words():
     rng = np.random.default_rng(5)
     plain = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in ("rn", "st", "lm")]
@@ -544,8 +618,41 @@ def test_rarest_shingles_lose_no_pair(spark, monkeypatch, share):
     pairs, _ = brute_near(texts)
     node = F.struct(F.col("id"), F.lit(0).cast("long").alias("mark")).alias("node")
     rows = spark.createDataFrame(list(texts.items()), "id long, text string").select(node, "text")
-    got = near.rare_pairs(rows.select("node", F.col("node").alias("label")), rows)
-    assert len(pairs) > 100 and sorted((r.u.id, r.v.id) for r in got.collect()) == sorted(pairs)
+    hashed = near.hashed_shingles(rows).cache()
+    found = near.rare_pairs(rows.select("node", F.col("node").alias("label")), near.rarest(hashed)).cache()
+    assert len(pairs) > 100 and sorted((r.u.id, r.v.id) for r in near.alike_pairs(found, hashed).collect()) == sorted(pairs)
+    assert found.count() < 2 * len(pairs)
+
+
+def test_texts_around_a_passage_make_no_pairs(spark):
+    """Similarities of about 0.78 and 0.6: none alike, and no pair of them is even made; of 0.82: all alike."""
+    passage = " ".join(f"p{x}" for x in range(104))
+    made = {}
+    for own in (13, 30, 11):
+        texts = {i: f"{passage} " + " ".join(f"o{i}x{j}" for j in range(own)) for i in range(60)}
+        rows = spark.createDataFrame([((i, 0), t) for i, t in texts.items()], f"node {near.NODE}, text string")
+        made[own] = near.rare_pairs(rows.select("node", F.col("node").alias("label")), near.rarest(near.hashed_shingles(rows))).count()
+        assert bool(brute_near(texts)[0]) == (own == 11)
+    assert made == {13: 0, 30: 0, 11: 60 * 59 // 2}
+
+
+def test_a_group_of_near_copies_hangs_together_by_its_most_common_text(spark, monkeypatch):
+    """Copies with edits of their own, of which the smallest id has most: hardly a pair is left for the rarest shingles."""
+    rng = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(200)]
+
+    def edited(i, n):
+        at = set(rng.choice(200, n, replace=False).tolist())
+        return " ".join(f"e{i}x{j}" if j in at else w for j, w in enumerate(base))
+
+    texts = {0: edited(0, 4), 1: edited(1, 4), 2: edited(2, 1), **{i: edited(i, int(rng.integers(1, 6))) for i in range(3, 60)}}
+    _, root = brute_near(texts)
+    asked = []
+    real = near.rare_pairs
+    monkeypatch.setattr(near, "rare_pairs", lambda *a: asked.append(real(*a).count()) or real(*a))
+    rows = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in simhash.stage(spark, rows, "").collect()) == sorted(set(root.values()))
+    assert asked[0] < 60 * 59 // 4
 
 
 def test_near_stage_goes_by_row(spark):
