@@ -399,15 +399,30 @@ def repeated_intervals(docs: DataFrame, group: int = GROUP, local: int = LOCAL)
 RESULT = "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with key: doc_id where each names one text, else numbers in the same order, one for each text.
+
+    Then ids are multiplied by the number of texts that one of them has, which must fit 64 bits.
+    """
+    marks = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark")).distinct()
+    most = marks.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    if most == 1:
+        return rows.withColumn("key", F.col("doc_id"))
+    place = marks.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("mark")) - 1)
+    keyed = rows.withColumn("mark", F.xxhash64("text")).join(place, ["doc_id", "mark"], "left")
+    return keyed.select("doc_id", "text", (F.col("doc_id") * most + F.col("place")).alias("key"))
+
+
 def without_repeats(docs: DataFrame, group: int = GROUP, local: int = LOCAL) -> DataFrame:
     """doc_id, n_bytes, removed (maximal byte intervals in order) and kept (the bytes that stay) of every row.
 
     The first of equal strings, by doc_id and then start, stays. Null texts are empty; texts under LENGTH bytes stay
-    whole. A doc_id must name one text: rows that repeat both are one document and get the same result. Rows without
-    doc_id stay whole and are compared with nothing.
+    whole. Rows that repeat doc_id and text are one document and get the same result; of one doc_id on different texts
+    each is a document, in order of the texts' hashes. Rows without doc_id stay whole and are compared with nothing.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    spans = repeated_intervals(rows.where("doc_id is not null"), group, local).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    spans = repeated_intervals(rows.where("key is not null").select(F.col("key").alias("doc_id"), "text"), group, local)
+    spans = spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -423,7 +438,7 @@ def without_repeats(docs: DataFrame, group: int = GROUP, local: int = LOCAL) ->
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, shape), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, RESULT)
+    return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(run, RESULT)
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
