@@ -75,21 +75,26 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_permille: in
     """Rows (doc_id, domain, lang, source, tokens, epoch) of the mixture; a document may come once per epoch.
 
     The budget is budget_permille thousandths of all tokens of docs. A leaf's last, partial epoch takes documents in
-    digest order while their running sum of tokens is within what is left
-    and something is left before them. Null texts have no tokens; a null lang or
-    source is the leaf ""; rows without doc_id can't be picked and don't count. Rows that repeat are rows of their own.
+    digest order as long as something of its budget is left before them; the last of these is taken whole, so a leaf
+    gets its budget and less than one document more. Null texts have no tokens; a null lang or source is the leaf "";
+    rows without doc_id can't be picked and don't count. Rows that repeat are rows of their own.
     """
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), token_estimate(text_or_empty()).alias("tokens"))
-    rows = staged(named.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", "tokens"), "mixing-rows")
+    return _mixed(docs, weights, budget_permille, max_epochs, seed).drop("mark")
+
+
+def _mixed(docs: DataFrame, weights: dict[str, dict[str, int]], budget_permille: int, max_epochs: int, seed: int) -> DataFrame:
+    """The rows of mix() with mark, which tells the texts of one doc_id apart."""
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), token_estimate(text_or_empty()).alias("tokens"), F.xxhash64("text").alias("mark"))
+    rows = staged(named.select("doc_id", "mark", domain_of(F.col("source")).alias("domain"), "lang", "source", "tokens"), "mixing-rows")
     sizes = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     leaves = leaf_budgets(sizes, weights, budget_permille, max_epochs).where("tokens > 0")
     leaves = leaves.select(*LEVELS, F.expr("budget div tokens").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest"))
     leaves = staged(leaves.coalesce(1), "mixing-leaves")
     picked = rows.join(leaves, LEVELS)
-    whole = picked.where("epochs > 0").select("doc_id", *LEVELS, "tokens", F.explode(F.expr("sequence(0L, epochs - 1)")).alias("epoch"))
+    whole = picked.where("epochs > 0").select("doc_id", "mark", *LEVELS, "tokens", F.explode(F.expr("sequence(0L, epochs - 1)")).alias("epoch"))
 
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.col("doc_id")))
-    part = picked.where("rest > 0").select("doc_id", *LEVELS, "tokens", "epochs", "rest", order.alias("h"), F.lit(0).cast("long").alias("base"))
+    part = picked.where("rest > 0").select("doc_id", "mark", *LEVELS, "tokens", "epochs", "rest", order.alias("h"), F.lit(0).cast("long").alias("base"))
     key, inside = [*LEVELS, "bucket"], []
     for level in range(BUCKET_LEVELS):  # the prefix ends in one bucket of a leaf; only that one is looked into further
         part = part.withColumn("bucket", F.substring("h", 1 + level * BUCKET_DIGITS, BUCKET_DIGITS))
@@ -98,9 +103,9 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_permille: in
         part = part.join(sums, key).withColumn("base", F.col("base") + F.col("upto") - F.col("n"))
         inside.append(part.where("base + n < rest"))
         part = part.where("base + n >= rest and base < rest").drop("bucket", "n", "upto")
-    running = F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("h", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0))
-    edge = part.withColumn("upto", F.col("base") + running).where("upto <= rest and upto - tokens < rest")
-    columns = ["doc_id", *LEVELS, "tokens", F.col("epochs").alias("epoch")]
+    running = F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("h", "doc_id", "tokens", "mark").rowsBetween(W.unboundedPreceding, 0))
+    edge = part.withColumn("upto", F.col("base") + running).where("upto - tokens < rest")
+    columns = ["doc_id", "mark", *LEVELS, "tokens", F.col("epochs").alias("epoch")]
     for some in (*inside, edge):
         whole = whole.union(some.select(*columns))
     return whole
@@ -129,7 +134,7 @@ def mixing_sql(table: str = "documents", max_epochs: int = 2) -> str:
     return f"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '^src[1-9]$') THEN 'forum' ELSE 'reference' END AS domain,
-    lang, source, (strlen(coalesce(text, '')) + 3) // 4 AS tokens FROM {table} WHERE doc_id IS NOT NULL),
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, (strlen(coalesce(text, '')) + 3) // 4 AS tokens FROM {table} WHERE doc_id IS NOT NULL),
 leaf AS (SELECT domain, lang, source, sum(tokens) AS size, sum(tokens) * {max_epochs} AS capacity FROM d GROUP BY ALL),
 total AS (SELECT coalesce(sum(size), 0)::HUGEINT * {BUDGET_PERMILLE} // 1000 AS budget FROM leaf),
 {_sql_level("domain", [], "leaf", "total")},
@@ -138,11 +143,17 @@ total AS (SELECT coalesce(sum(size), 0)::HUGEINT * {BUDGET_PERMILLE} // 1000 AS
 e AS (SELECT domain, lang, source, budget // size AS epochs, budget % size AS rest FROM leaf JOIN source_d USING (domain, lang, source) WHERE size > 0),
 o AS (SELECT d.*, epochs, rest, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || epochs || ':' || doc_id), doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN e USING (domain, lang, source))
-SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, epochs::BIGINT AS epoch FROM o WHERE upto <= rest AND upto - tokens < rest
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, epochs::BIGINT AS epoch FROM o WHERE upto - tokens < rest AND rest > 0
 UNION ALL SELECT doc_id, domain, lang, source, tokens::BIGINT, unnest(range(epochs::BIGINT)) FROM o WHERE epochs > 0
 """
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture, each at most once, so that deduplication's work isn't undone."""
-    return docs.join(mix(docs, WEIGHTS, max_epochs=1).select("doc_id"), "doc_id", "left_semi").select(DOCUMENT_COLUMNS)
+    """The documents of the mixture, each at most once, so that deduplication's work isn't undone.
+
+    A row goes by its doc_id and its text, so of one doc_id each text is picked by itself; rows that repeat both stay or
+    go together. Rows without doc_id aren't in a mixture and go.
+    """
+    picked = _mixed(docs, WEIGHTS, BUDGET_PERMILLE, 1, SEED).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("text").alias("_own"))
+    return rows.join(picked, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_semi").drop("_own")
