@@ -1,11 +1,12 @@
 """Document fingerprints as invertible Bloom lookup tables of hashed paragraphs.
 
 A paragraph is a piece of a line, cut where a hash of the few bytes before says so (more often after spaces), so that an edit
-changes the pieces around it and no others. A text's fingerprint is a small table of cells: each paragraph key is added
-to three cells (count, xor of keys, xor of check hashes). Two versions' fingerprints subtract cell by cell; what they
-share cancels, and peeling cells that hold one key recovers the keys that differ. Likenesses come from that. Only where
-peeling the fingerprints gets stuck, both tables are built again, larger. Fingerprints of all pairs of a block are
-subtracted and peeled together; difference() does it for two fingerprints as they are returned.
+changes the pieces around it and no others. A text's fingerprint is a table of cells, as many as its paragraphs ask for:
+each paragraph key is added to three cells (count, xor of keys, xor of check hashes). Two versions' fingerprints subtract
+cell by cell; what they share cancels, and peeling cells that hold one key recovers the keys that differ. Parts of a table
+are powers of two, so a larger one folds onto a smaller one's cells. Likenesses come from that. Only where peeling gets
+stuck, which two thirds of a text in common don't, both tables are built again, larger. All pairs of a block are peeled
+together; difference() does it for two fingerprints as they are returned.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import documents, small_batches, text_or_empty
 
-HASHES, CELLS, GROWTH = 3, 12, 4
-CUT_EVERY, CUT_WITHIN = 4, 32
+HASHES, GROWTH = 3, 4
+#: Cells for each paragraph of a text, and beyond these; then up to the next power of two a part.
+CELLS_EACH, CELLS_MORE = 1.25, 9
+#: A paragraph ends after one of so many spaces and after one of so many bytes, on average.
+CUT_EVERY, CUT_WITHIN = 16, 160
 BLOCK_BYTES = 1 << 20
 GOLD, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -115,21 +119,6 @@ class Tables:
         keys, owner, sign = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         return keys, owner, sign, clean
 
-    def part_of(self, first: int, last: int) -> Tables:
-        """The tables of owners from first to last."""
-        out = Tables(0, self.cells)
-        out.owners, cut = last - first, slice(first * self.cells, last * self.cells)
-        out.count, out.keys, out.checks = self.count[cut].copy(), self.keys[cut].copy(), self.checks[cut].copy()
-        return out
-
-    def minus(self, other: Tables) -> Tables:
-        """Cell by cell, what remains of these tables without others of the same owners."""
-        out = self.part_of(0, self.owners)
-        out.count -= other.count
-        out.keys ^= other.keys
-        out.checks ^= other.checks
-        return out
-
     def encoded(self, sizes: np.ndarray) -> list[str]:
         """Each table as text: number of paragraphs, then every cell."""
         rows = np.empty(len(self.count), dtype=CELL)
@@ -147,37 +136,75 @@ def decode(fingerprint: str) -> tuple[int, Tables]:
     return int.from_bytes(data[:8], "little"), out
 
 
+def folded(table: Tables, cells: int) -> Tables:
+    """The table of one owner with fewer cells, as if its keys had been added to these."""
+    out = Tables(1, cells)
+    times = table.part // out.part
+    shape = (HASHES, times, out.part)
+    out.count = table.count.reshape(shape).sum(axis=1, dtype=np.int32).ravel()
+    out.keys = np.bitwise_xor.reduce(table.keys.reshape(shape), axis=1).ravel()
+    out.checks = np.bitwise_xor.reduce(table.checks.reshape(shape), axis=1).ravel()
+    return out
+
+
 def difference(a: str, b: str) -> tuple[set[int], set[int]] | None:
     """Paragraph keys that only a or only b has, from two fingerprints; None if they differ by more than they can tell."""
-    keys, _, sign, clean = decode(a)[1].minus(decode(b)[1]).peel()
+    own, other = decode(a)[1], decode(b)[1]
+    cells = min(own.cells, other.cells)
+    own, other = folded(own, cells), folded(other, cells)
+    own.count -= other.count
+    own.keys ^= other.keys
+    own.checks ^= other.checks
+    keys, _, sign, clean = own.peel()
     return (set(keys[sign > 0].tolist()), set(keys[sign < 0].tolist())) if clean[0] else None
 
 
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], pairs: int, first: Tables | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cells_for(paragraphs: np.ndarray) -> np.ndarray:
+    """The cells of fingerprints of texts of so many paragraphs."""
+    part = (CELLS_EACH * paragraphs + CELLS_MORE) / HASHES
+    return HASHES * 2 ** np.ceil(np.log2(part)).astype(np.int64)
+
+
+def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, pair, sign) on one side only (sign 1: a, -1: b) and the cells that each pair took; a and b: (keys, pair).
 
-    first: a's tables less b's, if they are there already; pairs that it can't peel get larger tables of their own.
+    cells: of each pair's smaller fingerprint, which are tried first; a pair that they can't tell gets more.
     """
     keys, owner = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
     sign = np.concatenate([np.ones(len(a[0]), np.int32), -np.ones(len(b[0]), np.int32)])
-    left, out, tables = np.arange(pairs), [], first
-    took = np.zeros(pairs, dtype=np.int64)
-    cells = first.cells if first else CELLS
-    while len(left):
-        if tables is None:
-            number = np.full(pairs, -1)
-            number[left] = np.arange(len(left))
+    order = np.argsort(owner, kind="stable")
+    keys, owner, sign = keys[order], owner[order], sign[order]
+    cells, left, out = cells.copy(), np.ones(len(cells), dtype=bool), []
+    while left.any():
+        for size in np.unique(cells[left]).tolist():
+            pairs = np.flatnonzero(left & (cells == size))
+            number = np.full(len(cells), -1)
+            number[pairs] = np.arange(len(pairs))
             mine = number[owner] >= 0
-            keys, owner, sign = keys[mine], owner[mine], sign[mine]
-            tables = Tables(len(left), cells)
-            tables.add(keys, number[owner], sign)
-        k, o, s, clean = tables.peel()
-        good = clean[o]
-        out.append((k[good], left[o[good]], s[good]))
-        took[left[clean]] = cells
-        left, cells, tables = left[~clean], cells * GROWTH, None
+            tables = Tables(len(pairs), size)
+            tables.add(keys[mine], number[owner[mine]], sign[mine])
+            k, o, s, clean = tables.peel()
+            good = clean[o]
+            out.append((k[good], pairs[o[good]], s[good]))
+            left[pairs[clean]] = False
+        cells[left] *= GROWTH
     keys, owner, sign = (np.concatenate(x) for x in zip(*out)) if out else (keys, owner, sign)
-    return keys, owner, sign, took
+    return keys, owner, sign, cells
+
+
+def fingerprints(keys: np.ndarray, owner: np.ndarray, paragraphs: np.ndarray) -> list[str]:
+    """The fingerprint of each owner."""
+    sizes, out = cells_for(paragraphs), [""] * len(paragraphs)
+    for size in np.unique(sizes).tolist():
+        some = np.flatnonzero(sizes == size)
+        number = np.full(len(sizes), -1)
+        number[some] = np.arange(len(some))
+        mine = number[owner] >= 0
+        tables = Tables(len(some), size)
+        tables.add(keys[mine], number[owner[mine]], 1)
+        for i, text in zip(some.tolist(), tables.encoded(paragraphs[some])):
+            out[i] = text
+    return out
 
 
 def likeness(differing: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -201,18 +228,15 @@ def _compare(texts: list[str]) -> dict[str, list]:
     keys, owner = paragraph_keys(raw)
     keys2, owner2 = paragraph_keys(raw_changed)
     n, n2 = np.bincount(owner, minlength=m + 1), np.bincount(owner2, minlength=m)
-    sketch, sketch2 = Tables(m + 1, CELLS), Tables(m, CELLS)
-    sketch.add(keys, owner, 1)
-    sketch2.add(keys2, owner2, 1)
-    own, after, mine = owner < m, owner > 0, sketch.part_of(0, m)
-    one = (keys[own], owner[own])
-    d2 = np.bincount(differences(one, (keys2, owner2), m, mine.minus(sketch2))[1], minlength=m)
-    d1 = np.bincount(differences(one, (keys[after], owner[after] - 1), m, mine.minus(sketch.part_of(1, m + 1)))[1], minlength=m)
+    own, after = owner < m, owner > 0
+    one, sizes = (keys[own], owner[own]), cells_for(n)
+    d2 = np.bincount(differences(one, (keys2, owner2), np.minimum(sizes[:m], cells_for(n2)))[1], minlength=m)
+    d1 = np.bincount(differences(one, (keys[after], owner[after] - 1), np.minimum(sizes[:m], sizes[1:]))[1], minlength=m)
     return {
         "n_chars": [len(t) for t in texts[:-1]],
         "edited_sha256": [hashlib.sha256(t).hexdigest() for t in raw_changed],
-        "fingerprint": mine.encoded(n[:m]),
-        "edited_fingerprint": sketch2.encoded(n2),
+        "fingerprint": fingerprints(*one, n[:m]),
+        "edited_fingerprint": fingerprints(keys2, owner2, n2),
         "near_edited": likeness(d2, n[:m], n2).tolist(),
         "near_next": likeness(d1, n[:m], n[1:]).tolist(),
     }
