@@ -72,8 +72,13 @@ def filter_defaults(uploads: DataFrame) -> DataFrame:
 
 
 def states(uploads: DataFrame) -> DataFrame:
-    """(platform, upload_id, counts, finished) of uploads (status, plausibility)."""
-    return uploads.select("platform", "upload_id", F.col("plausibility").isin(*COUNTED).alias("counts"), F.col("status").isin("done", "failed").alias("finished"))
+    """(platform, upload_id, counts, finished, can_inspect, can_approve) of uploads (status, plausibility, has_document, registered).
+
+    can_inspect and can_approve: whether the upload's state lets staff do so, can_inspect its uploader too; inspectable()
+    and stepped() tell which users may.
+    """
+    may = {"can_inspect": F.col("has_document") & ~F.col("registered"), "can_approve": F.col("plausibility") == STEPS["approve"][0]}
+    return uploads.select("platform", "upload_id", F.col("plausibility").isin(*COUNTED).alias("counts"), F.col("status").isin("done", "failed").alias("finished"), *(c.alias(n) for n, c in may.items()))
 
 
 def inspectable(uploads: DataFrame, users: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ ORACLES = {
     "shown_missing_annotations": f"{PATHS} SELECT * FROM ap a WHERE EXISTS (SELECT 1 FROM ap b WHERE b.platform = a.platform AND length(b.path) % 5 = 0 AND (b.path = a.path OR starts_with(b.path, a.path || '/')))",
     "children_and_items": f"{PATHS}, it AS (SELECT DISTINCT platform, regexp_replace(path, '/[a-z]{{2}}$', '/[]') AS path, regexp_replace(path, '/[^/]*$', '') AS parent_path FROM ap), ty AS (SELECT *, 't' || (length(path) % 5) AS type FROM it) SELECT platform, path, EXISTS (SELECT 1 FROM ty b WHERE b.platform = a.platform AND b.parent_path = a.path AND b.path <> '') AS has_children, coalesce((SELECT max(type) FROM ty b WHERE b.platform = a.platform AND b.parent_path = a.path AND b.path LIKE '%/[]'), '') AS item_type FROM ty a",
     "filter_defaults": f"{BOTH}, n AS (SELECT *, coalesce(nullif(request_format, ''), 'unknown') AS rf FROM up WHERE registered), a AS (SELECT platform, rf FROM (SELECT platform, rf, count(*) AS n FROM n GROUP BY platform, rf) QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, rf) = 1) SELECT platform, rf AS request_format, root_format FROM (SELECT platform, rf, root_format, count(*) AS n FROM n JOIN a USING (platform, rf) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, root_format) = 1",
-    "upload_states": f"WITH {JUDGED} SELECT platform, upload_id, plausibility IN ('passed', 'approved') AS counts, status IN ('done', 'failed') AS finished FROM h",
+    "upload_states": f"WITH {JUDGED} SELECT platform, upload_id, plausibility IN ('passed', 'approved') AS counts, status IN ('done', 'failed') AS finished, status = 'done' AND plausibility NOT IN ('passed', 'approved') AS can_inspect, plausibility = 'awaiting' AS can_approve FROM h",
     "upload_steps": f"WITH {JUDGED}, {ASKED}, t AS (SELECT *, coalesce({STEPPED}, FALSE) AS ok FROM s JOIN h USING (upload_id)) SELECT upload_id, action, CASE WHEN NOT ok THEN plausibility WHEN action = 'confirm' THEN 'awaiting' WHEN action = 'approve' THEN 'approved' WHEN action = 'reject' THEN 'rejected' END AS plausibility, ok AS allowed FROM t",
     "inspectable_uploads": f"WITH {JUDGED}, {ASKED} SELECT upload_id, \"user\" FROM s JOIN h USING (upload_id) WHERE status = 'done' AND plausibility NOT IN ('passed', 'approved') AND (staff OR \"user\" = uploaded_by)",
     "stale_proposals": f"{PROPOSALS}, b AS (SELECT *, CASE WHEN proposal_id % 3 <> 0 THEN value END AS base FROM pr), n AS (SELECT target, kind, arg_max(value, (decided_at, proposal_id)) AS now FROM pr WHERE status = 'accepted' GROUP BY ALL) SELECT proposal_id, target, kind FROM b LEFT JOIN n USING (target, kind) WHERE status = 'open' AND base IS DISTINCT FROM now",

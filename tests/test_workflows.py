@@ -441,3 +441,10 @@ def test_changes_in_words(spark):
     assert {tuple(r) for r in proposals.changes(frame).collect()} == {(1, "annotation", "not a data point", "A"), (2, "annotation", "B", "new: N"), (2, "note", "", "x"), (3, "name", "N", "M"), (3, "pii", "no", "yes"), (4, "representation", "R", "none")}
     keys = frame.select("proposal_id", proposals.group_key(F.col("kind"), F.lit(None), F.col("annotation"), F.lit("7")).alias("k")).collect()
     assert {r.proposal_id: r.k for r in keys} == {1: "location:7", 2: "location:7", 3: "annotation:A", 4: "location:7"}
+
+
+def test_states_tell_what_may_be_done(spark):
+    rows = [("1", "done", "passed", True), ("2", "done", "unconfirmed", False), ("3", "failed", "awaiting", False), ("4", "done", "awaiting", False), ("5", "parsing", "approved", True)]
+    uploads = spark.createDataFrame(rows, "upload_id string, status string, plausibility string, registered boolean").withColumns({"platform": F.lit("p"), "has_document": F.col("status") == "done"})
+    got = {r.upload_id: (r.counts, r.finished, r.can_inspect, r.can_approve) for r in review.states(uploads).collect()}
+    assert got == {"1": (True, True, False, False), "2": (False, True, True, False), "3": (False, True, False, True), "4": (False, True, True, True), "5": (True, False, False, False)}
