@@ -1,4 +1,7 @@
-"""Near copies by the overlap of word shingles: candidates by MinHash bands, then an exact check of every candidate pair.
+"""Near copies by fingerprints, and beyond their reach by the overlap of word shingles.
+
+Candidates come first from the SimHash that the caller names. Alike texts that its radius can't reach are candidates by
+MinHash bands. An exact check of every candidate pair follows.
 
 Texts of one bucket that the bucket's smallest doesn't link are paired by their rarest shingles, with all shingles in one
 order of frequency: of two alike texts, the first shingle that they share stands so early in both that enough of either
@@ -8,14 +11,14 @@ pair of them is made, however many there are.
 
 Shingles are compared by 64 bits of XXH64; two different ones of a pair's texts agree with a chance of about 10 ** -13.
 
-A 64-bit SimHash is too short for this rule: a Jaccard similarity of 0.8 is about 10 of 64 bits, with a spread that asks
-for a radius near 19, and segments for such a radius are three bits wide, so nearly all pairs would be candidates.
+A 64-bit SimHash alone is too short for this rule: a Jaccard similarity of 0.8 is about 10 of 64 bits, with a spread that
+asks for a radius near 19, and segments for such a radius are three bits wide, so nearly all pairs would be candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,23 +81,25 @@ def text_mark() -> Column:
     return F.xxhash64("text")
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, digest of the words, keys) of every row of docs."""
+def signatures(docs: DataFrame, fingerprint: Callable[[list[bytes]], int]) -> DataFrame:
+    """(doc_id, mark, digest of the words, fp, keys) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            digests, prints, keys = [], [], []
             for t in batch.column(2):
                 words = _words(t.as_py())
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
+                prints.append(fingerprint(words))
                 keys.append(band_keys(shingles(words)))
+            fps = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "digest", "keys"]
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), fps, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "digest", "fp", "keys"]
             )
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, mark long, digest binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, digest binary, fp long, keys array<long>")
 
 
 def hashed_shingles(texts: DataFrame) -> DataFrame:
@@ -171,26 +176,37 @@ def central(members: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.select(F.least("center", "node").alias("u"), F.greatest("center", "node").alias("v")).distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def printed_pairs(nodes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v) of nodes (node, fp): each with the smallest of its fingerprint, and these by links between fingerprints."""
+    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("id")), "fingerprints")
+    same = nodes.join(prints, "fp").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    near = links(prints).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return same.union(near).distinct()
+
+
+def near_copies(docs: DataFrame, fingerprint: Callable[[list[bytes]], int], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(doc_id, mark) of the rows that go: all of a component of near copies but the smallest (doc_id, mark).
 
-    Texts of the same words after lower-casing A-Z are one node, named by its smallest (doc_id, mark). Every member of a
+    fingerprint is a text's by its words, links gives the pairs (u, v) of (fp, id) that are linked; see simhash. Texts of
+    the same words after lower-casing A-Z are one node, named by its smallest (doc_id, mark). Nodes whose fingerprints link
+    are checked; what follows adds the alike texts that fingerprints miss. Every member of a
     bucket is compared with the bucket's smallest, and where that leaves several components, with its most common text.
     The members of buckets that still hold several are then compared with all members of other components that may be
     alike by their rarest shingles, so a large group of near copies needs no pairs, texts around a common passage give
     none, and no two alike texts go unchecked.
     """
-    rows = staged(signatures(docs.where("doc_id is not null")), "signatures")
-    nodes = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark")).alias("node"), F.max("keys").alias("keys"))
+    rows = staged(signatures(docs.where("doc_id is not null"), fingerprint), "signatures")
+    nodes = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark")).alias("node"), F.max("fp").alias("fp"), F.max("keys").alias("keys"))
     nodes = staged(nodes, "distinct-words")
     in_bands = nodes.select("node", F.explode("keys").alias("key"))
     shared = in_bands.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     members = staged(in_bands.join(shared, "key"), "buckets")
-    candidates = members.select("node").distinct()
+    printed = staged(printed_pairs(nodes, links), "printed-pairs")
+    candidates = members.select("node").union(printed.select("u")).union(printed.select("v")).distinct()
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), F.col("text").cast("string").alias("text"))
     texts = wanted.join(candidates, (F.col("doc_id") == F.col("node.id")) & (F.col("mark") == F.col("node.mark"))).select("node", "text")
     hashed = staged(hashed_shingles(texts).dropDuplicates(["node"]), "shingles")  # equal rows give equal shingles
-    stars = members.select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
+    stars = members.select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v").union(printed).distinct()
     edges = staged(alike_pairs(stars, hashed), "near-pairs")
 
     def mixed(labels: DataFrame) -> DataFrame:

@@ -26,7 +26,11 @@ BLOCK = 1 << 15
 
 def simhash(text: str | None, words_per_shingle: int = 3) -> int:
     """Majority bits of the XXH64 (seed 42) of all word shingles; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return simhash_of((text or "").encode("utf-8", "surrogatepass").lower().split(), words_per_shingle)
+
+
+def simhash_of(words: list[bytes], words_per_shingle: int = 3) -> int:
+    """As simhash, of a text's words in lower case."""
     if not words:
         return 0
     joined = b" ".join(words)
@@ -110,10 +114,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one text of every component of near copies (five-word shingles, Jaccard 0.8 or more), that of the smallest doc_id.
+    """Keeps one text of every component of near copies, that of the smallest doc_id.
+
+    Near copies have five-word shingles of a Jaccard similarity of 0.8 or more. Texts that near_duplicates would link, with
+    fingerprints of 2 or fewer differing bits, are checked for it, and those that it can't reach are found by MinHash.
 
     A row goes by its doc_id and its text. Rows without doc_id stay and take nobody away. Of one doc_id on rows with
     different texts, each text is judged by itself; if such texts are near copies of each other, one of them stays. Rows
     that repeat the doc_id and the text that stay all stay.
     """
-    return without(docs, near_copies(docs), text_mark())
+    return without(docs, near_copies(docs, simhash_of, links), text_mark())

@@ -655,6 +655,19 @@ def test_a_group_of_near_copies_hangs_together_by_its_most_common_text(spark, mo
     assert asked[0] < 60 * 59 // 4
 
 
+def test_near_stage_links_by_fingerprints(spark, monkeypatch):
+    """Without any MinHash keys, what fingerprints link and the check confirms goes, and nothing else."""
+    texts = dict(enumerate(dict.fromkeys(" ".join(t.lower().split()) for t in one_word_edits())))
+    fps = {i: simhash.simhash(t) for i, t in texts.items()}
+    pairs = [p for p in brute_near(texts)[0] if bin(fps[p[0]] ^ fps[p[1]]).count("1") <= 2]
+    gone = {i for i, c in components(pairs, texts).items() if i != c}
+    assert len(gone) > 3
+    real = near.signatures
+    monkeypatch.setattr(near, "signatures", lambda *a: real(*a).withColumn("keys", F.array().cast("array<bigint>")))
+    got = {r.doc_id for r in simhash.stage(spark, odd_ids(spark, list(texts.items())), "").collect()}
+    assert got == texts.keys() - gone
+
+
 def test_near_stage_goes_by_row(spark):
     rows = odd_ids(spark, [(1, "a b"), (None, "A b"), (None, "alone"), (2, "a  b"), (2, "own"), (3, "c d"), (3, "C d"), (4, "p"), (4, "p")])
     got = [(r.doc_id, r.text) for r in simhash.stage(spark, rows, "").collect()]
