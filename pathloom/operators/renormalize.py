@@ -75,13 +75,6 @@ def renamed_paths(nodes: DataFrame, variable_keys: dict[str, list[str]] | list[s
     return composed(lifts, keys)
 
 
-def _most_common(masks: Column) -> Column:
-    """Of (mask, n) the mask with most, ties by mask."""
-    names = F.array_distinct(F.transform(masks, lambda m: m.mask))
-    weighed = F.transform(names, lambda name: F.struct((-F.aggregate(F.filter(masks, lambda m: m.mask == name), F.lit(0).cast("long"), lambda total, m: total + m.n)).alias("w"), name.alias("mask")))
-    return F.array_min(weighed)["mask"]
-
-
 def rewritten(nodes: DataFrame, map_: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents in which map_ changes a path, merged where several paths became one; others aren't returned.
 
@@ -97,24 +90,34 @@ def rewritten(nodes: DataFrame, map_: DataFrame, threshold: float = THRESHOLD) -
     media = F.concat(S.mask_name(stem), ending)
     mask = F.when(renamed & (F.col("kind") == "media"), media).when(renamed, N.masked_key(P.unescape(new), P.unescape(old))).otherwise(F.col("name"))
     rows = lifts.withColumns({"_mask": F.struct(mask.alias("mask"), F.coalesce("keys", F.lit(1)).cast("long").alias("n")), "_renamed": renamed})
-    none = F.array().cast("array<struct<shape: string, n: bigint>>")
-    out = rows.groupBy("doc_id", "path").agg(
+    # A path that many became has few masks, types, shapes and formats: these are counted before anything is gathered.
+    rows = rows.withColumn("_type", F.coalesce("type", F.array().cast("array<string>"))).select("*", F.posexplode_outer("shapes").alias("_at", "_cell"))
+    once = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    counted = F.coalesce("format", F.lit("")) != ""
+    same = ["doc_id", "path", F.col("_mask.mask").alias("mask"), "_type", F.col("_cell.shape").alias("cell"), F.when(counted, F.struct("shape", "format")).alias("_format")]
+    part = rows.groupBy(*same).agg(
         F.first("parent_path").alias("parent_path"), F.min(F.array_position(F.array(*map(F.lit, RANKS)), F.col("kind"))).alias("_kind"),
-        S.type_union(F.flatten(F.collect_set(F.coalesce("type", F.array().cast("array<string>"))))).alias("type"),
-        *(F.sum(c).alias(c) for c in ("n_present", "n_null", "n_count")), F.min("position").alias("position"), F.collect_list("_mask").alias("_masks"),
-        F.bool_or(F.col("_renamed") | F.col("keys").isNotNull()).alias("_merged"), F.flatten(F.collect_list(F.coalesce("shapes", none))).alias("_cells"),
-        F.collect_set(F.when(F.coalesce("format", F.lit("")) != "", F.struct("shape", "format"))).alias("_formats"),
+        *(F.sum(F.when(once, F.col(c))).alias(c) for c in ("n_present", "n_null", "n_count")), F.min("position").alias("position"), F.sum(F.when(once, F.col("_mask.n"))).alias("_of_mask"),
+        F.bool_or(F.col("_renamed") | F.col("keys").isNotNull()).alias("_merged"), F.sum("_cell.n").alias("_n"),
+    )
+    by_mask = part.groupBy("doc_id", "path", "mask").agg(
+        F.first("parent_path").alias("parent_path"), F.min("_kind").alias("_kind"), F.collect_set("_type").alias("_types"), *(F.sum(c).alias(c) for c in ("n_present", "n_null", "n_count", "_of_mask")),
+        F.min("position").alias("position"), F.bool_or("_merged").alias("_merged"), F.collect_list(F.when(F.col("cell").isNotNull() | F.col("_n").isNotNull(), F.struct(F.col("cell").alias("shape"), F.col("_n").alias("n")))).alias("_cells"), F.collect_set("_format").alias("_formats"),
+    )
+    out = by_mask.groupBy("doc_id", "path").agg(
+        F.first("parent_path").alias("parent_path"), F.min("_kind").alias("_kind"), S.type_union(F.flatten(F.flatten(F.collect_set("_types")))).alias("type"), *(F.sum(c).alias(c) for c in ("n_present", "n_null", "n_count")),
+        F.min("position").alias("position"), F.min_by("mask", F.struct(-F.col("_of_mask"), F.col("mask"))).alias("_name"), F.sum("_of_mask").alias("_keys"), F.bool_or("_merged").alias("_merged"),
+        F.flatten(F.collect_list("_cells")).alias("_cells"), F.array_distinct(F.flatten(F.collect_set("_formats"))).alias("_formats"),
     )
     names = F.array_sort(F.array_distinct(F.transform("_cells", lambda c: c.shape)))
     total = lambda s: F.aggregate(F.filter("_cells", lambda c: c.shape == s), F.lit(0).cast("long"), lambda n, c: n + c.n)
     out = out.withColumn("shapes", F.transform(names, lambda s: F.struct(s.alias("shape"), total(s).alias("n"))))
     out = out.withColumn("shape", dominant_of(F.col("shapes"), threshold))
     formats = F.array_distinct(F.transform(F.filter("_formats", lambda f: f.shape == F.col("shape")), lambda f: f.format))
-    sizes = F.aggregate("_masks", F.lit(0).cast("long"), lambda n, m: n + m.n)
     kind = F.element_at(F.array(*map(F.lit, RANKS)), F.col("_kind").cast("int"))
     return out.select(
-        "doc_id", "path", "parent_path", _most_common(F.col("_masks")).alias("name"), kind.alias("kind"), "type", "shape", "shapes", F.when(F.size(formats) == 1, formats[0]).alias("format"),
-        "n_present", "n_null", "n_count", "position", F.when(F.col("_merged"), sizes).alias("keys"),
+        "doc_id", "path", "parent_path", F.col("_name").alias("name"), kind.alias("kind"), "type", "shape", "shapes", F.when(F.size(formats) == 1, formats[0]).alias("format"),
+        "n_present", "n_null", "n_count", "position", F.when(F.col("_merged"), F.col("_keys")).alias("keys"),
     )
 
 
@@ -199,6 +202,7 @@ def remapped_proposals(proposals: DataFrame, moved: DataFrame) -> DataFrame:
 
 def renormalized(nodes: DataFrame, variable_keys: dict[str, list[str]] | list[str], keep_keys: dict[str, list[str]] | list[str], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(renames, report, new nodes of the changed documents): the rules applied to all stored documents."""
+    nodes = staged(nodes, "stored-nodes")  # read several times
     map_ = staged(renamed_paths(nodes, variable_keys, keep_keys), "renames")
     return map_, report(map_), rewritten(nodes, map_, threshold)
 

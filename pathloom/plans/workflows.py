@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import paths as P
 from pathloom.operators import explorer, normalize, proposals, references, renormalize, timeline
 from pathloom.plans import base
+from pathloom.sources.staging import staged
 
 RULES = [("0", "variable_key", "/chats/Chat with *"), ("1", "variable_key", "/chats/Chat with *"), ("2", "keep_key", "/chats/Chat with *"), ("2", "keep_key", "/chats/[0-9]*")]
 
@@ -76,7 +77,7 @@ def chat_nodes(s, d):
 
 
 def renormalized_paths(s, d):
-    return renormalize.renamed_paths(chat_nodes(s, d), *by_platform(s))
+    return renormalize.renamed_paths(staged(chat_nodes(s, d), "stored-nodes"), *by_platform(s))
 
 
 def renormalize_report(s, d):

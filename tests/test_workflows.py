@@ -448,3 +448,32 @@ def test_states_tell_what_may_be_done(spark):
     uploads = spark.createDataFrame(rows, "upload_id string, status string, plausibility string, registered boolean").withColumns({"platform": F.lit("p"), "has_document": F.col("status") == "done"})
     got = {r.upload_id: (r.counts, r.finished, r.can_inspect, r.can_approve) for r in review.states(uploads).collect()}
     assert got == {"1": (True, True, False, False), "2": (False, True, True, False), "3": (False, True, False, True), "4": (False, True, True, True), "5": (True, False, False, False)}
+
+
+def test_what_cannot_become_a_pattern_is_not_looked_into(spark, monkeypatch):
+    """An object with one open key, or two without words: what lies below them isn't gathered; of three it is."""
+    sizes = []
+    real = normalize.staged
+    monkeypatch.setattr(normalize, "staged", lambda df, name: (out := real(df, name), sizes.append(out.count()) if name == "schema-open-keys" else None)[0])
+    paths = ["", "/one", *(f"/one/{k}{x}" for k in ("left", "right", "mid") for x in ("", "/a"))]
+    for n, third in (([0, 0, 0], False), ([0, 3, 0], True)):
+        rows = [("d", p, p.rpartition("/")[2] or None, "data") for p in paths if third or "/mid" not in p]
+        got = {(r.path, r.new_path) for r in normalize.renames(spark.createDataFrame(rows, "doc_id string, path string, name string, kind string")).collect()}
+        assert sizes == n and bool(got) == third
+        sizes.clear()
+
+
+def test_a_path_of_many_keys_gathers_masks_not_keys(spark):
+    rows = [("d", f"/k/{name}", "/k", name, "data", ["string"] if i % 3 else ["null"], "text", [("text", 2), ("date", 1)][: i % 3], None, 1, 0, 2, i) for i, name in enumerate([f"ab{j}" for j in range(30)] + [f"abc{j}" for j in range(30)] + ["q"])]
+    nodes = spark.createDataFrame(rows, "doc_id string, path string, parent_path string, name string, kind string, type array<string>, shape string, shapes array<struct<shape: string, n: bigint>>, format string, n_present long, n_null long, n_count long, position int")
+    map_ = nodes.select("doc_id", "path", F.lit("/k/{*}").alias("new_path"))
+    out = renormalize.rewritten(nodes, map_)
+    r = out.first()
+    texts, dates = sum(2 for x in rows if x[7]), sum(len(x[7]) == 2 for x in rows)
+    assert (r.name, r.keys, r.n_present, r.n_null, r.n_count, r.position, sorted(r.type)) == (names_mask(spark, "ab0"), 61, 61, 0, 122, 0, ["null", "string"])
+    assert {x.shape: x.n for x in r.shapes} == {"text": texts, "date": dates} and out.count() == 1
+    assert "_masks" not in out._jdf.queryExecution().toString()
+
+
+def names_mask(spark, key):
+    return spark.range(1).select(names.masked_key(F.lit("{*}"), F.lit(key))).first()[0]
