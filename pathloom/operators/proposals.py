@@ -128,8 +128,9 @@ class Replay:
         self.emit(p, status, at, by, reason)
 
     def emit(self, p: dict, status: str, at: int | None, by: int | None, reason: str | None) -> None:
-        now = self.snapshot(p)
-        self.out.append({"record": "proposal", "id": str(p["id"]), "status": status, "base": text(p.get("base", {})), "now": text(now), "stale": status == "open" and now != p["base"], "decided_at": at, "superseded_by": by, "reason": reason})
+        now, base = self.snapshot(p), p.get("base", {})
+        was = text(base)
+        self.out.append({"record": "proposal", "id": str(p["id"]), "status": status, "base": was, "now": was if now == base else text(now), "stale": status == "open" and now != base, "decided_at": at, "superseded_by": by, "reason": reason})
 
     def event(self, e: dict) -> None:
         if e["what"] == "target":
@@ -166,8 +167,24 @@ class Replay:
         self.out += [{"record": "target", "id": target, "status": "gone" if state is None else "there", "now": text(state)} for target, state in self.states.items()]
 
 
+ENCODE = json.JSONEncoder(sort_keys=True).encode
+
+
 def text(data: dict | None) -> str | None:
-    return None if data is None else json.dumps(data, sort_keys=True)
+    return None if data is None else ENCODE(data)
+
+
+def events(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, EVENT..., annotation_platform): what there was at first, then each suggestion (with its target) and its decision.
+
+    A decision only names its suggestion, which the task that replays it holds as long as it is open, and says stale_ok.
+    """
+    base = {"at": "created_at", "turn": F.lit(1), "id": F.col("proposal_id"), "what": F.lit("propose"), "by": F.col("proposed_by")}
+    made = rows.withColumns({k: F.col(v) if isinstance(v, str) else v for k, v in base.items()}).select("target", *EVENT, "annotation_platform")
+    decided = rows.where("action is not null").select("target", F.col("decided_at").alias("at"), F.lit(2).alias("turn"), F.col("proposal_id").alias("id"), F.col("action").alias("what"), "stale_ok")
+    there = targets.select("target", "platform", F.col("state").alias("values"), F.lit(-(1 << 62)).cast("long").alias("at"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("id"), F.lit("target").alias("what"))
+    every = there.unionByName(made.unionByName(decided, allowMissingColumns=True), allowMissingColumns=True)
+    return every.select("target", *EVENT, "annotation_platform")
 
 
 def replayed(proposals: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,19 +206,18 @@ def replayed(proposals: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataF
     of = target_of(F.col("kind"), F.col("proposal_id"), F.col("location"), F.col("annotation"), F.col("representation"))
     rows = staged(proposals.withColumns({"target": of, "also": also}), "suggestions")
     component = staged(groups(rows.select("proposal_id", "target", "kind", "also")), "touching-targets")
-    base = {"at": "created_at", "turn": F.lit(1), "id": F.col("proposal_id"), "what": F.lit("propose"), "by": F.col("proposed_by")}
-    made = rows.withColumns({k: F.col(v) if isinstance(v, str) else v for k, v in base.items()})
-    decided = rows.where("action is not null").withColumns({"at": F.col("decided_at"), "turn": F.lit(2), "id": F.col("proposal_id"), "what": F.col("action"), "by": F.lit(None).cast("long")})
-    there = targets.select("target", "platform", F.col("state").alias("values"), F.lit(-(1 << 62)).cast("long").alias("at"), F.lit(0).alias("turn"), F.lit(0).cast("long").alias("id"), F.lit("target").alias("what"))
-    events = there.unionByName(made.unionByName(decided), allowMissingColumns=True)
     columns = ["component", "target", *EVENT, "annotation_platform"]
-    events = events.join(component, "target", "left").withColumn("component", F.coalesce("component", "target")).select(columns)
+    dealt = events(rows, targets).join(component, "target", "left").withColumn("component", F.coalesce("component", "target")).select(columns)
+
+    def table(out: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, replay = None, Replay()
         for batch in batches:
             out = []
-            for e in batch.to_pylist():
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                e = dict(zip(columns, values))
                 if e["component"] != current:
                     replay.finish()
                     out += replay.out
@@ -210,13 +226,13 @@ def replayed(proposals: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataF
                 replay.event(e)
             out += replay.out
             replay.out = []
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield table(out)
         replay.finish()
-        yield pa.RecordBatch.from_pylist(replay.out, schema=schema)
+        yield table(replay.out)
 
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in RESULT.split(", "))])
-    ordered = events.repartition("component").sortWithinPartitions("component", "at", "turn", "id")
+    ordered = dealt.repartition("component").sortWithinPartitions("component", "at", "turn", "id")
     found = staged(ordered.mapInArrow(run, RESULT), "replayed")
     suggestions = found.where("record = 'proposal'").select(F.col("id").cast("long").alias("proposal_id"), "status", "base", "now", "stale", "decided_at", "superseded_by", "reason")
     return suggestions, found.where("record = 'target'").select(F.col("id").alias("target"), "status", F.col("now").alias("state"))

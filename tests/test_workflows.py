@@ -477,3 +477,14 @@ def test_a_path_of_many_keys_gathers_masks_not_keys(spark):
 
 def names_mask(spark, key):
     return spark.range(1).select(names.masked_key(F.lit("{*}"), F.lit(key))).first()[0]
+
+
+def test_decisions_carry_nothing_but_their_suggestion(spark):
+    """What a suggestion says is moved and read once, not again with its decision."""
+    made = workflows.event_proposals(spark, SF)
+    of = proposals.target_of(*(F.col(c) for c in ("kind", "proposal_id", "location", "annotation", "representation")))
+    found = proposals.events(made.withColumn("target", of), workflows.event_targets(spark, SF))
+    said = found.groupBy("turn").agg(F.count("*").alias("n"), F.count("values").alias("said"), F.count("kind").alias("kinds"), F.count("target").alias("targets"))
+    got = {r.turn: (r.n, r.said, r.kinds, r.targets) for r in said.collect()}
+    n, decided = made.count(), made.where("action is not null").count()
+    assert got[1] == (n, n, n, n) and got[2] == (decided, 0, 0, decided) and got[0][0] == got[0][1]
