@@ -6,8 +6,15 @@ of schemas in a grouped function over schema-sized input.
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_left
+from collections.abc import Iterable
+from typing import NamedTuple
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import paths as P
@@ -83,77 +90,107 @@ def status_of(paths: DataFrame, comparison: DataFrame) -> DataFrame:
 # --- moves and renames, per pair of schemas: tables of candidates, level by level from the top ---------------------
 
 
-def _table(frame: pd.DataFrame) -> pd.DataFrame:
-    """A schema with parent, depth, types as text (all, and without null) and place among siblings."""
-    out = frame.assign(
-        parent=[p.rpartition("/")[0] if p else None for p in frame["path"]],
-        depth=frame["path"].str.count("/"),
-        every=[tuple(sorted(t)) if t is not None else () for t in frame["type"]],
-        **{c: frame[c].where(frame[c].map(lambda v: isinstance(v, str)), "") for c in ("name", "shape", "format")},
-    )
-    out["types"] = ["|".join(t for t in ts if t != "null") for ts in out["every"]]
-    out["structure"] = [k in ("file", "data") and not {"object", "array"}.isdisjoint(ts) for k, ts in zip(out["kind"], out["every"])]
-    out = out.sort_values(["position", "path"] if "position" in out else "path", kind="stable")
-    out["place"] = out.groupby("parent", dropna=False).cumcount()
-    return out.drop(columns="type")
+class Node(NamedTuple):
+    """A node with its types (all sorted, and as text without null) and its place among its siblings."""
+
+    path: str
+    kind: str | None
+    name: str
+    every: tuple[str, ...]
+    types: str
+    shape: str
+    format: str
+    parent: str | None
+    depth: int
+    structure: bool
+    place: int
+
+
+def _nodes(frame: pd.DataFrame) -> dict[str, Node]:
+    """A schema's nodes by path, in order of position and path; a path that comes twice counts once."""
+    columns = {c: frame[c].tolist() for c in frame.columns}
+    rows = range(len(frame))
+    text = lambda c, i: columns[c][i] if isinstance(columns[c][i], str) else ""
+    paths, given = columns["path"], columns.get("place")
+    order = [(pd.isna(x), x) for x in columns["position"]] if "position" in columns else [()] * len(frame)
+    found: dict[str, Node] = {}
+    places: dict[str | None, int] = {}
+    for i in sorted(rows, key=lambda i: (*(order[i] if order[i][:1] != (True,) else (True, 0)), paths[i])):
+        path, kind = paths[i], columns["kind"][i]
+        if path in found:
+            continue
+        parent = path.rpartition("/")[0] if path else None
+        every = tuple(sorted(columns["type"][i])) if columns["type"][i] is not None else ()
+        places[parent] = places.get(parent, -1) + 1
+        structure = kind in ("file", "data") and ("object" in every or "array" in every)
+        found[path] = Node(path, kind, text("name", i), every, "|".join(t for t in every if t != "null"), text("shape", i), text("format", i), parent, path.count("/"), structure, places[parent] if given is None else given[i])
+    return found
 
 
-def _insides(table: pd.DataFrame, roots: pd.Series, *also: str) -> pd.DataFrame:
-    """(root, inner, also...): what lies below each of roots, and the root itself."""
-    ups = [[p[:i] for i, c in enumerate(p) if c == "/"] + [p] for p in table["path"]]
-    rows = table[["path", *also]].assign(root=ups).explode("root")
-    rows = rows[rows["root"].isin(roots)]
-    return rows.assign(inner=[p[len(r) :] for p, r in zip(rows["path"], rows["root"])]).drop(columns="path").drop_duplicates()
+def _inside(nodes: dict[str, Node], paths: list[str], root: str, kinds: bool) -> set[tuple]:
+    """What lies below root, and root itself, as (path from there, kind or None); paths are those of nodes, sorted."""
+    found = [root, *paths[bisect_left(paths, root + "/") : bisect_left(paths, root + "0")]]  # a zero comes next to a slash
+    return {(p[len(root) :], nodes[p].kind if kinds else None) for p in found}
 
 
-def _shares(pairs: pd.DataFrame, before: pd.DataFrame, after: pd.DataFrame, *also: str) -> pd.Series:
-    """Of what lies in both or either of pairs (old, new), the share that lies in both, by the pairs' index."""
-    ours, theirs = _insides(before, pairs["old"], *also), _insides(after, pairs["new"], *also)
-    sizes = pairs["old"].map(ours["root"].value_counts()) + pairs["new"].map(theirs["root"].value_counts())
-    rows = pairs[["old", "new"]].rename_axis("at").reset_index().merge(ours.rename(columns={"root": "old"}), on="old")
-    both = rows.merge(theirs.rename(columns={"root": "new"}), on=["new", "inner", *also])["at"].value_counts().reindex(pairs.index, fill_value=0)
-    return both / (sizes - both)
+def _share(old: set[tuple], new: set[tuple]) -> float:
+    """Of what lies in both or either, the share that lies in both."""
+    both = len(old & new)
+    return both / (len(old) + len(new) - both)
 
 
-def _steady(pairs: pd.DataFrame) -> pd.Series:
-    """Whether nothing differs between sides (_x, _y) of pairs that isn't up to the data."""
-    ok = pairs["kind_x"] == pairs["kind_y"]
-    for c in ("types", "shape", "format"):
-        x, y = pairs[f"{c}_x"], pairs[f"{c}_y"]
-        silent = (x == "") | (y == "") | ((x.isin(S.NOISE) | y.isin(S.NOISE)) if c == "shape" else False)
-        ok &= (x == y) | silent
-    return ok
+def _steady(x: Node, y: Node) -> bool:
+    """Whether nothing differs between two nodes that isn't up to the data."""
+    if x.kind is None or x.kind != y.kind or (x.types != y.types and x.types and y.types) or (x.format != y.format and x.format and y.format):
+        return False
+    return x.shape == y.shape or not x.shape or not y.shape or x.shape in S.NOISE or y.shape in S.NOISE
 
 
-def _outside(paths: pd.Series, roots: list[str]) -> pd.Series:
-    """Which paths are none of roots and lie below none."""
-    known = set(roots)
-    return pd.Series([not any(p[:i] in known for i in [*(i for i, c in enumerate(p) if c == "/"), len(p)]) for p in paths], index=paths.index, dtype=bool)
+def _lone(nodes: Iterable[Node]) -> dict[tuple, Node]:
+    """Nodes whose name and kind are there once."""
+    found: dict[tuple, Node | None] = {}
+    for r in nodes:
+        key = (r.name, r.kind)
+        found[key] = None if key in found else r
+    return {key: r for key, r in found.items() if r is not None}
 
 
-def found_moves(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-    """(old, new) of subtrees that moved, from tables of one pair of schemas.
+def found_moves(before: dict[str, Node], after: dict[str, Node]) -> list[tuple[str, str]]:
+    """(old, new) of subtrees that moved, sorted, from one pair of schemas.
 
     Of what only one side has, nodes whose name and kind are there once on each side correspond if they are alike inside.
     Shallow ones are settled first, those of a level in order of path; what lies in a moved subtree moves with it, which
     may leave a name there once.
     """
-    gone, came = before[~before["path"].isin(after["path"])], after[~after["path"].isin(before["path"])]
+    gone, came = [r for p, r in before.items() if p not in after], [r for p, r in after.items() if p not in before]
+    names = {(r.name, r.kind) for r in came}
+    gone = [r for r in gone if (r.name, r.kind) in names]
+    ours, theirs = sorted(before), sorted(after)
     out: list[tuple[str, str]] = []
-    for depth in sorted(gone["depth"].unique()):
+
+    def candidates() -> list[tuple[Node, Node]]:
+        old, new = _lone(gone), _lone(came)
+        return sorted(((r, new[key]) for key, r in old.items() if key in new and _steady(r, new[key])), key=lambda pair: pair[0].path)
+
+    pairs, alike = candidates(), {}
+    for depth in sorted({r.depth for r in gone}):
         past = ""
         while True:
-            lone = [side[~side.duplicated(["name", "kind"], keep=False)].assign(of=side["kind"]) for side in (gone, came)]
-            pairs = lone[0].merge(lone[1], on=["name", "of"]).rename(columns={"path_x": "old", "path_y": "new"})
-            pairs = pairs[(pairs["depth_x"] == depth) & (pairs["old"] > past)]
-            pairs = pairs[_steady(pairs)].sort_values("old").reset_index(drop=True)
-            alike = pairs[_shares(pairs, before, after, "kind") >= ALIKE] if len(pairs) else pairs
-            if not len(alike):
+            for old, new in pairs:
+                if old.depth != depth or old.path <= past:
+                    continue
+                if (old.path, new.path) not in alike:
+                    alike[old.path, new.path] = _share(_inside(before, ours, old.path, True), _inside(after, theirs, new.path, True)) >= ALIKE
+                if alike[old.path, new.path]:
+                    break
+            else:
                 break
-            past, new = alike[["old", "new"]].iloc[0]
-            out.append((past, new))
-            gone, came = gone[_outside(gone["path"], [past])], came[_outside(came["path"], [new])]
-    return pd.DataFrame(sorted(out), columns=["old", "new"], dtype=object)
+            past = old.path
+            out.append((past, new.path))
+            outside = lambda nodes, root: [r for r in nodes if r.path != root and not r.path.startswith(root + "/")]
+            gone, came = outside(gone, past), outside(came, new.path)
+            pairs = candidates()
+    return sorted(out)
 
 
 def _own(nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -165,7 +202,7 @@ def moves(before: DataFrame, after: DataFrame) -> DataFrame:
     """(pair, old, new) of subtrees that moved."""
 
     def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        return found_moves(_table(old), _table(new)).assign(pair=key[0])[["pair", "old", "new"]]
+        return pd.DataFrame(found_moves(_nodes(old), _nodes(new)), columns=["old", "new"], dtype=object).assign(pair=key[0])[["pair", "old", "new"]]
 
     columns = ["pair", "path", *SUMMARY]
     return _own(before, columns).groupBy("pair").cogroup(_own(after, columns).groupBy("pair")).applyInPandas(run, "pair string, old string, new string")
@@ -179,104 +216,138 @@ def _carried(path: str, to: dict[str, str]) -> str:
     return path
 
 
-def _points(level: pd.DataFrame) -> pd.Series:
-    """Which nodes carry meaning, by the rule of profile.is_data_point()."""
-    item = level["path"].str.endswith("/[]")
-    lists = level["every"].map(lambda t: "array" in t)
-    own = level["kind"].map({"media": True}).eq(True)
-    return own | (item & (level["kind"] == "data")) | (~item & (level["kind"] == "file") & lists) | (~item & (level["kind"] == "data") & (level["types"] != "object"))
+def _point(node: Node) -> bool:
+    """Whether a node carries meaning, by the rule of profile.is_data_point()."""
+    if node.path.endswith("/[]"):
+        return node.kind in ("media", "data")
+    return node.kind == "media" or (node.kind == "file" and "array" in node.every) or (node.kind == "data" and node.types != "object")
 
 
-def _exclusive(pairs: pd.DataFrame, file_order: dict[str, tuple[int, ...]]) -> tuple[pd.DataFrame, list[tuple[str, str, float]]]:
-    """pairs (new, old, score, ...) of a level with ranks, and the structures (new, old, score) that have one best candidate.
+def _exclusive(pairs: list[tuple], file_order: dict[str, tuple[int, ...]]) -> tuple[list[tuple], list[tuple[str, str, float]]]:
+    """pairs (new node, old node, score) of a level with ranks, and the structures (new, old, score) that have one best candidate.
 
     New nodes choose in the order of their file; what a structure took is no candidate of those after it.
     """
-    order = sorted(range(len(pairs)), key=lambda i: (file_order[pairs["new"].iat[i]], pairs["new"].iat[i], -pairs["score"].iat[i], pairs["place_y"].iat[i]))
-    pairs = pairs.iloc[order].reset_index(drop=True)
-    taken: dict[str, str] = {}
-    best: dict[str, list[tuple[str, float]]] = {}
-    kept = []
-    for i, (new, old, value, structure) in enumerate(zip(pairs["new"], pairs["old"], pairs["score"], pairs["structure_x"])):
-        if new not in best:  # the node before has all its candidates
-            taken.update(_clear(best))
-        if structure and old in taken:
-            continue
-        kept.append(i)
-        if structure:
-            best.setdefault(new, []).append((old, value))
-    taken.update(_clear(best))
-    pairs = pairs.iloc[kept].copy()
-    pairs["rank"] = pairs.groupby("new").cumcount()
-    chosen = {new: found for new, found in best.items() if found and taken.get(found[0][0]) == new}
-    return pairs, [(new, *found[0]) for new, found in chosen.items()]
-
-
-def _clear(best: dict[str, list[tuple[str, float]]]) -> dict[str, str]:
-    """{old: new} for the last node of best, if its first candidate is better than any other."""
-    if not best:
-        return {}
-    new, found = next(reversed(best.items()))
-    return {found[0][0]: new} if len(found) == 1 or found[0][1] > found[1][1] else {}
-
-
-def found_suggestions(known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """(path, known_path, reason, score, rank): what the data points of new that known lacks correspond to, best first.
+    by_new: dict[str, list[tuple]] = {}
+    for pair in pairs:
+        by_new.setdefault(pair[0].path, []).append(pair)
+    taken: set[str] = set()
+    kept, chosen = [], []
+    for path in sorted(by_new, key=lambda p: (file_order[p], p)):
+        own = sorted(by_new[path], key=lambda pair: (-pair[2], pair[1].place))
+        if own[0][0].structure:
+            own = [pair for pair in own if pair[1].path not in taken]
+            if own and (len(own) == 1 or own[0][2] > own[1][2]):
+                taken.add(own[0][1].path)
+                chosen.append((path, own[0][1].path, own[0][2]))
+        kept += [(*pair, rank) for rank, pair in enumerate(own)]
+    return kept, chosen
+
+
+def found_suggestions(there: dict[str, Node], here: dict[str, Node]) -> list[tuple[str, str, str, float, int]]:
+    """(path, known_path, reason, score, rank): what the data points here that aren't there correspond to, best first.
 
     Nodes of a level look at the known children of what their parents correspond to: the same name there is a move,
     others of one kind and type are scored. A structure with one best candidate corresponds to it from there on.
     """
-    moved = found_moves(known, new)
-    to_new, to_known = dict(zip(moved["old"], moved["new"])), dict(zip(moved["new"], moved["old"]))
+    moved = found_moves(there, here)
+    to_new, to_known = dict(moved), {now: old for old, now in moved}
     score = dict.fromkeys(to_known, SURE)
-    there, here = set(known["path"]), set(new["path"])
-    places = dict(zip(new["path"], new["place"]))
-    file_order = {p: tuple(places.get(p[:i], 0) for i in [*(i for i, c in enumerate(p) if c == "/" and i), len(p)]) for p in places}
-    columns = ["path", "known_path", "reason", "score", "rank"]
-    out = [pd.DataFrame(columns=columns)]
-    for _, level in new[(new["path"] != "") & ~new["kind"].isin(["folder", "container"])].groupby("depth"):
-        level = level[~level["path"].isin(there)]
-        if not len(level):
-            continue
-        direct = level["path"].map(lambda p: _carried(p, to_known))
-        trust = level["path"].map(lambda p: next((score[p[:i]] for i in [len(p), *(i for i in range(len(p) - 1, -1, -1) if p[i] == "/")] if p[:i] in score), SURE))
-        level = level.assign(direct=direct, trust=trust, point=_points(level), up=[p if p in there else _carried(p, to_known) for p in level["parent"]])
-        straight = level[level["direct"].isin(there) & level["point"]]
-        out.append(straight.assign(known_path=straight["direct"], reason="moved", score=straight["trust"], rank=0)[columns])
-        left = level[~level["direct"].isin(there)]
-        free = known[~known["kind"].isin(["folder", "container"]) & known["parent"].isin(left["up"])]
-        free = free[free["path"].map(lambda p: _carried(p, to_new) not in here).astype(bool)]
-        if not len(left) or not len(free):
-            continue
-        pairs = left.assign(of=left["kind"], has=left["types"]).merge(free.assign(of=free["kind"], has=free["types"]), left_on=["up", "of", "has"], right_on=["parent", "of", "has"])
-        pairs = pairs.rename(columns={"path_x": "new", "path_y": "old"})
-        pairs = pairs[_steady(pairs)].reset_index(drop=True)
-        if not len(pairs):
-            continue
-        share = pd.Series(0.0, index=pairs.index)
-        deep = pairs[pairs["structure_x"]]
-        if len(deep):
-            share[deep.index] = _shares(deep, known, new)
-        same = lambda c: (pairs[f"{c}_x"] != "") & (pairs[f"{c}_x"] == pairs[f"{c}_y"])  # noqa: B023, E731
-        flat = (same("format") * SAME_INSIDE).where(same("format"), same("shape") * SAME_SHAPE)
-        total = BASE + SAME_PLACE * (pairs["place_x"] == pairs["place_y"]) + (SAME_INSIDE * share).where(pairs["structure_x"], flat)
-        pairs = pairs.assign(score=(total * pairs["trust"]).round(2))[~pairs["structure_x"] | (share >= ALIKE)]
-        pairs, clear = _exclusive(pairs, file_order)
+    ours, theirs = sorted(there), sorted(here)
+    kids: dict[tuple, list[Node]] = {}
+    for r in there.values():
+        kids.setdefault((r.parent, r.kind, r.types), []).append(r)
+    ends = lambda p: [*(i for i, c in enumerate(p) if c == "/" and i), len(p)]
+    file_order = {p: tuple(here[p[:i]].place if p[:i] in here else 0 for i in ends(p)) for p in here}
+    levels: dict[int, list[Node]] = {}
+    for r in here.values():
+        if r.path and r.kind not in ("folder", "container") and r.path not in there:
+            levels.setdefault(r.depth, []).append(r)
+    out: list[tuple] = []
+    for depth in sorted(levels):
+        pairs, trusts, totals, inner = [], [], [], {}
+        free = functools.cache(lambda p: _carried(p, to_new) not in here)  # noqa: B023
+        for r in levels[depth]:
+            p = r.path
+            direct = _carried(p, to_known)
+            trust = next((score[p[:i]] for i in [len(p), *(i for i in range(len(p) - 1, -1, -1) if p[i] == "/")] if p[:i] in score), SURE)
+            if direct in there:
+                if _point(r):
+                    out.append((p, direct, "moved", trust, 0))
+                continue
+            up = r.parent if r.parent in there else _carried(r.parent, to_known)
+            for k in kids.get((up, r.kind, r.types), ()):
+                if not _steady(r, k) or not free(k.path):
+                    continue
+                if r.structure:
+                    for side, nodes, paths, root in (("old", there, ours, k.path), ("new", here, theirs, p)):
+                        if (side, root) not in inner:
+                            inner[side, root] = _inside(nodes, paths, root, False)
+                    share = _share(inner["old", k.path], inner["new", p])
+                    if share < ALIKE:
+                        continue
+                    more = SAME_INSIDE * share
+                else:
+                    more = SAME_INSIDE if r.format and r.format == k.format else SAME_SHAPE if r.shape and r.shape == k.shape else 0.0
+                pairs.append((r, k))
+                trusts.append(trust)
+                totals.append(BASE + SAME_PLACE * (r.place == k.place) + more)
+        scores = np.round(np.array(totals) * np.array(trusts), 2).tolist()
+        ranked, clear = _exclusive([(*pair, x) for pair, x in zip(pairs, scores)], file_order)
         for path, old, value in clear:
             to_known[path], to_new[old], score[path] = old, path, value
-        pairs = pairs[pairs["point"]].assign(reason="renamed")
-        out.append(pairs.rename(columns={"new": "path", "old": "known_path"})[columns])
-    return pd.concat([o for o in out if len(o)] or out[:1])
+        out += [(r.path, k.path, "renamed", x, rank) for r, k, x, rank in ranked if _point(r)]
+    return out
 
 
 def suggestions(known: DataFrame, new: DataFrame) -> DataFrame:
-    """(pair, path, known_path, reason, score, rank): what unknown data points likely correspond to, best first."""
+    """(pair, path, known_path, reason, score, rank): what unknown data points likely correspond to, best first.
+
+    Of known the rows that relevant() names are enough; they come with their place among all siblings, some of them twice.
+    """
 
     def run(key: tuple, old: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
-        return found_suggestions(_table(old), _table(now)).assign(pair=key[0])[["pair", "path", "known_path", "reason", "score", "rank"]]
+        found = found_suggestions(_nodes(old), _nodes(now))
+        return pd.DataFrame([(key[0], *row) for row in found], columns=["pair", "path", "known_path", "reason", "score", "rank"])
 
     columns = ["pair", "path", *SUMMARY, "position"]
-    return _own(known, columns).groupBy("pair").cogroup(_own(new, columns).groupBy("pair")).applyInPandas(run, "pair string, path string, known_path string, reason string, score double, rank int")
+    ours = _own(known, [*columns, "place"] if "place" in known.columns else columns)
+    return ours.groupBy("pair").cogroup(_own(new, columns).groupBy("pair")).applyInPandas(run, "pair string, path string, known_path string, reason string, score double, rank int")
+
+
+def placed(known: DataFrame, schema: list[str]) -> DataFrame:
+    """known with place, the number of siblings before a node; the columns of schema name a schema."""
+    siblings = W.partitionBy(*schema, P.parent(F.col("path"))).orderBy("position", "path")
+    return known.withColumn("place", (F.row_number().over(siblings) - 1).cast("long"))
+
+
+def relevant(known: DataFrame, new: DataFrame) -> DataFrame:
+    """(pair, path, ..., place): of the schemas known all that suggestions() for the pairs of new can depend on, some rows twice.
+
+    known: (of, path, ..., position, place), one row per schema and path, several pairs may ask for a schema; new:
+    (pair, of, path, ...). These are the paths of new and their parents; nodes of a name and kind that only new has, which
+    may have moved; children of known parents that fit a node of new; and what lies in either, if it can be a structure.
+    So a pair is never joined with a whole schema.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    types = F.array_join(F.array_sort(F.filter(F.coalesce("type", F.array().cast("array<string>")), lambda t: t != "null")), "|")
+    keys = {"_name": text("name"), "_kind": text("kind"), "_types": types, "_up": F.coalesce(P.parent(F.col("path")), F.lit(""))}
+    known = known.withColumns(keys)
+    own = ["pair", *(c for c in known.columns if c not in ("of", *keys))]
+    came = new.join(known.select("of", "path"), ["of", "path"], "left_anti").withColumns(keys | {"_shape": text("shape"), "_format": text("format")})
+    came = came.select("pair", "of", "path", *keys, "_shape", "_format")
+    here = new.select("pair", "of", "path").union(new.where("path <> ''").select("pair", "of", P.parent(F.col("path")))).distinct()
+    same = known.join(here, ["of", "path"]).select(own)
+    moved = known.join(came.select("pair", "of", "_name", "_kind").distinct(), ["of", "_name", "_kind"]).join(new.select("pair", "path"), ["pair", "path"], "left_anti")
+    inside = lambda c: ~F.col(c).isin("folder", "container")
+    wanted = came.where((F.col("path") != "") & inside("_kind")).select("pair", "of", "_up", "_kind", "_types", "_shape", "_format").distinct()
+    silent = lambda c, *noise: F.col(c).isNull() | F.col(c).isin("", *noise) | F.col(f"_{c}").isin("", *noise)
+    fits = ((F.col("shape") == F.col("_shape")) | silent("shape", *S.NOISE)) & ((F.col("format") == F.col("_format")) | silent("format"))
+    fitting = known.where(F.col("path") != "").join(wanted, ["of", "_up", "_kind", "_types"]).where(fits)
+    roots = moved.select("pair", "of", F.col("path").alias("_root"))
+    roots = roots.union(fitting.where(F.arrays_overlap("type", F.array(F.lit("object"), F.lit("array")))).select("pair", "of", "path")).distinct()
+    below = known.withColumn("_root", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), P.ancestors(F.col("path")))))).join(roots, ["of", "_root"])
+    return same.union(moved.select(own)).union(fitting.select(own)).union(below.select(own))
 
 
 def inspect(known: DataFrame, new: DataFrame) -> DataFrame:

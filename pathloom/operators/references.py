@@ -105,7 +105,8 @@ def unknown_points(uploads: DataFrame, nodes: DataFrame) -> DataFrame:
 def suggested(uploads: DataFrame, nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(platform, upload_id, path, known_path, reason, score, rank) for every registered upload's unknown data points.
 
-    An upload is compared with its references of each root format. Of a known path that several give, the best score
+    An upload is compared with its references of each root format, but meets only what of them its own nodes may
+    correspond to, so that the work grows with the candidates, not with uploads times references. Of a known path that several give, the best score
     counts, none for paths that one of them knows; better ones come first, ties by root format, then as found. Only
     uploads with unknown data points get references at all; only: (platform, upload_id) of those that are wanted.
     """
@@ -114,11 +115,13 @@ def suggested(uploads: DataFrame, nodes: DataFrame, only: DataFrame | None = Non
         open_ = open_.join(only.select("platform", "upload_id").distinct(), ["platform", "upload_id"], "left_semi")
     open_ = staged(open_, "unknown-points")
     asking = open_.select("platform", "upload_id", "requested_at").distinct()
-    before = staged(as_of(uploads, nodes, asking), "references")
-    formats = before.select("platform", "requested_at", "root_format").distinct()
+    schema = ["platform", "requested_at", "root_format"]
+    before = compare.placed(as_of(uploads, nodes, asking), schema).withColumn("of", F.to_json(F.struct(*schema)))
+    before = staged(before.select(*schema, "of", "path", *compare.SUMMARY, "position", "place"), "references")
+    formats = before.select(*schema, "of").distinct()
     pairs = asking.join(formats, ["platform", "requested_at"]).withColumn("pair", F.to_json(F.struct("platform", "upload_id", "root_format")))
-    known = before.join(pairs, ["platform", "requested_at", "root_format"]).select("pair", "path", *compare.SUMMARY, "position")
-    new = nodes.join(pairs, ["platform", "upload_id"]).select("pair", "path", *compare.SUMMARY, "position")
+    new = staged(nodes.join(pairs, ["platform", "upload_id"]).select("pair", "of", "path", *compare.SUMMARY, "position"), "uploads-nodes")
+    known = compare.relevant(before.drop(*schema), new)
     found = compare.suggestions(known, new).withColumn("_of", F.from_json("pair", "platform string, upload_id string, root_format string"))
     rows = found.select("_of.*", "path", "known_path", "reason", "score", "rank").join(open_.select(F.col("platform").cast("string"), F.col("upload_id").cast("string"), "path"), ["platform", "upload_id", "path"], "left_semi")
     one = ["platform", "upload_id", "path"]

@@ -488,3 +488,28 @@ def test_decisions_carry_nothing_but_their_suggestion(spark):
     got = {r.turn: (r.n, r.said, r.kinds, r.targets) for r in said.collect()}
     n, decided = made.count(), made.where("action is not null").count()
     assert got[1] == (n, n, n, n) and got[2] == (decided, 0, 0, decided) and got[0][0] == got[0][1]
+
+
+def test_a_pair_meets_only_what_of_a_schema_it_may_need(spark):
+    """The same suggestions from relevant rows as from whole schemas, and most of a large schema is left out."""
+    rng = random.Random(9)
+    rows, news = [], []
+    node = lambda p, x, n=None: (p, x["kind"], p.rpartition("/")[2] if n is None else n, x["type"], x["shape"], None, x["position"])
+    for of in range(6):
+        known = tree(rng, list("ABCDEF"))
+        moved = {"/Q": ["object"], "/Q/deep": ["object"], "/Q/deep/a": ["string"], "/Q/deep/b": ["integer"]}
+        known |= {p: {"kind": "data", "type": t, "shape": None, "position": 9} for p, t in moved.items()}
+        known |= {f"/other/{i}": {"kind": "data", "type": ["string"], "shape": "text", "position": i} for i in range(200)}
+        known["/other"] = {"kind": "data", "type": ["array"], "shape": None, "position": 10}
+        rows += [(str(of), *node(p, x)) for p, x in known.items()]
+        for pair in range(4):
+            new = tree(rng, list("CDEFGH"))
+            new |= {p.replace("/Q", "/R"): {"kind": "data", "type": t, "shape": None, "position": 9} for p, t in moved.items()}
+            news += [(f"{of}-{pair}", str(of), *node(p, x)) for p, x in new.items()]
+    columns = NODE.removeprefix("pair string, ")
+    known, new = spark.createDataFrame(rows, f"of string, {columns}"), spark.createDataFrame(news, f"pair string, of string, {columns}")
+    whole = known.join(new.select("pair", "of").distinct(), "of").drop("of")
+    some = compare.relevant(compare.placed(known, ["of"]), new)
+    got, want = ({tuple(r) for r in compare.suggestions(k, new.drop("of")).collect()} for k in (some, whole))
+    assert got == want and any(r[3] == "moved" for r in got) and any(r[3] == "renamed" for r in got)
+    assert not some.where("path like '/other/%'").count() and some.select("pair", "path").distinct().count() < whole.count() / 2
