@@ -34,7 +34,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pieces: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, counts = encoder(tokenizer, pieces).encode_with_end(batch.column(1).to_pylist(), end_id)
+            ids, counts = encoder(tokenizer, pieces).encode_with_end(batch.column(1), end_id)
             ends = np.concatenate(([0], np.cumsum(counts)))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -39,7 +39,7 @@ def encoded(docs: DataFrame, tokenizer: str, pieces: str, end_id: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, counts = encoder(tokenizer, pieces).encode_with_end(batch.column(2).to_pylist(), end_id)
+            ids, counts = encoder(tokenizer, pieces).encode_with_end(batch.column(2), end_id)
             ends = np.concatenate(([0], np.cumsum(counts)))
             data = np.asarray(ids, dtype="<u4")
             yield pa.RecordBatch.from_arrays(

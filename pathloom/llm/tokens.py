@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,8 +19,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: A full stop or comma after anything but a letter or digit: such texts keep their marks with what is before.
-MARK_AFTER_MARK = re.compile(r"[.,](?<=[\W_].)")
+#: Letters that end in a mark once they are composed or made small.
+MARKED = r"\x{130}\x{958}-\x{95f}\x{9dc}-\x{9dd}\x{9df}\x{a33}\x{a36}\x{a59}-\x{a5b}\x{a5e}\x{b5c}-\x{b5d}\x{f43}\x{f4d}\x{f52}\x{f57}\x{f5c}\x{f69}\x{fb1d}\x{fb1f}\x{fb2a}-\x{fb36}\x{fb38}-\x{fb3c}\x{fb3e}\x{fb40}-\x{fb41}\x{fb43}-\x{fb44}\x{fb46}-\x{fb4e}"
+#: A full stop or comma after anything but a letter or digit, or first: such texts keep their marks with what is before.
+MARK_AFTER_MARK = r"^[.,]|[^\p{L}\p{N}][.,]|[" + MARKED + "][.,]"
+#: Runs of white space, at an end or other than blanks and line ends.
+ODD_SPACE = r"^[ \n]|[ \n][ \n]|[ \n]\z|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _joined(*parts: str | pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(*(pa.scalar(p, pa.large_string()) if isinstance(p, str) else p for p in (*parts, "")))
 
 
 class Encoder:
@@ -41,7 +50,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = {"space": self._by_space, "word": self._by_word, "text": lambda text: None}[pieces]
+        self.cut = {"space": self._by_space, "word": self._by_word, "text": None}[pieces]
         self.spaced = pieces == "space"
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -54,31 +63,29 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = array("i"), array("q"), array("i")
+        self.flat, self.bounds = array("i"), array("q", [0])
+        self.ends: dict[int, int] = {}
 
     @staticmethod
-    def _by_space(text: str) -> list[str] | None:
-        if text.split() != text.replace("\n", " ").split(" "):
-            return None
-        if text[:1] not in ".," and not MARK_AFTER_MARK.search(text):  # no other piece holds \r: it says that there is no space before
-            text = text.replace(", ", " \r, ").replace(". ", " \r. ").replace(".\n", " \r.\n")
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\r" + pieces[0]
-        return pieces
-
-    @staticmethod
-    def _by_word(text: str) -> list[str] | None:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None
-        if "\u03a3" not in text and is_normalized("NFC", text):  # a capital sigma's small form depends on its place
-            text = text.lower()
-        if text[:1] not in ".," and not MARK_AFTER_MARK.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-            text = text[:-1] + " ." if text.endswith(".") else text
-        return text.split()
+    def _marked(texts: pa.Array, *marks: tuple[str, str]) -> pa.Array:
+        """texts with blanks before the full stops and commas at words' ends, where that doesn't change ids."""
+        cut = texts
+        for mark, to in marks:
+            cut = pc.replace_substring(cut, mark, to)
+        return pc.if_else(pc.match_substring_regex(texts, MARK_AFTER_MARK), texts, cut)
+
+    def _by_space(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        # no other piece holds \r: it says that there is no space before
+        cut = self._marked(_joined(texts, " "), (", ", " \r, "), (". ", " \r. "), (".\n", " \r.\n"))
+        pieces = pc.split_pattern(_joined("\r", pc.replace_substring(cut, "\n", " \n")), " ")
+        return pc.match_substring_regex(texts, ODD_SPACE), pieces
+
+    def _by_word(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        cut = self._marked(_joined(texts, "\n"), (", ", " , "), (". ", " . "), (".\n", " .\n"))
+        return pc.match_substring_regex(texts, r"[\x1c-\x1f]"), pc.ascii_split_whitespace(pc.ascii_lower(cut))
 
     def _text_of(self, piece: str) -> str:
-        if not self.spaced or piece[0] == "\n":
+        if not piece or not self.spaced or piece[0] == "\n":
             return piece
         return piece[1:] if piece[0] == "\r" else " " + piece
 
@@ -86,14 +93,12 @@ class Encoder:
         return piece.isalpha() and (self.spaced or piece.isascii() or (is_normalized("NFC", piece) and piece == piece.lower()))
 
     def _add(self, texts: list[str]) -> range:
-        first = len(self.start)
+        first = len(self.bounds) - 1
         for at in range(0, len(texts), 2000):
             for found in self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False):
-                ids = found.ids
-                self.start.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
-        return range(first, len(self.start))
+                self.flat.extend(found.ids)
+                self.bounds.append(len(self.flat))
+        return range(first, len(self.bounds) - 1)
 
     def _add_words(self, words: list[str]) -> None:
         for at in range(0, len(words), 500):
@@ -105,45 +110,71 @@ class Encoder:
             if len(ends) != len(some):  # never seen: words whose ids don't show where they begin
                 self.known.update(zip(some, self._add([self._text_of(w) for w in some])))
                 continue
-            sizes = np.diff(ends, prepend=0)
-            first = len(self.start)
-            self.start.extend((len(self.flat) + ends - sizes).tolist())
-            self.size.extend(sizes.tolist())
-            self.flat.extend(ids.tolist())
+            first = len(self.bounds) - 1
+            self.bounds.frombytes((len(self.flat) + ends).astype(np.int64).tobytes())
+            self.flat.frombytes(ids.tobytes())
             self.known.update(zip(some, range(first, first + len(some))))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other as int32, number of ids of each)."""
-        if len(self.known) > self.PIECES or len(self.flat) > self.IDS:
-            self._clear()
-        found: list[str] = []
-        ends, whole = [], []
-        for n, text in enumerate(texts):
-            own = self.cut(text) if text else []
-            if own is None:
-                whole.append(n)
-            else:
-                found += own
-            ends.append(len(found))
-        new = set(found).difference(self.known)
+    def _learn(self, pieces: list[str]) -> None:
+        """Makes pieces known that aren't."""
+        new = [p for p in pieces if p not in self.known]
+        if self.spaced:
+            return self._learn_these(new)
+        # by their small letters, of which ASCII has none left; a capital sigma's small form depends on its place
+        low = {p: p.lower() for p in new if not p.isascii() and "\u03a3" not in p and is_normalized("NFC", p)}
+        self._learn_these([q for q in dict.fromkeys(low.get(p, p) for p in new) if q not in self.known])
+        self.known.update((p, self.known[q]) for p, q in low.items() if p != q)
+
+    def _learn_these(self, new: list[str]) -> None:
         words = [p for p in new if self._is_word(p)]
-        others = list(new.difference(words))
+        others = list(set(new).difference(words))
         self._add_words(words)
         self.known.update(zip(others, self._add([self._text_of(p) for p in others])))
-        pieces = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
-        ends = np.array(ends, dtype=np.int64)
-        if whole:
-            pieces = np.insert(pieces, ends[whole], self._add([texts[n] for n in whole]))
-            ends = ends + np.cumsum(np.isin(np.arange(len(texts)), whole))
-        size, start = (np.array(x, dtype=np.int64)[pieces] if len(pieces) else pieces for x in (self.size, self.start))
-        done = np.concatenate(([0], np.cumsum(size)))
-        ids = np.array(self.flat, dtype=np.int32)[np.repeat(start - done[:-1], size) + np.arange(done[-1])] if done[-1] else np.zeros(0, np.int32)
-        return ids, np.diff(done[np.concatenate(([0], ends))])
-
-    def encode_with_end(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+
+    def encode(self, texts: list[str] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other as int32, number of ids of each), with end_id after each if given.
+
+        Texts are cut and their pieces told apart in columns; Python sees each distinct piece of the texts once.
+        """
+        if len(self.known) > self.PIECES or len(self.flat) > self.IDS:
+            self._clear()
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if self.cut is None:
+            odd, counts, codes = np.ones(len(texts), bool), np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
+        else:
+            odd, pieces = self.cut(texts)
+            odd = np.array(odd, dtype=bool)
+            counts = np.array(pc.list_value_length(pieces), dtype=np.int64)
+            found = pieces.flatten().dictionary_encode()
+            if odd.any():
+                found = found.filter(pa.array(np.repeat(~odd, counts)))
+                counts[odd] = 0
+            used = np.unique(np.asarray(found.indices)) if odd.any() else np.arange(len(found.dictionary))
+            own = found.dictionary.take(pa.array(used)).to_pylist()
+            self._learn(own)
+            of = np.zeros(len(found.dictionary), dtype=np.int64)
+            of[used] = np.fromiter(map(self.known.__getitem__, own), dtype=np.int64, count=len(own))
+            codes = of[np.asarray(found.indices)]
+        ends = np.cumsum(counts)
+        if odd.any():
+            at = np.flatnonzero(odd)
+            codes = np.insert(codes, ends[at], self._add([texts[int(n)].as_py() for n in at]))
+            ends = ends + np.cumsum(odd)
+        if end_id is not None:
+            if end_id not in self.ends:
+                self.ends[end_id] = len(self.bounds) - 1
+                self.flat.append(end_id)
+                self.bounds.append(len(self.flat))
+            codes = np.insert(codes, ends, self.ends[end_id])
+            ends = ends + np.arange(1, len(ends) + 1)
+        bounds, flat = np.frombuffer(self.bounds, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
+        taken = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(flat)).take(pa.array(codes))
+        done = np.asarray(taken.offsets)
+        return np.asarray(taken.flatten()), np.diff((done - done[0])[np.concatenate(([0], ends))])
+
+    def encode_with_end(self, texts: list[str] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode, with end_id after each text."""
-        ids, counts = self.encode(texts)
-        return np.insert(ids, np.cumsum(counts), end_id), counts + 1
+        return self.encode(texts, end_id)
 
 
 @lru_cache(maxsize=4)

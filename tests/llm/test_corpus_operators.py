@@ -108,6 +108,24 @@ def test_pieces_do_not_change_ids(texts, name, pieces):
         assert ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize(("name", "pieces"), [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "word")])
+def test_a_piece_is_looked_up_once_in_many_texts(name, pieces):
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    e = tokens.Encoder(tokens.tokenizer_path(name), pieces)
+    e.known = Counted()
+    some = ["one Two, one two. one\ntwo", "\u0130. one, \u0958. two", ""] * 200
+    ids, counts = e.encode_with_end(some, 2)
+    want = [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in some]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert Counted.asked < 50
+
+
 def test_orc_tokens(spark, docs, texts, no_docs, tmp_path):
     path = f"{tmp_path}/t.orc"
     name = tokens.tokenizer_path("byte_bpe_50k.json")
