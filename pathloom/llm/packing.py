@@ -157,22 +157,22 @@ class Sequences:
         end = np.where(in_tail, self.edges[np.minimum(tail + 1, len(self.edges) - 1)], begin + self.window)
         return sequence, at - begin, end - at
 
-    def pieces(self, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(start, length, sequence, offset) of one document's turns, cut where sequences end and joined where they go on."""
-        order = np.argsort(start)
-        start, length, place = start[order], length[order], place[order]
-        on = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1] + length[:-1])))
-        start, place, length = start[on], place[on], np.add.reduceat(length, on)
+    def pieces(self, own: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, start, length, sequence, offset) of documents' turns, cut where sequences end and joined where they go on."""
+        order = np.lexsort((start, own))
+        own, start, length, place = own[order], start[order], length[order], place[order]
+        on = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (place[1:] != place[:-1] + length[:-1])))) if len(own) else own
+        own, start, place, length = own[on], start[on], place[on], np.add.reduceat(length, on) if len(on) else length
         done = []
-        while len(start):
+        while len(start) or not done:
             sequence, offset, room = self.of(place)
             now = np.minimum(length, room)
-            done.append((start, now, sequence, offset))
+            done.append((own, start, now, sequence, offset))
             more = length > room
-            start, length, place = (start + now)[more], (length - now)[more], (place + now)[more]
-        start, length, sequence, offset = (np.concatenate(x) for x in zip(*done))
-        order = np.argsort(start)
-        return start[order], length[order], sequence[order], offset[order]
+            own, start, length, place = own[more], (start + now)[more], (length - now)[more], (place + now)[more]
+        own, start, length, sequence, offset = (np.concatenate(x) for x in zip(*done))
+        order = np.lexsort((start, own))
+        return own[order], start[order], length[order], sequence[order], offset[order]
 
 
 PIECES = "doc_id long, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -205,17 +205,8 @@ def pack(docs: DataFrame, tokenizer: str, pieces: str = "text", end_id: int = EN
         for batch in batches:
             ids, at = np.asarray(batch.column(3).values, dtype="<u4"), np.asarray(batch.column(3).offsets, dtype=np.int64)
             sent, ends = batch.column(4).values, np.asarray(batch.column(4).offsets, dtype=np.int64)
-            columns = [np.asarray(sent.field(i), dtype=np.int64) for i in range(3)]
-            own, found = [], []
-            for i in range(batch.num_rows):
-                mine = slice(ends[i], ends[i + 1])
-                got = sequences.pieces(*(c[mine] for c in columns))
-                own.append(np.full(len(got[0]), i))
-                found.append(got)
-            if not own:
-                continue
-            own = np.concatenate(own)
-            start, length, sequence, offset = (np.concatenate(x) for x in zip(*found))
+            columns = [np.asarray(sent.field(i), dtype=np.int64)[ends[0] : ends[-1]] for i in range(3)]
+            own, start, length, sequence, offset = sequences.pieces(np.repeat(np.arange(batch.num_rows), np.diff(ends)), *columns)
             n = np.asarray(batch.column(2), dtype=np.int64)
             low = (at[own] + start).tolist()
             data = pa.array([ids[x : x + m].tobytes() for x, m in zip(low, length.tolist())], pa.binary())

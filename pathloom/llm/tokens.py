@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from array import array
 from functools import lru_cache
+from itertools import repeat
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,15 +33,21 @@ def _joined(*parts: str | pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(*(pa.scalar(p, pa.large_string()) if isinstance(p, str) else p for p in (*parts, "")))
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """The strings of a column without nulls, made all at once."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     pieces says where a text may be cut without changing its ids: "space" for byte-level files whose pattern takes
     one leading space with a word, "word" for files that lower-case and drop white space, "text" for any file (no
     cut). Words of letters are encoded by the library many at a time, by the file's own merges and without its
-    patterns, which cannot cut a run of letters; all else goes through the file as it is. Each piece is encoded once
-    while it stays in the cache; texts that the cutting rule doesn't cover (runs of white space, other separators) are
-    encoded whole.
+    patterns, which cannot cut a run of letters; so are words with ASCII marks after them, where the patterns always
+    cut. All else goes through the file as it is. Each piece is encoded once while it stays in the cache; a full cache
+    keeps the pieces that came again in a later call. Texts that the cutting rule doesn't cover (runs of white space,
+    other separators) are encoded whole.
     """
 
     PIECES, IDS = 400_000, 4_000_000
@@ -65,6 +73,26 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat, self.bounds = array("i"), array("q", [0])
         self.ends: dict[int, int] = {}
+        self.again = bytearray()  # of each piece: whether a later call had it
+
+    def _make_room(self) -> None:
+        """Keeps the pieces that came again since they were learned or since the last time; none, if those are many."""
+        again = np.zeros(len(self.bounds) - 1, dtype=bool)
+        again[: len(self.again)] = np.frombuffer(self.again, dtype=bool)
+        stay, places = np.flatnonzero(again), (np.cumsum(again) - 1).tolist()
+        again = again.tolist()
+        known = {p: places[i] for p, i in self.known.items() if again[i]}
+        taken = self._taken(stay)
+        self._clear()
+        if len(known) <= self.PIECES // 2 and len(taken.values) <= self.IDS // 2:
+            self.known = known
+            self.flat.frombytes(np.asarray(taken.values).tobytes())
+            self.bounds = array("q", np.asarray(taken.offsets).tobytes())
+
+    def _taken(self, codes: np.ndarray) -> pa.LargeListArray:
+        """The ids of pieces, one list each, in new memory."""
+        bounds, flat = np.frombuffer(self.bounds, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
+        return pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(flat)).take(pa.array(codes))
 
     @staticmethod
     def _marked(texts: pa.Array, *marks: tuple[str, str]) -> pa.Array:
@@ -100,36 +128,59 @@ class Encoder:
                 self.bounds.append(len(self.flat))
         return range(first, len(self.bounds) - 1)
 
-    def _add_words(self, words: list[str]) -> None:
+    def _add_words(self, pieces: list[str], words: list[str]) -> None:
+        """Makes pieces known that are words of letters, each with the ASCII marks after it, if any."""
         for at in range(0, len(words), 500):
-            some = words[at : at + 500]
+            own, some = pieces[at : at + 500], words[at : at + 500]
             joined = " " + " ".join(some) if self.spaced else " ".join(some).lower()
             ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
             edges = np.flatnonzero(self.edge[ids])
             ends = np.append(edges[1:], len(ids)) if self.spaced else edges + 1
             if len(ends) != len(some):  # never seen: words whose ids don't show where they begin
-                self.known.update(zip(some, self._add([self._text_of(w) for w in some])))
+                self.known.update(zip(own, self._add([self._text_of(p) for p in own])))
                 continue
+            marked = [(i, self.known[self._marks(p[len(w) :])]) for i, (p, w) in enumerate(zip(own, some)) if len(p) != len(w)]
+            if marked:
+                rows, codes = np.array(marked).T
+                marks = self._taken(codes)
+                sizes = np.zeros(len(ends), dtype=np.int64)
+                sizes[rows] = np.diff(np.asarray(marks.offsets))
+                ids = np.insert(ids, np.repeat(ends, sizes), np.asarray(marks.flatten()))
+                ends = ends + np.cumsum(sizes)
             first = len(self.bounds) - 1
             self.bounds.frombytes((len(self.flat) + ends).astype(np.int64).tobytes())
             self.flat.frombytes(ids.tobytes())
-            self.known.update(zip(some, range(first, first + len(some))))
+            self.known.update(zip(own, range(first, first + len(own))))
+
+    def _marks(self, marks: str) -> str:
+        """The piece that marks make which follow a letter."""
+        return "\r" + marks if self.spaced else marks
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Makes pieces known that aren't."""
-        new = [p for p in pieces if p not in self.known]
+    def _learn(self, new: list[str]) -> None:
+        """Makes pieces known that aren't; each is there once."""
         if self.spaced:
             return self._learn_these(new)
         # by their small letters, of which ASCII has none left; a capital sigma's small form depends on its place
-        low = {p: p.lower() for p in new if not p.isascii() and "\u03a3" not in p and is_normalized("NFC", p)}
-        self._learn_these([q for q in dict.fromkeys(low.get(p, p) for p in new) if q not in self.known])
-        self.known.update((p, self.known[q]) for p, q in low.items() if p != q)
+        low = {p: q for p in new if not p.isascii() and "\u03a3" not in p and is_normalized("NFC", p) and (q := p.lower()) != p}
+        own = [p for p in new if p not in low] if low else new
+        self._learn_these([*own, *(q for q in set(low.values()).difference(own) if q not in self.known)])
+        self.known.update((p, self.known[q]) for p, q in low.items())
 
     def _learn_these(self, new: list[str]) -> None:
-        words = [p for p in new if self._is_word(p)]
-        others = list(set(new).difference(words))
-        self._add_words(words)
+        pieces, words, others = [], [], []
+        for p in new:
+            if self._is_word(p):
+                pieces.append(p)
+                words.append(p)
+            elif p[-1:] in punctuation and self._is_word(w := p.rstrip(punctuation)):
+                pieces.append(p)
+                words.append(w)
+            else:
+                others.append(p)
+        ends = {self._marks(p[len(w) :]) for p, w in zip(pieces, words) if len(p) != len(w)}
+        others += [m for m in ends.difference(others) if m not in self.known]
         self.known.update(zip(others, self._add([self._text_of(p) for p in others])))
+        self._add_words(pieces, words)
 
     def encode(self, texts: list[str] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as int32, number of ids of each), with end_id after each if given.
@@ -137,7 +188,7 @@ class Encoder:
         Texts are cut and their pieces told apart in columns; Python sees each distinct piece of the texts once.
         """
         if len(self.known) > self.PIECES or len(self.flat) > self.IDS:
-            self._clear()
+            self._make_room()
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         if self.cut is None:
             odd, counts, codes = np.ones(len(texts), bool), np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
@@ -150,10 +201,15 @@ class Encoder:
                 found = found.filter(pa.array(np.repeat(~odd, counts)))
                 counts[odd] = 0
             used = np.unique(np.asarray(found.indices)) if odd.any() else np.arange(len(found.dictionary))
-            own = found.dictionary.take(pa.array(used)).to_pylist()
-            self._learn(own)
+            own = _strings(found.dictionary.take(pa.array(used)) if odd.any() else found.dictionary)
+            at = np.fromiter(map(self.known.get, own, repeat(-1)), dtype=np.int64, count=len(own))
+            self.again.extend(bytes(len(self.bounds) - 1 - len(self.again)))
+            np.frombuffer(self.again, dtype=bool)[at[at >= 0]] = True
+            if (new := np.flatnonzero(at < 0)).size:
+                self._learn(some := [own[i] for i in new.tolist()])
+                at[new] = np.fromiter(map(self.known.__getitem__, some), dtype=np.int64, count=len(some))
             of = np.zeros(len(found.dictionary), dtype=np.int64)
-            of[used] = np.fromiter(map(self.known.__getitem__, own), dtype=np.int64, count=len(own))
+            of[used] = at
             codes = of[np.asarray(found.indices)]
         ends = np.cumsum(counts)
         if odd.any():
@@ -167,8 +223,7 @@ class Encoder:
                 self.bounds.append(len(self.flat))
             codes = np.insert(codes, ends, self.ends[end_id])
             ends = ends + np.arange(1, len(ends) + 1)
-        bounds, flat = np.frombuffer(self.bounds, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
-        taken = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(flat)).take(pa.array(codes))
+        taken = self._taken(codes)
         done = np.asarray(taken.offsets)
         return np.asarray(taken.flatten()), np.diff((done - done[0])[np.concatenate(([0], ends))])
 

@@ -126,6 +126,36 @@ def test_a_piece_is_looked_up_once_in_many_texts(name, pieces):
     assert Counted.asked < 50
 
 
+@pytest.mark.parametrize(("name", "pieces"), [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "word")])
+def test_words_with_marks_go_with_words(name, pieces):
+    e = tokens.Encoder(tokens.tokenizer_path(name), pieces)
+    words = ["tion", "\u00d1ascibo", "Ee\u0301anch", "\u0130x", "x\u0130", "\u0958", "stra\u00dfe", "\u03a3\u03bf\u03a3", "\u01c5", "it's", "a1", "\u00aa", "e\u0338"]
+    marks = ["", "###", ".%%%", ",", "'", "'s", "'s##", "<\u0338", "\u2026.", "=", "_", "<|endoftext|>", "#a#"]
+    some = [" ".join(w + m for w in words) for m in marks] + [w + m for w in words for m in marks] + [f"{w}{m}\n{m}{w} {m}" for w in words for m in marks]
+    for at in (0, 1):  # the second time all pieces are known
+        ids, counts = e.encode(some)
+        want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == [len(w) for w in want], at
+        assert ids.tolist() == [i for w in want for i in w]
+    asked, e._add = [], lambda texts, add=e._add: asked.extend(texts) or add(texts)
+    e.encode([" ".join("one" + "abcdefgh"[i // 8] + "abcdefgh"[i % 8] + "###" for i in range(64))])
+    assert len(asked) < 3
+
+
+@pytest.mark.parametrize(("name", "pieces"), [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "word")])
+def test_a_full_cache_keeps_pieces_that_came_again(name, pieces):
+    e = tokens.Encoder(tokens.tokenizer_path(name), pieces)
+    e.PIECES = 60
+    learned, e._learn = Counter(), lambda new, learn=e._learn: learned.update(new) or learn(new)
+    for k in range(30):
+        some = ["one two, \u00c9t\u00e9 4 you", *(f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}{c} \u00c9{c}{'abc'[k // 10]}{k}##" for c in "klmnopqr"), "  odd  one"]
+        ids, counts = e.encode_with_end(some, 2)
+        want = [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in some]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(e.known) < 120
+    assert all(n == 1 for p, n in learned.items() if p.strip("\r") in ("one", "two", "4", "you", "\u00c9t\u00e9"))
+
+
 def test_orc_tokens(spark, docs, texts, no_docs, tmp_path):
     path = f"{tmp_path}/t.orc"
     name = tokens.tokenizer_path("byte_bpe_50k.json")
@@ -214,6 +244,28 @@ def test_rounds_of_many_sources_take_no_loop_over_them():
     assert length.sum() == 100 * n and (turn >= 1).all()
 
 
+def test_turns_of_many_documents_are_cut_at_once():
+    rng = np.random.default_rng(5)
+    turns, place = [], 0
+    for own in rng.permutation(np.repeat(np.arange(40), 6)).tolist():
+        turns.append((own, int(rng.integers(1, 30)), place))
+        place += turns[-1][1]
+    starts, rows = Counter(), []
+    for own, n, at in turns:
+        rows.append((own, starts[own], n, at))
+        starts[own] += n
+    found = packing.Sequences(place, 16).pieces(*np.array(rows)[rng.permutation(len(rows))].T)
+    want = {(own, start + k): at + k for own, start, n, at in rows for k in range(n)}
+    edges = packing.Sequences(place, 16).edges.tolist()
+    got = {}
+    for own, start, n, sequence, offset in zip(*(x.tolist() for x in found)):
+        base = sequence * 16 if sequence < place // 16 else edges[sequence - place // 16]
+        assert n > 0 and offset + n <= 16
+        got |= {(own, start + k): base + offset + k for k in range(n)}
+    assert got == want and [*zip(found[0].tolist(), found[1].tolist())] == sorted(zip(found[0].tolist(), found[1].tolist()))
+    assert all(len(x) == 0 for x in packing.Sequences(0, 16).pieces(*np.zeros((4, 0), dtype=np.int64)))
+
+
 def test_mixing(spark, docs):
     for permille, epochs in ((800, 2), (800, 1), (1000, 1), (300, 2)):
         documents = docs.select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841
