@@ -102,7 +102,7 @@ def _mixed(docs: DataFrame, weights: dict[str, dict[str, int]], budget_permille:
         sums = sums.withColumn("upto", F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket")))
         part = part.join(sums, key).withColumn("base", F.col("base") + F.col("upto") - F.col("n"))
         inside.append(part.where("base + n < rest"))
-        part = part.where("base + n >= rest and base < rest").drop("bucket", "n", "upto")
+        part = staged(part.where("base + n >= rest and base < rest").drop("bucket", "n", "upto"), "mixing-edge")  # one bucket a leaf; else each level's plan holds those before it several times
     running = F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("h", "doc_id", "tokens", "mark").rowsBetween(W.unboundedPreceding, 0))
     edge = part.withColumn("upto", F.col("base") + running).where("upto - tokens < rest")
     columns = ["doc_id", "mark", *LEVELS, "tokens", F.col("epochs").alias("epoch")]

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import small_batches, staged
-from pathloom.llm.graph import connected_components
+from pathloom.llm.graph import star_forest
 
 #: Words per shingle and least similarity of near copies.
 SHINGLE, SIMILAR = 5, 0.8
@@ -207,20 +207,23 @@ def near_copies(docs: DataFrame, fingerprint: Callable[[list[bytes]], int], link
     texts = wanted.join(candidates, (F.col("doc_id") == F.col("node.id")) & (F.col("mark") == F.col("node.mark"))).select("node", "text")
     hashed = staged(hashed_shingles(texts).dropDuplicates(["node"]), "shingles")  # equal rows give equal shingles
     stars = members.select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v").union(printed).distinct()
-    edges = staged(alike_pairs(stars, hashed), "near-pairs")
+    found = star_forest(alike_pairs(stars, hashed))  # what comes later is added to these, not to all pairs
 
-    def mixed(labels: DataFrame) -> DataFrame:
+    def labels() -> DataFrame:
+        return found.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+    def mixed() -> DataFrame:
         """The members, with labels, of buckets that hold several components."""
-        named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        named = members.join(labels(), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
         several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
         return staged(named.join(several, "key"), "open-buckets")
 
-    left = mixed(connected_components(edges))
+    left = mixed()
     own = staged(rarest(hashed.join(left.select("node").distinct(), "node", "left_semi")), "rarest-shingles")
-    edges = staged(edges.union(alike_pairs(central(left, own), hashed)), "near-pairs")
-    left = mixed(connected_components(edges)).select("node", "label").distinct()
+    found = star_forest(found.union(alike_pairs(central(left, own), hashed)))
+    left = mixed().select("node", "label").distinct()
     pairs = staged(rare_pairs(left, own).join(stars, ["u", "v"], "left_anti"), "rare-pairs")
-    labels = connected_components(edges.union(alike_pairs(pairs, hashed)))
+    found = star_forest(found.union(alike_pairs(pairs, hashed)))
 
-    of = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("stays"))
+    of = nodes.join(labels(), "node", "left").select("digest", F.coalesce("component", "node").alias("stays"))
     return rows.join(of, "digest").where(F.struct(F.col("doc_id").alias("id"), "mark") != F.col("stays")).select("doc_id", "mark").distinct()

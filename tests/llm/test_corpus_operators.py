@@ -67,6 +67,32 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 200: 100, 300: 100, 500: 500, 501: 500}
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Stars, either way round and repeated, are written once; a few links between them take no more than two rounds."""
+    written = []
+    real = graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: written.append(name) or real(df, name))
+    stars = [(i, i % 5) for i in range(5, 60)] + [(2, 57), (2, 57), (4, 4), (None, 3)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: i % 5 for i in range(60)}
+    assert len(written) == 1
+    written.clear()
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame([*stars, (9, 3), (9, 1)], "a long, b long")).collect()}
+    assert got == {i: {4: 1, 3: 1}.get(i % 5, i % 5) for i in range(60)}
+    assert len(written) <= 3
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_random_edges(spark):
+    rng = np.random.default_rng(5)
+    for n in (40, 90):
+        edges = rng.integers(0, 100, (n, 2)).tolist()
+        want = components(edges, {x for e in edges for x in e})
+        pairs = spark.createDataFrame([((a, -a), (b, -b)) for a, b in edges], f"u {near.NODE}, v {near.NODE}")
+        got = {r.node.id: r.component.id for r in graph.connected_components(pairs).collect()}
+        assert got == {x: c for x, c in want.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
 def test_exact(docs, texts, no_docs):
     groups = defaultdict(list)
     for i, t in texts.items():
@@ -301,6 +327,12 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {"1": 10, "2": 291, "3": 301, "4": 602}
 
 
+def test_mixing_plan_repeats_no_level(docs):
+    """A level of buckets reads what the one before left; its plan doesn't hold that one again."""
+    plan = mixing.mix(docs, mixing.WEIGHTS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 5
+
+
 def test_mixing_of_nothing(no_docs):
     assert mixing.mix(no_docs, mixing.WEIGHTS).count() == 0
 
